@@ -42,6 +42,7 @@ def local_session(cpus: int = 8, app: str = "millrace-local") -> SparkSession:
             "spark.sql.shuffle.partitions": str(cpus),
             "spark.driver.memory": "12g",
             "spark.ui.enabled": "false",
+            "spark.ui.showConsoleProgress": "false",
             "spark.sql.execution.arrow.pyspark.enabled": "true",
             "spark.driver.bindAddress": "127.0.0.1",
             "spark.driver.host": "127.0.0.1",
