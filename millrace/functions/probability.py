@@ -10,23 +10,31 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_erfc = np.vectorize(math.erfc, otypes=[float])
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+
+def _each(fn, x: np.ndarray) -> np.ndarray:
+    return np.array([fn(float(v)) for v in np.ravel(x)])
+
+
 # Gauss-Legendre nodes for the tail integrals.
 _NODES, _WEIGHTS = np.polynomial.legendre.leggauss(200)
 
 
 def _phi(z: np.ndarray) -> np.ndarray:
-    return 0.5 * _erfc(-z / math.sqrt(2.0))
+    return 0.5 * _each(math.erfc, -z / math.sqrt(2.0))
 
 
-@F.pandas_udf("double")
-def normal_cdf(z: pd.Series) -> pd.Series:
+def _normal_cdf(z: pd.Series) -> pd.Series:
     return pd.Series(_phi(z.to_numpy(dtype=float)))
 
 
+def normal_cdf(z) -> Column:
+    return F.pandas_udf(_normal_cdf, "double")(z)
+
+
 def normal_quantile(p: float) -> float:
     """Quantile of a plan-time constant, by bisection."""
     low, high = -10.0, 10.0
@@ -39,30 +47,36 @@ def normal_quantile(p: float) -> float:
     return (low + high) / 2
 
 
-@F.pandas_udf("double")
-def normal_ppf(p: pd.Series) -> pd.Series:
+def _normal_ppf(p: pd.Series) -> pd.Series:
     return p.map(lambda x: normal_quantile(x) if x is not None and 0 < x < 1 else None)
 
 
-def _t_cdf(t: np.ndarray, df: np.ndarray) -> np.ndarray:
+def normal_ppf(p) -> Column:
+    return F.pandas_udf(_normal_ppf, "double")(p)
+
+
+def _t_area(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     """Integral of the density from 0 to |t|: with t = sqrt(df) tan(a) it is an integral of cos(a)^(df-1)."""
     edge = np.arctan(np.abs(t) / np.sqrt(df))
     angle = (np.outer(edge, _NODES) + edge[:, None]) / 2
     area = (np.cos(angle) ** (df - 1)[:, None]) @ _WEIGHTS * edge / 2
-    scale = np.exp(_lgamma((df + 1) / 2) - _lgamma(df / 2)) / math.sqrt(math.pi)
+    scale = np.exp(_each(math.lgamma, (df + 1) / 2) - _each(math.lgamma, df / 2)) / math.sqrt(math.pi)
     half = np.clip(area * scale, 0.0, 0.5)
     return np.where(t < 0, 0.5 - half, 0.5 + half)
 
 
-@F.pandas_udf("double")
-def t_cdf(t: pd.Series, df: pd.Series) -> pd.Series:
-    """Student t; the normal above 1000 degrees of freedom."""
+def _t_cdf(t: pd.Series, df: pd.Series) -> pd.Series:
     x, d = t.to_numpy(dtype=float), df.to_numpy(dtype=float)
     small = np.where(d > 1000, 1000.0, d)
-    return pd.Series(np.where(d > 1000, _phi(x), _t_cdf(x, small)))
+    return pd.Series(np.where(d > 1000, _phi(x), _t_area(x, small)))
 
 
-def _chi2_cdf(x: float, k: float) -> float:
+def t_cdf(t, df) -> Column:
+    """Student t; the normal above 1000 degrees of freedom."""
+    return F.pandas_udf(_t_cdf, "double")(t, df)
+
+
+def _chi2_point(x: float, k: float) -> float:
     """Series of the lower incomplete gamma function."""
     if x <= 0:
         return 0.0
@@ -76,6 +90,9 @@ def _chi2_cdf(x: float, k: float) -> float:
     return min(1.0, math.exp(-h + a * math.log(h) - math.lgamma(a)) * total)
 
 
-@F.pandas_udf("double")
-def chi2_cdf(x: pd.Series, k: pd.Series) -> pd.Series:
-    return pd.Series([_chi2_cdf(float(a), float(b)) for a, b in zip(x, k, strict=True)])
+def _chi2_cdf(x: pd.Series, k: pd.Series) -> pd.Series:
+    return pd.Series([_chi2_point(float(a), float(b)) for a, b in zip(x, k, strict=True)])
+
+
+def chi2_cdf(x, k) -> Column:
+    return F.pandas_udf(_chi2_cdf, "double")(x, k)

@@ -80,7 +80,8 @@ def sentences(text, rule: str = "after_mark") -> Column:
     elif rule == "marks":
         parts = F.split(c, r"[.!?]+")
     else:
-        parts = F.regexp_extract_all(c, F.lit(r"[^.!?]+[.!?]+"), F.lit(0))
+        # cut after every run of marks: linear, where a search for "text then mark" rescans an open tail
+        parts = F.filter(F.split(c, r"(?<=[.!?])(?![.!?])"), lambda s: s.rlike(r"^[^.!?]") & s.rlike(r"[.!?]$"))
     parts = F.transform(parts, lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
     return F.filter(parts, lambda s: s != "")
 

@@ -50,6 +50,9 @@ def fill_gaps(df: DataFrame, ts: str, value: Column) -> DataFrame:
 def hierarchy(df: DataFrame, key: str, parent: str, label: str) -> DataFrame:
     """Depth and path of every node below the roots, by a recursive query."""
     spark = df.sparkSession
+    # the default caps on recursion rows and levels would stop a large tree with an error
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    spark.conf.set("spark.sql.cteRecursionLevelLimit", "-1")
     df.select(F.col(key).alias("id"), F.col(parent).alias("parent_id"), F.col(label).alias("label")).createOrReplaceTempView(
         "hierarchy_nodes"
     )
