@@ -188,7 +188,28 @@ def url_parts(t):
     )
 
 
-@query("normal_cdf_ppf")
+def phi_sql(z: str) -> str:
+    """Normal probability by Simpson's rule, for the SQL side."""
+    steps = "list_sum(list_transform(range(0, 2001), lambda i: CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-(((Z) * i / 2000.0) ** 2 / 2))))"
+    return "(0.5 + " + steps.replace("(Z)", f"({z})") + f" * ({z}) / 6000.0 / sqrt(2 * pi()))"
+
+
+def t_sql(t: str, df: str) -> str:
+    """Student t probability by Simpson's rule over the angle."""
+    edge = f"atan(({t}) / sqrt({df}))"
+    steps = f"list_sum(list_transform(range(0, 2001), lambda i: CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * cos({edge} * i / 2000.0) ** (({df}) - 1)))"
+    return f"(0.5 + {steps} * {edge} / 6000.0 * exp(lgamma((({df}) + 1) / 2) - lgamma(({df}) / 2)) / sqrt(pi()))"
+
+
+@query(
+    "normal_cdf_ppf",
+    f"""
+    WITH s AS (SELECT avg(p_retailprice) AS m, stddev_samp(p_retailprice) AS s FROM part),
+    z AS (SELECT p_brand, (avg(p_retailprice) - max(m)) / (max(s) / sqrt(count(*))) AS z FROM part, s GROUP BY 1)
+    SELECT p_brand, z, {phi_sql('z')} AS p, z AS z_back FROM z
+    """,
+    digits="z:6 p:6 z_back:6",
+)
 def normal_cdf_ppf(t):
     """Standard scores of the mean price of every brand, their probability, and the quantile back."""
     stats = t.part.agg(F.avg("p_retailprice").alias("m"), F.stddev_samp("p_retailprice").alias("s"), F.count(F.lit(1)).alias("n"))
@@ -198,7 +219,16 @@ def normal_cdf_ppf(t):
     return z.withColumn("z_back", P.normal_ppf("p"))
 
 
-@query("t_chi2_cdf")
+@query(
+    "t_chi2_cdf",
+    f"""
+    WITH g AS (SELECT o_orderpriority, (avg(o_totalprice) - 250000) / (stddev_samp(o_totalprice) / sqrt(count(*))) AS stat, count(*) / 100.0 AS df FROM orders GROUP BY 1)
+    SELECT o_orderpriority, stat, df, {t_sql('stat', 'df')} AS t_p,
+      list_sum(list_transform(range(0, 2001), lambda i: CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * (abs(stat) * 1.5 * i / 2000.0) ** (df / 2 - 1) * exp(-abs(stat) * 1.5 * i / 2000.0)))
+        * abs(stat) * 1.5 / 6000.0 / exp(lgamma(df / 2)) AS chi2_p FROM g
+    """,
+    digits="stat:6 df t_p:6 chi2_p:8",
+)
 def t_chi2_cdf(t):
     """t and chi-square probabilities of grouped order prices."""
     g = t.orders.groupBy("o_orderpriority").agg(
