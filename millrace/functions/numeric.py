@@ -73,8 +73,8 @@ def level_value(x, table: Mapping[str, float], default: float) -> Column:
 
 
 def python_round(x, digits: int = 0) -> Column:
-    """Half-to-even rounding."""
-    return F.bround(_c(x), digits)
+    """Half-to-even rounding; noise far below the last digit is removed first."""
+    return F.bround(F.round(_c(x), digits + 7), digits)
 
 
 def magnitude_block(x, digits: int = 3) -> Column:
