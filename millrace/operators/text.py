@@ -401,9 +401,8 @@ def ambiguity(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
 
 def redundancy(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
     """Three-word phrases of a line seen before in the same text, with how often."""
-    lines = df.select(*keys, F.explode(F.split(text, "\n")).alias("t"))
-    w = X.white_words("t")
-    grams = F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.array_join(F.slice(w, i, F.lit(3)), " "))).otherwise(F.array().cast("array<string>"))
+    lines = df.select(*keys, F.explode(F.split(text, "\n")).alias("t")).select(*keys, X.white_words("t").alias("w"))
+    grams = F.when(F.size("w") >= 3, F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, F.lit(3)), " "))).otherwise(F.array().cast("array<string>"))
     rows = lines.select(*keys, F.explode(grams).alias("g")).select(*keys, F.regexp_replace(F.lower("g"), r"[^\p{L}\p{N}_\s]", "").alias("phrase"))
     out = rows.where(F.length("phrase") > 10).groupBy(*keys, "phrase").agg((F.count(F.lit(1)) - 1).alias("repeats"))
     return out.where("repeats > 0")
