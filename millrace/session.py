@@ -74,6 +74,24 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Tables whose rows cost much computing per byte read.
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a text table at least one partition per core.
+
+    A table smaller than cores x split size is read in fewer tasks than there are cores, and text work is
+    bound by computing. Its bytes are known to be few, so one shuffle is cheap. A large table already has
+    more splits than cores and is left as it is.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128MB"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * split else df
+
+
 class Tables:
     """Attribute access to the Parquet tables below one folder: ``t.orders``."""
 
@@ -88,4 +106,5 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise AttributeError(name)
-        return self.spark.read.parquet(self.path(name))
+        df = self.spark.read.parquet(self.path(name))
+        return spread(df) if name in TEXT_TABLES else df
