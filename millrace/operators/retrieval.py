@@ -364,11 +364,16 @@ def connected_components(nodes: DataFrame, key: str, edges: DataFrame, max_round
         kept = moved if large else moved.unionByName(low.select("u", F.col("m").alias("v")))
         return kept.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
+    def mark(pairs: DataFrame) -> tuple:
+        """Count and two order-free hash sums: equal marks mean an unchanged edge set."""
+        h = [F.sum(F.pmod(F.xxhash64("u", "v", F.lit(i)), F.lit(2**31)).cast("decimal(38,0)")) for i in range(2)]
+        return tuple(pairs.agg(F.count(F.lit(1)), *h).first())
+
+    seen = mark(e)
     for _ in range(max_rounds):
-        new = star(star(e, large=True), large=False).checkpoint()
-        changed = new.exceptAll(e).limit(1).count() + e.exceptAll(new).limit(1).count()
-        e = new
-        if not changed:
+        e = star(star(e, large=True), large=False).checkpoint()
+        last, seen = seen, mark(e)
+        if seen == last:
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -407,3 +407,119 @@ def redundancy(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
     out = rows.where(F.length("phrase") > 10).groupBy(*keys, "phrase").agg((F.count(F.lit(1)) - 1).alias("repeats"))
     return out.where("repeats > 0")
 
+
+
+# Headline words, jargon, promotion, and the voice dimensions.
+POWER = (
+    "now today instantly immediately urgent limited exclusive last hurry deadline expires fast free save proven guaranteed results boost increase grow maximize unlock secret revealed transform master ultimate best top powerful "
+    "discover uncover surprising shocking hidden unknown insider hack trick truth experts researchers scientists officially certified award-winning world-class easy simple effortless quick step-by-step foolproof beginner without "
+    "avoid stop never mistake fail warning danger worst deadly risky"
+).split()
+TRIGGERS = (
+    "love hate fear hope joy pain anger envy trust doubt regret pride shame relief success failure happiness frustration excitement anxiety lonely powerful confident inspired"
+).split()
+JARGON = "synergy leverage disruptive paradigm scalable bandwidth ping holistic ecosystem utilize facilitate ideate incentivize stakeholders deliverables actionable bespoke granular".split()
+VOICE = {
+    "formality": {"formal": ["hereby", "therefore", "furthermore", "pursuant", "regarding"], "casual": ["hey", "cool", "awesome", "stuff", "yeah", "gonna"]},
+    "tone": {"professional": ["expertise", "solution", "optimize", "leverage", "strategic"], "friendly": ["happy", "excited", "love", "enjoy", "together", "share"]},
+    "perspective": {"authoritative": ["proven", "research shows", "experts agree", "data indicates"], "conversational": ["you might", "let's explore", "we think", "imagine if"]},
+}
+STATISTIC = r"(?i)\b\d+(?:\.\d+)?%|\$\d+|\d+(?:,\d{3})+|\d+x\b"
+SOURCE_MARK = r"(?i)\[(?:source|citation|ref|via|from)\b.*?\]|\(https?://\S+\)"
+PROMOTION = r"(?i)\b(?:our product|we offer|sign up|try free|get started|our platform|our solution)\b"
+FRESH = r"(?im)^(?:date_?modified|updated|last_updated):\s*\d{4}|(?:updated|modified|reviewed|published).*?\d{4}"
+
+
+def headline_score(df: DataFrame, headline: str, keys: Sequence[str]) -> DataFrame:
+    """Power words 25, triggers 15, numbers 15, length 20, specificity 15, clarity 10, and the grade."""
+    h = F.col(headline)
+    base = df.select(*keys, h.alias("__h"), F.regexp_extract_all(F.lower(h), F.lit(r"[\p{L}\p{N}_]+(?:[-'][\p{L}\p{N}_]+)*"), F.lit(0)).alias("__t"))
+    count = lambda words: F.size(F.filter("__t", lambda t: t.isin(list(words))))
+    n, p = F.size("__t"), count(POWER)
+    has = lambda pattern: F.col("__h").rlike("(?iU)" + pattern).cast("int")
+    signals = has(r"\b\d+\b") + has(r"\b(?:in \d+|within \d+|\d+ days?|\d+ weeks?|\d+ months?|\d+ hours?|\d+ minutes?)\b") + has(r"\b(?:how to|step|guide|checklist|strategy|system|framework|formula)\b") + has(r"\b\d+%\b")
+    parts = {
+        "power_words": F.least(F.lit(100), p * 35 + F.when(p > 0, 10).otherwise(0)), "triggers": F.least(F.lit(100), count(TRIGGERS) * 50), "numbers": F.when(has(r"\b\d+(?:[,\.]\d+)?%?\b") == 1, 100).otherwise(0),
+        "length": F.when(n.between(6, 12), 100).when(n < 6, F.greatest(F.lit(0), 40 + (n - 1) * 12)).otherwise(F.greatest(F.lit(0), 100 - (n - 12) * 10)), "specificity": F.least(F.lit(100), signals * 34), "clarity": F.greatest(F.lit(0), 100 - count(JARGON) * 30),
+    }
+    out = base.select(*keys, *[v.cast("int").alias(k) for k, v in parts.items()])
+    weights = {"power_words": 0.25, "triggers": 0.15, "numbers": 0.15, "length": 0.20, "specificity": 0.15, "clarity": 0.10}
+    out = out.withColumn("overall", N.python_round(N.weighted_score(weights, bound=False), 0))
+    return out.withColumn("grade", N.threshold_label("overall", [(85, "A"), (70, "B"), (55, "C"), (40, "D")], "F"))
+
+
+def voice_profile(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
+    """Keyword hits by voice category and the dominant one of every dimension with a hit."""
+    low = F.lower(F.col(text))
+    items = []
+    for dim, cats in VOICE.items():
+        (a, wa), (b, wb) = cats.items()
+        na, nb = X.hits(low, wa), X.hits(low, wb)
+        items.append(F.when(na + nb > 0, F.struct(F.lit(dim).alias("dimension"), na.alias("first_hits"), nb.alias("second_hits"), F.when(na >= nb, a).otherwise(b).alias("dominant"))))
+    return df.select(*keys, F.inline(F.filter(F.array(*items), lambda x: x.isNotNull())))
+
+
+def quality_gates(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
+    """Findings of eight document gates; a gate passes without findings."""
+    c = F.col(text)
+    base = df.select(*keys, c.alias("__c"), F.regexp_replace(c, r"(?s)\A---.*?---\s*", "").alias("__b"), F.transform(F.regexp_extract_all(c, F.lit(r"(?dm)^(#{1,6})\s+.+$"), F.lit(1)), F.length).alias("__l"))
+    skips = F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.size("__l") - 1, F.lit(1))), lambda i: (i < F.size("__l")) & (F.get("__l", i) > F.get("__l", i - 1) + 1)))
+    paras = F.filter(F.transform(F.split("__b", r"\n\s*\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: ~p.rlike(r"^(#|```|\|)"))
+    long = F.size(F.filter(paras, lambda p: F.size(X.white_words(p)) > 150))
+    alts = F.size(F.filter(F.regexp_extract_all("__c", F.lit(r"!\[([^\]]*)\]\("), F.lit(1)), lambda a: F.trim(a) == ""))
+    lines = F.filter(F.split("__b", "\r\n|[\n\r]"), lambda s: ~F.ltrim(s).rlike(r"^(#|```)") & s.rlike("(?U)" + STATISTIC) & ~s.rlike(SOURCE_MARK))
+    title = F.trim(F.regexp_extract("__c", r"(?dm)^#\s+(.+)$", 1))
+    desc = F.trim(F.regexp_extract("__c", r"(?dm)^description:\s*[\"']?(.+?)[\"']?\s*$", 1))
+    promo = F.regexp_count("__c", F.lit("(?U)" + PROMOTION))
+    gates = {
+        "heading_hierarchy": skips, "paragraph_length": long, "image_alt_text": alts, "source_citations": F.size(lines), "title_length": F.when(F.length(title).between(50, 60), 0).otherwise(1),
+        "meta_description": F.when((desc == "") | F.length(desc).between(150, 160), 0).otherwise(1), "self_promotion": F.when(promo > 1, 1).otherwise(0), "freshness": F.when(F.col("__c").rlike("(?d)" + FRESH), 0).otherwise(1),
+    }
+    out = base.select(*keys, *[v.cast("int").alias(k) for k, v in gates.items()])
+    return out.withColumn("passed", sum([(F.col(g) == 0).cast("int") for g in gates], F.lit(0)))
+
+
+def content_score(df: DataFrame, text: str, title: str, keyword: str, keys: Sequence[str]) -> DataFrame:
+    """Readability, search, structure and engagement at 25 points each, and the grade."""
+    c, low = F.col(text), F.lower(F.col(text))
+    base = df.select(
+        *keys, c.alias("__c"), low.alias("__l"), F.coalesce(F.col(title), F.lit("")).alias("__t"), X.sentences(text, "marks").alias("__s"), X.tokens(text, "alpha").alias("__a"),
+        F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)).alias("__w"), F.filter(F.transform(F.split(c, "\n\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "").alias("__p"),
+    )
+    vowels = lambda w: F.greatest(F.lit(1), F.when(w.endswith("e") & (F.length(w) > 2), F.greatest(F.lit(1), F.regexp_count(w, F.lit("[aeiouy]+")) - 1)).otherwise(F.regexp_count(w, F.lit("[aeiouy]+"))))
+    n = F.greatest(F.lit(1), F.size("__a"))
+    ease = N.python_round(N.clamp(206.835 - 1.015 * n / F.greatest(F.lit(1), F.size("__s")) - 84.6 * _sum_over(F.transform("__a", vowels)) / n), 1)
+    lengths = _word_lengths(F.col("__s"), 3)
+    read = F.least(F.lit(25), _ladder(ease, [(65, 15), (55, 12), (45, 8), (35, 4)], 0) + F.when(F.size(lengths) > 1, F.least(F.lit(10), F.floor(_spread(lengths)))).otherwise(0))
+    kw = keyword.lower()
+    k = F.array(*[F.lit(x) for x in kw.split()])
+    size = len(kw.split())
+    seen = F.when(F.size("__w") >= size, F.size(F.filter(F.sequence(F.lit(1), F.size("__w") - size + 1), lambda i: F.slice("__w", i, F.lit(size)) == k))).otherwise(0)
+    density = seen * size / F.greatest(F.lit(1), F.size("__w")) * 100
+    h2 = F.regexp_count("__c", F.lit(r"(?dm)^## .+"))
+    seo = F.least(
+        F.lit(25), F.when(F.lower("__t").contains(kw), 7).otherwise(0) + F.when(F.array_join(F.slice("__w", 1, 100), " ").contains(kw), 5).otherwise(0) + F.when(density.between(0.5, 2.5), 5).when(seen > 0, 2).otherwise(0)
+        + F.when(h2 >= 3, 5).when(h2 >= 1, 2).otherwise(0) + F.when(F.length("__t").between(30, 65), 3).otherwise(0),
+    )
+    first, last = F.get("__p", 0), F.get("__p", F.size("__p") - 1)
+    count = lambda p: F.size(X.white_words(p))
+    h2s = F.regexp_count("__c", F.lit(r"(?dm)^## "))
+    plain = F.filter("__p", lambda p: ~p.startswith("#"))
+    mean = _sum_over(F.transform(plain, lambda p: F.size(X.white_words(p)))) / F.size(plain)
+    structure = F.least(
+        F.lit(25),
+        F.when(first.isNotNull() & ~first.startswith("#"), F.when(count(first).between(30, 200), 7).when(count(first) > 0, 3).otherwise(0)).otherwise(0) + F.when(h2s >= 4, 8).when(h2s >= 2, 5).when(h2s >= 1, 2).otherwise(0)
+        + F.when(last.isNotNull(), F.when(X.any_of(F.lower(last), CLOSINGS) & (count(last) >= 20), 7).when(count(last) >= 30, 4).otherwise(0)).otherwise(0) + F.when((F.size(plain) > 0) & (mean <= 80), 3).otherwise(0),
+    )
+    asks, numbers = X.count_of(F.col("__c"), "?"), F.regexp_count("__c", F.lit(r"(?U)\b\d+(?:\.\d+)?%?\b"))
+    samples = F.lit(0)
+    for e in EXAMPLES:
+        samples = samples + X.count_of(F.col("__l"), e)
+    items = F.regexp_count("__c", F.lit(r"(?dm)^\s*[-*•]\s+.+|^\s*\d+\.\s+.+"))
+    engage = F.least(
+        F.lit(25), F.when(asks >= 3, 6).when(asks >= 1, 3).otherwise(0) + F.when(numbers >= 5, 7).when(numbers >= 2, 4).when(numbers >= 1, 2).otherwise(0) + F.when(samples >= 3, 6).when(samples >= 1, 3).otherwise(0)
+        + F.when(items >= 5, 6).when(items >= 2, 3).otherwise(0),
+    )
+    out = base.select(*keys, read.cast("int").alias("readability"), seo.cast("int").alias("seo"), structure.cast("int").alias("structure"), engage.cast("int").alias("engagement"))
+    out = out.withColumn("total", F.col("readability") + F.col("seo") + F.col("structure") + F.col("engagement"))
+    return out.withColumn("grade", N.threshold_label("total", [(90, "A+"), (80, "A"), (70, "B"), (60, "C")], "D"))

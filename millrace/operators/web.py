@@ -28,8 +28,28 @@ CTA_TEXT = (
 )
 FEATURES = (
     "title string, description string, viewport boolean, headings array<struct<level:int,text:string>>, images array<struct<src:string,alt:string>>, links array<struct<href:string,text:string>>, "
-    "forms int, fields int, buttons int, cta_links int, early_ctas int, logos int, jsonld array<string>, body_text string"
+    "forms int, fields int, buttons int, cta_links int, early_ctas int, logos int, jsonld array<string>, body_text string, "
+    "form_rows array<struct<fields:array<struct<type:string,name:string,placeholder:string,required:boolean,autocomplete:boolean,labelled:boolean>>,buttons:array<string>>>"
 )
+# Button texts that say nothing.
+WEAK_BUTTONS = ("submit", "send", "go", "ok")
+# Required and recommended fields of structured data by type.
+ARTICLE = "headline image datePublished author"
+SCHEMA_FIELDS = {
+    "Article": (ARTICLE, "dateModified publisher description url mainEntityOfPage"),
+    "BlogPosting": (ARTICLE, "dateModified publisher description url mainEntityOfPage"),
+    "NewsArticle": (ARTICLE, "dateModified publisher description url"),
+    "HowTo": ("name step", "description image totalTime tool supply estimatedCost"),
+    "FAQPage": ("mainEntity", ""),
+    "Product": ("name offers", "description image sku brand aggregateRating"),
+    "Organization": ("name url", "logo sameAs contactPoint description foundingDate"),
+    "LocalBusiness": ("name address", "telephone openingHoursSpecification geo priceRange image url"),
+    "BreadcrumbList": ("itemListElement", ""),
+    "VideoObject": ("name description thumbnailUrl uploadDate", "duration contentUrl embedUrl interactionStatistic hasPart"),
+    "WebSite": ("url", "name potentialAction"),
+    "Event": ("name startDate location", "endDate description image organizer offers"),
+    "Recipe": ("name image author datePublished", "description cookTime prepTime totalTime recipeYield recipeIngredient recipeInstructions aggregateRating"),
+}
 
 
 class _Page(HTMLParser):
@@ -40,7 +60,7 @@ class _Page(HTMLParser):
     def __init__(self) -> None:
         super().__init__()
         self.open: dict[str, list[str]] = {}
-        self.row: dict = {"title": "", "description": "", "viewport": False, "headings": [], "images": [], "links": [], "forms": 0, "fields": 0, "buttons": 0, "cta_links": 0, "early_ctas": 0, "logos": 0, "jsonld": []}
+        self.row: dict = {"title": "", "description": "", "viewport": False, "headings": [], "images": [], "links": [], "forms": 0, "fields": 0, "buttons": 0, "cta_links": 0, "early_ctas": 0, "logos": 0, "jsonld": [], "form_rows": []}
         self.body: list[str] = []
         self.in_body = False
         self.mute = ""
@@ -49,10 +69,12 @@ class _Page(HTMLParser):
         self.level = 0
         self.ld = False
         self.cta = False
+        self.form: dict | None = None
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
         r = self.row
+        self._form_part(tag, a, dict(attrs))
         if self.in_body and tag not in ("script", "style", "body"):
             self.place += 1
         early = int(self.place <= 5)
@@ -94,8 +116,34 @@ class _Page(HTMLParser):
             r["buttons"] += 1
             r["early_ctas"] += early
 
+    def _form_part(self, tag, a, raw):
+        """Fields, labels and buttons of the open form."""
+        if tag == "form":
+            self.form = {"fields": [], "buttons": []}
+        elif self.form is None:
+            return
+        elif tag in ("input", "textarea", "select"):
+            kind = a.get("type", "text").lower() if tag == "input" else tag
+            if kind == "submit":
+                self.form["buttons"].append(raw.get("value", "Submit") or "")
+            elif kind != "hidden":
+                hint = "" if tag == "select" else a.get("placeholder", "")
+                self.form["fields"].append({"type": kind, "name": a.get("name", ""), "placeholder": hint, "required": "required" in raw, "autocomplete": tag == "input" and a.get("autocomplete", "") != "", "labelled": False})
+        elif tag == "label":
+            for field in self.form["fields"]:
+                field["labelled"] = field["labelled"] or (a.get("for", "") != "" and field["name"] == a["for"])
+        elif tag == "button":
+            self.open["button"] = []
+
     def handle_endtag(self, tag):
         r = self.row
+        if tag == "button" and "button" in self.open:
+            text = "".join(x.strip() for x in self.open.pop("button"))
+            if text and self.form is not None:
+                self.form["buttons"].append(text)
+        elif tag == "form" and self.form is not None:
+            r["form_rows"].append(self.form)
+            self.form = None
         if tag == self.mute:
             self.mute = ""
             if "ld" in self.open:
@@ -203,3 +251,46 @@ def url_structure(pages: DataFrame, url: str) -> DataFrame:
     slug = pages.select(F.element_at(F.when(depth > 0, parts), -1).alias("name"), F.array_join(F.slice(parts, 1, F.greatest(depth - 1, F.lit(0))), "/").alias("parent"))
     twins = slug.where("name IS NOT NULL").groupBy("name").agg(F.countDistinct("parent").alias("parents"), F.count(F.lit(1)).alias("n")).where("parents > 1")
     return counts.unionByName(twins.select(F.lit("sibling_slug").alias("kind"), "name", "n"))
+
+
+def form_fields(features: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Fields, phone fields, missing labels, weak button text, counts of issues and warnings, and a score per form."""
+    f = features.select(*keys, F.posexplode("form_rows").alias("form", "r"))
+    fields, n = F.col("r.fields"), F.size("r.fields")
+    count = lambda test: F.size(F.filter(fields, test))
+    is_phone = lambda x: F.lower(x["name"]).contains("phone") | (x["type"] == "tel")
+    phone, forced = count(is_phone), count(lambda x: is_phone(x) & x["required"])
+    bare = count(lambda x: ~x["labelled"] & (x["placeholder"] == ""))
+    hint = count(lambda x: ~x["labelled"] & (x["placeholder"] != ""))
+    weak = F.size(F.filter("r.buttons", lambda b: F.lower(b).isin(list(WEAK_BUTTONS))))
+    must = count(lambda x: x["required"])
+    num = lambda test: test.cast("int")
+    issues = num(n > 7) + num(forced > 0) + num(bare > 0) + num(F.size("r.buttons") == 0)
+    warnings = num((n > 4) & (n <= 7)) + num((phone > 0) & (forced == 0)) + num(hint > 0) + weak + num((count(lambda x: x["autocomplete"]) == 0) & (n > 0)) + num((must == n) & (n > 2))
+    out = f.select(*keys, "form", n.alias("fields"), must.alias("required"), phone.alias("phone_fields"), bare.alias("unlabelled"), weak.alias("weak_buttons"), issues.alias("issues"), warnings.alias("warnings"))
+    return out.withColumn("score", F.greatest(F.lit(0), F.least(F.lit(100), 100 - F.col("issues") * 15 - F.col("warnings") * 5 + F.when(F.col("fields") <= 3, 5).otherwise(0))))
+
+
+def jsonld_validate(features: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per structured-data object: type, status, score from required (70) and recommended (30) fields, missing ones."""
+    blocks = features.select(*keys, F.posexplode("jsonld").alias("block", "raw"))
+    ok = F.try_parse_json("raw").isNotNull()
+    members = F.from_json(F.get_json_object("raw", "$.@graph"), "array<string>")
+    rows = blocks.select(*keys, "block", ok.alias("ok"), F.explode(F.coalesce(F.when(ok, members), F.array("raw"))).alias("obj"))
+    named = F.get_json_object("obj", "$.@type")
+    several = F.from_json(named, "array<string>")
+    known = F.filter(several, lambda x: x.isin(list(SCHEMA_FIELDS)))
+    kind = F.when(F.col("ok"), F.when(named.startswith("["), F.coalesce(F.get(known, 0), F.get(several, 0))).otherwise(named))
+    table = lambda i: F.create_map(*[x for k, v in SCHEMA_FIELDS.items() for x in (F.lit(k), F.split(F.lit(v[i]), " ") if v[i] else F.array().cast("array<string>"))])
+    rows = rows.withColumn("type", kind).withColumn("need", table(0)[F.col("type")]).withColumn("wish", table(1)[F.col("type")])
+
+    def lacking(c: str) -> Column:
+        value = lambda f: F.coalesce(F.call_function("get_json_object", F.col("obj"), F.concat(F.lit("$."), f)), F.lit(""))
+        return F.filter(c, lambda f: value(f).isin("", "[]", "{}", "0", "false"))
+
+    rows = rows.withColumn("miss", lacking("need")).withColumn("less", lacking("wish"))
+    part = lambda all_, miss, points: F.when(F.size(all_) > 0, (F.size(all_) - F.size(miss)) / F.size(all_) * points).otherwise(float(points))
+    listed = F.col("need").isNotNull()
+    score = F.when(listed, F.floor(part("need", "miss", 70) + part("wish", "less", 30))).when(F.col("ok") & F.col("type").isNotNull(), 50).otherwise(0)
+    status = F.when(~F.col("ok"), "parse_error").when(F.col("type").isNull(), "no_type").when(~listed, "unknown_type").when(F.size("miss") > 0, "missing_required").otherwise("valid")
+    return rows.select(*keys, "block", "type", status.alias("status"), score.cast("int").alias("score"), F.array_join("miss", ",").alias("missing"))

@@ -300,3 +300,60 @@ def ambiguity_redundancy(t):
     vague = X.ambiguity(t.conversations, "text", keys).groupBy(*keys, "kind").agg(F.sum("matches").alias("findings"))
     again = X.redundancy(t.conversations, "text", keys).groupBy(*keys).agg(F.lit("redundancy").alias("kind"), F.sum("repeats").alias("findings"))
     return vague.unionByName(again)
+
+
+TTL = "trim(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'))"
+
+
+@query(
+    "headline_score",
+    f"""
+    WITH h AS (SELECT page_id, regexp_replace({TTL}, '[À-ɏ]', '_', 'g') AS h FROM pages), t AS (SELECT *, regexp_extract_all(lower(h), '[\\p{{L}}\\p{{N}}_]+(?:[-''][\\p{{L}}\\p{{N}}_]+)*') AS t FROM h),
+    p AS (SELECT page_id, len(list_filter(t, lambda x: x IN ('{"', '".join(X.POWER)}'))) AS pw, len(list_filter(t, lambda x: x IN ('{"', '".join(X.TRIGGERS)}'))) AS tr, len(list_filter(t, lambda x: x IN ('{"', '".join(X.JARGON)}'))) AS ja, len(t) AS n,
+      regexp_matches(h, '\\b\\d+(?:[,\\.]\\d+)?%?\\b') AS nu, regexp_matches(h, '\\b\\d+\\b')::INT + regexp_matches(h, '(?i)\\b(?:in \\d+|within \\d+|\\d+ days?|\\d+ weeks?|\\d+ months?|\\d+ hours?|\\d+ minutes?)\\b')::INT
+      + regexp_matches(h, '(?i)\\b(?:how to|step|guide|checklist|strategy|system|framework|formula)\\b')::INT + regexp_matches(h, '\\b\\d+%\\b')::INT AS sg FROM t),
+    s AS (SELECT page_id, least(100, pw * 35 + CASE WHEN pw > 0 THEN 10 ELSE 0 END)::INT AS power_words, least(100, tr * 50)::INT AS triggers, CASE WHEN nu THEN 100 ELSE 0 END AS numbers, CASE WHEN n BETWEEN 6 AND 12 THEN 100 WHEN n < 6 THEN greatest(0, 40 + (n - 1) * 12) ELSE greatest(0, 100 - (n - 12) * 10) END::INT AS length,
+      least(100, sg * 34)::INT AS specificity, greatest(0, 100 - ja * 30)::INT AS clarity FROM p),
+    o AS (SELECT *, round_even(round((power_words * 0.25 + triggers * 0.15 + numbers * 0.15 + length * 0.2 + specificity * 0.15 + clarity * 0.1)::DOUBLE, 7), 0) AS overall FROM s)
+    SELECT *, CASE WHEN overall >= 85 THEN 'A' WHEN overall >= 70 THEN 'B' WHEN overall >= 55 THEN 'C' WHEN overall >= 40 THEN 'D' ELSE 'F' END AS grade FROM o
+    """,
+    digits="overall:0",
+)
+def headline_score(t):
+    title = F.trim(F.replace(F.replace(F.replace(F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1), F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&")))
+    return X.headline_score(t.pages.select("page_id", title.alias("title")), "title", ["page_id"])
+
+
+def _voice_sql():
+    parts = []
+    for dim, cats in X.VOICE.items():
+        (a, wa), (b, wb) = cats.items()
+        parts.append(f"SELECT doc_id, '{dim}' AS dimension, {hit_sql(wa)} AS first_hits, {hit_sql(wb)} AS second_hits, CASE WHEN {hit_sql(wa)} >= {hit_sql(wb)} THEN '{a}' ELSE '{b}' END AS dominant FROM d")
+    return " UNION ALL ".join(parts)
+
+
+@query("voice_profile", f"WITH d AS (SELECT doc_id, lower(text) AS l FROM documents) SELECT * FROM ({_voice_sql()}) WHERE first_hits + second_hits > 0")
+def voice_profile(t):
+    return X.voice_profile(t.documents, "text", ["doc_id"])
+
+
+@query(
+    "quality_gates",
+    f"""
+    WITH b AS (SELECT doc_id, {PLAIN} AS text FROM documents), c AS (SELECT doc_id, text, regexp_replace(text, '(?s)\\A---.*?---\\s*', '') AS body, list_transform(regexp_extract_all(text, '(?m)^(#{{1,6}})\\s+.+$', 1), lambda x: length(x)) AS l FROM b),
+    g AS (SELECT doc_id, len(list_filter(range(2, len(l) + 1), lambda i: l[i] > l[i - 1] + 1))::INT AS heading_hierarchy,
+      len(list_filter(list_transform(string_split_regex(body, '\\n\\s*\\n'), lambda p: trim(p, E' \\t\\n\\r')), lambda p: NOT regexp_matches(p, '^(#|```|\\|)') AND len(list_filter(string_split_regex(p, '\\s+'), lambda x: x <> '')) > 150))::INT AS paragraph_length,
+      len(list_filter(regexp_extract_all(text, '!\\[([^\\]]*)\\]\\(', 1), lambda a: trim(a) = ''))::INT AS image_alt_text,
+      len(list_filter(string_split(body, E'\\n'), lambda s: NOT regexp_matches(ltrim(s), '^(#|```)') AND regexp_matches(s, '{X.STATISTIC}') AND NOT regexp_matches(s, '{X.SOURCE_MARK}')))::INT AS source_citations,
+      CASE WHEN length(trim(regexp_extract(text, '(?m)^#\\s+(.+)$', 1))) BETWEEN 50 AND 60 THEN 0 ELSE 1 END AS title_length, 0 AS meta_description, (len(regexp_extract_all(text, '{X.PROMOTION}')) > 1)::INT AS self_promotion, (NOT regexp_matches(text, '{X.FRESH}'))::INT AS freshness FROM c)
+    SELECT *, (heading_hierarchy = 0)::INT + (paragraph_length = 0)::INT + (image_alt_text = 0)::INT + (source_citations = 0)::INT + (title_length = 0)::INT + (meta_description = 0)::INT + (self_promotion = 0)::INT + (freshness = 0)::INT AS passed FROM g
+    """,
+)
+def quality_gates(t):
+    return X.quality_gates(t.documents, "text", ["doc_id"])
+
+
+@query("content_score")
+def content_score(t):
+    """The first line stands in for the title, a frequent word for the keyword; the tests hold a text with known points."""
+    return X.content_score(t.documents.withColumn("title", F.substring_index("text", "\n", 1)), "text", "title", "the", ["doc_id"])

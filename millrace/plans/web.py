@@ -117,3 +117,43 @@ def bbox_reformat(t):
     x, y, w, h = P.from_centre(F.col("cx"), F.col("cy"), F.col("nw"), F.col("nh"), wd, ht)
     back = P.from_corners(x, y, x + w, y + h)
     return c.select("*", *[v.alias(n) for v, n in zip(back, ("back_x", "back_y", "back_w", "back_h"), strict=True)])
+
+
+def enriched(t):
+    """Pages with one structured-data block and one form each, made from their number."""
+    k = F.col("page_id") % 5
+    name = F.concat(F.lit('"Page '), F.col("page_id"), F.lit('"'))
+    doc = (
+        F.when(k == 0, F.concat(F.lit('{"@type": "Article", "headline": '), name, F.lit(', "image": "https://x/a.png", "author": {"name": "A"}, "url": "https://x"}')))
+        .when(k == 1, F.concat(F.lit('{"@graph": [{"@type": "WebSite", "url": "https://x", "name": '), name, F.lit('}, {"@type": ["Thing", "FAQPage"], "mainEntity": []}]}')))
+        .when(k == 2, F.concat(F.lit('{"@type": "Article", "headline": '), name))
+        .when(k == 3, F.concat(F.lit('{"headline": '), name, F.lit("}")))
+        .otherwise(F.concat(F.lit('{"@type": "Gadget", "name": '), name, F.lit("}")))
+    )
+    block = F.concat(F.lit('<script type="application/ld+json">'), doc, F.lit("</script>"))
+    tel = F.when(k == 1, '<input type="tel" name="p" required>').when(k == 2, '<input name="phone2" placeholder="call">').otherwise("")
+    extra = F.concat_ws("", F.transform(F.sequence(F.lit(1), k.cast("int") + 1), lambda i: F.concat(F.lit('<input name="f'), i, F.lit('">'))))
+    form = F.concat(F.lit("<form>"), extra, tel, F.lit('<label for="f1">One</label>'), F.when(k == 3, "").when(k == 4, "<button>Get it</button>").otherwise('<input type="submit" value="Send">'), F.lit("</form>"))
+    return W.html_features(t.pages.withColumn("html", F.concat("html", block, form)), "html", ["page_id"])
+
+
+@query(
+    "jsonld_validate",
+    """
+    WITH v(k, block, type, status, score, missing) AS (VALUES (0, 0, 'Article', 'missing_required', 58, 'datePublished'), (1, 0, 'WebSite', 'valid', 85, ''), (1, 0, 'FAQPage', 'missing_required', 30, 'mainEntity'),
+      (2, 0, NULL, 'parse_error', 0, NULL), (3, 0, NULL, 'no_type', 0, NULL), (4, 0, 'Gadget', 'unknown_type', 50, NULL)) SELECT page_id, block, type, status, score, missing FROM pages JOIN v ON k = page_id % 5
+    """,
+)
+def jsonld_validate(t):
+    return W.jsonld_validate(enriched(t), ["page_id"])
+
+
+@query(
+    "form_fields",
+    """
+    WITH v(k, fields, required, phone_fields, unlabelled, weak_buttons, issues, warnings) AS (VALUES (0, 1, 0, 0, 0, 1, 0, 2), (1, 3, 1, 1, 2, 1, 2, 2), (2, 4, 0, 1, 2, 1, 1, 4), (3, 4, 0, 0, 3, 0, 2, 1), (4, 5, 0, 0, 4, 0, 1, 2))
+    SELECT page_id, 0 AS form, fields, required, phone_fields, unlabelled, weak_buttons, issues, warnings, greatest(0, least(100, 100 - issues * 15 - warnings * 5 + CASE WHEN fields <= 3 THEN 5 ELSE 0 END)) AS score FROM pages JOIN v ON k = page_id % 5
+    """,
+)
+def form_fields(t):
+    return W.form_fields(enriched(t), ["page_id"])
