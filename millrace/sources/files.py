@@ -126,5 +126,5 @@ def load_rules(text: str) -> list[ColumnRule]:
 
 def read_text_corpus(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """One row per file with its path and size."""
-    df = spark.read.option("wholetext", True).option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path)
+    df = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path, wholetext=True)
     return df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("value").alias("text"))
