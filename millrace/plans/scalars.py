@@ -224,8 +224,8 @@ def normal_cdf_ppf(t):
     f"""
     WITH g AS (SELECT o_orderpriority, (avg(o_totalprice) - 250000) / (stddev_samp(o_totalprice) / sqrt(count(*))) AS stat, count(*) / 100.0 AS df FROM orders GROUP BY 1)
     SELECT o_orderpriority, stat, df, {t_sql('stat', 'df')} AS t_p,
-      list_sum(list_transform(range(0, 2001), lambda i: CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * (abs(stat) * 1.5 * i / 2000.0) ** (df / 2 - 1) * exp(-abs(stat) * 1.5 * i / 2000.0)))
-        * abs(stat) * 1.5 / 6000.0 / exp(lgamma(df / 2)) AS chi2_p FROM g
+      list_sum(list_transform(range(0, 2001), lambda i: CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * 2 * (sqrt(abs(stat) * 1.5) * i / 2000.0) ** (df - 1) * exp(-(abs(stat) * 1.5 * i * i / 4000000.0))))
+        * sqrt(abs(stat) * 1.5) / 6000.0 / exp(lgamma(df / 2)) AS chi2_p FROM g
     """,
     digits="stat:6 df t_p:6 chi2_p:8",
 )

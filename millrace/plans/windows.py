@@ -145,7 +145,8 @@ def sequence_gaps(t):
     "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1",
 )
 def dedupe_latest(t):
-    return W.latest_per_key(t.events, ["user_id", "event_type"], ["ts", "event_id"]).select(
+    rows = t.events.select("user_id", "event_type", "ts", "event_id", "value")
+    return W.latest_per_key(rows, ["user_id", "event_type"], ["ts", "event_id"]).select(
         "user_id", "event_type", "event_id", "value"
     )
 
