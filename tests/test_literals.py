@@ -238,3 +238,20 @@ def test_approx_distinct(spark):
     df = spark.range(20000).select((F.col("id") % 5000).alias("u"))
     got = one(df.agg(F.approx_count_distinct("u", 0.02).alias("n"))).n
     assert abs(got - 5000) < 5000 * 0.06
+
+
+def test_check_plugin(spark):
+    from millrace.operators.plugins import CheckSet
+
+    checks = CheckSet()
+    checks.add("positive", "critical", 0.0)(lambda: F.col("x") > 0)
+    checks.add("small", "warning", 0.5)(lambda: F.col("x") < 10)
+    df = spark.createDataFrame([(1,), (-1,), (20,), (None,)], "x int")
+    got = {r.check: (r.failed, r.share, r.passed) for r in checks.run(df).collect()}
+    assert got == {"positive": (2, 0.5, False), "small": (2, 0.5, True)}
+
+
+def test_content_score_engagement(spark):
+    text = "Why now? Who cares? What next?\n\nFor example 1, 2, 3, 4 and 5 of them, such as these, imagine that.\n\n- a\n- b\n- c\n- d\n- e"
+    r = one(TX.content_score(spark.createDataFrame([(text, "t")], "t string, title string"), "t", "title", "zebra", []))
+    assert r.engagement == 25 and r.seo == 0 and r.total == r.readability + r.structure + 25
