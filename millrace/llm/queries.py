@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import common, language, near
+from millrace.llm import common, language, near, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,3 +59,24 @@ FROM d JOIN m USING (doc_id) LEFT JOIN n USING (doc_id)
 def op7_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     out = near.near_duplicates(_table(spark, folder, "documents"), width=4, percent=80)
     return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+REPEATS_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+v AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS i, w FROM d WHERE len(w) >= 35),
+h AS (SELECT doc_id, i, md5_number(array_to_string(w[i:i + 34], ' ')) AS h FROM v),
+g AS (SELECT doc_id, i FROM h WHERE h IN (SELECT h FROM h GROUP BY h HAVING count(*) > 1)),
+m AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS k FROM g),
+c AS (SELECT doc_id, list(k) AS gone FROM m GROUP BY doc_id),
+x AS (SELECT d.doc_id, w, coalesce(gone, []) AS gone FROM d LEFT JOIN c USING (doc_id)),
+k AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM x),
+t AS (SELECT k.doc_id, string_agg(word, ' ' ORDER BY k.k) AS kept FROM k ANTI JOIN m ON k.doc_id = m.doc_id AND k.k = m.k GROUP BY k.doc_id)
+SELECT x.doc_id, len(w)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM x LEFT JOIN t USING (doc_id)
+"""
+
+
+@query(REPEATS_SQL)
+def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = substring.drop_repeats(_table(spark, folder, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
