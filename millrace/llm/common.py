@@ -50,11 +50,11 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             at = stop
 
 
-def words(text: pa.Array, *, lower: bool) -> Words:
-    """Words of every text; a null or blank text has none."""
+def words(text: pa.Array, *, lower: bool, every: bool = False) -> Words:
+    """Words of every text; a null or blank text has none. ``lower``: A-Z, or with ``every`` all letters."""
     filled = pc.fill_null(text, "")
     if lower:
-        filled = pc.ascii_lower(filled)
+        filled = pc.utf8_lower(filled) if every else pc.ascii_lower(filled)
     lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(filled))
     flat = lists.flatten()
     count = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import common, language, near, substring
+from millrace.llm import common, language, leaks, near, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,6 +37,12 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", (common.bucket("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+@query()
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    out = leaks.find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return out.select("doc_id", "item_id", "score", "start", "length")
+
+
 NEAR_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
