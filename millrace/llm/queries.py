@@ -67,7 +67,7 @@ def op7_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
-def _tokenizer() -> str:
+def tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
@@ -75,7 +75,7 @@ def _tokenizer() -> str:
 
 @query()
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
-    out = packing.pack(_table(spark, folder, "documents"), _tokenizer())
+    out = packing.pack(_table(spark, folder, "documents"), tokenizer_path())
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
