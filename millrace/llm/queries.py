@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import common, language, leaks, near, packing, substring
+from millrace.llm import common, language, leaks, near, packing, substring, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -79,6 +79,28 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+#: Host, path and verdict of the listed rules.
+LISTED = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
+
+URL_SQL = r"""
+WITH a AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS s FROM pages),
+p AS (SELECT row_number() OVER () AS n, page_id, translate(regexp_extract(coalesce(s, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(coalesce(s, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+l(h, f, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+b AS (SELECT n, arg_max(h || f, length(h || f)) AS rule, arg_max(v, length(h || f)) AS v FROM p JOIN l
+  ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, f) GROUP BY n)
+SELECT page_id, host, path, rule, coalesce(b.v, CASE WHEN regexp_matches(host || path, '^([^/]*[.-])?(@WORDS@)[.-]')
+  OR regexp_matches(host || path, '(/wp-login\.php|[.]exe|[.]apk)$|/cgi-bin/') THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN b USING (n)
+""".replace("@WORDS@", "|".join(urls.HOST_WORDS))
+
+
+@query(URL_SQL)
+def op9_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    rules = urls.rule_table(spark, [urls.listed_rule(*r) for r in LISTED] + urls.pattern_rules())
+    return urls.judge(_table(spark, folder, "pages"), rules)
+
+
 REPEATS_SQL = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 v AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS i, w FROM d WHERE len(w) >= 35),
