@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import common, language, leaks, near, packing, substring, urls
+from millrace.llm import common, language, lattice, leaks, near, packing, substring, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,6 +37,15 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", (common.bucket("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+@query()
+def op3_lattice_score(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    held = common.bucket("doc_id", 7) == 2
+    out = lattice.score(_table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"), ~held)
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query()
 def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     out = leaks.find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
