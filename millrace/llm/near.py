@@ -5,10 +5,12 @@ leading bits name the bin, the smallest value in a bin is its minimum. An empty
 one that a hash of (bin, attempt) names, the same way for every text.
 
 Equal sets are one class from the start. Classes that share a band meet in a bucket. A bucket is linked as a
-star: every member is compared with one centre, so pairs are as many as members. Then members in the centre's
-component need no more comparisons, and the centre leaves. Buckets whose members are still in several
-components go on with more centres, so in the end any two members were compared or are connected: no link
-found by the bands is lost, and large groups of copies, which fall together in the first star, cost no pairs.
+star: every member is compared with one centre, the member that shares most bands with others, so pairs are as many
+as members, and a large group of near copies mostly falls together at once. Buckets whose members are then in
+several components are gone through again. Shingles that only one of their classes has bound what a class can share
+with any other, and those with too many cannot be linked and leave. What is left outside a bucket's main component is
+compared with the whole bucket. So any two members of a bucket were compared, are connected, or cannot be linked:
+no link found by the bands is lost.
 """
 
 from __future__ import annotations
@@ -131,10 +133,26 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             sets, starts = shingle_sets(part, "__text", width)
             yield common.rows_of(part, ["cls"], members=common.list_array(common.signed(sets), starts))
 
-    one = docs.join(wanted, "__row").select("cls", "__text")
+    one = docs.select("__row", "__text").join(wanted, "__row").select("cls", "__text")
     return one.mapInArrow(run, "cls long, members array<long>").dropDuplicates(["cls"])
 
 
+def _likely(met: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (u, v) of ``cls`` and ``head`` whose sizes and signatures allow a link."""
+    pairs = met.select(F.least("cls", "head").alias("u"), F.greatest("cls", "head").alias("v")).distinct()
+    for side in "uv":
+        pairs = pairs.join(facts.select(F.col("cls").alias(side), F.col("n").alias(f"n_{side}"), F.col("low").alias(f"low_{side}")), side)
+    fits = F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * percent
+    return _estimate(pairs.where(fits), percent)
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links among the pairs, counted on full sets."""
+    both = pairs.join(sets.select(F.col("cls").alias("u"), F.col("members").alias("x")), "u").join(sets.select(F.col("cls").alias("v"), F.col("members").alias("y")), "v")
+    both = both.select("u", "v", F.size(F.array_intersect("x", "y")).alias("s"), (F.size("x") + F.size("y")).alias("t"))
+    return both.where(F.col("s") * 100 >= (F.col("t") - F.col("s")) * percent).select(F.col("u").alias("source"), F.col("v").alias("target"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *, width: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: ``key``, ``row``, ``n_shingles``, ``component_id``, ``kept``.
 
@@ -150,39 +168,37 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     classes = common.stored(classes, "near-classes")
     facts = classes.select("cls", "n", "low")
     banded = classes.select("cls", F.explode("bands").alias("band"))
-    members = common.stored(banded.join(banded.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("band"), "band"), "near-buckets")
-    members = members.withColumn("comp", F.col("cls"))
-    comps = classes.select("cls", F.col("cls").alias("component"))
-    links, tested, sets, centres = None, None, None, 1
-    while members.limit(1).count():
-        group = F.pmod(F.xxhash64(F.lit(centres), "cls"), F.lit(centres))
-        heads = members.groupBy("band", group.alias("g")).agg(F.min(F.struct(F.xxhash64("cls", F.lit(centres)), "cls", "comp")).alias("h"))
-        heads = heads.select("band", F.col("h.cls").alias("head"), F.col("h.comp").alias("head_comp"))
-        met = members.join(heads, "band").where("cls <> head and comp <> head_comp")
-        pairs = met.select(F.least("cls", "head").alias("u"), F.greatest("cls", "head").alias("v")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        for side in "uv":
-            pairs = pairs.join(facts.select(F.col("cls").alias(side), F.col("n").alias(f"n_{side}"), F.col("low").alias(f"low_{side}")), side)
-        fits = F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * percent
-        likely = common.stored(_estimate(pairs.where(fits), percent), "near-likely")
-        tested = likely if tested is None else tested.unionByName(likely)
-        wanted = likely.select(F.explode(F.array("u", "v")).alias("cls")).distinct()
-        if sets is not None:
-            wanted = wanted.join(sets.select("cls"), "cls", "left_anti")
-        more = common.stored(_sets(rows.select("__row", "__text"), wanted.join(classes.select("cls", "__row"), "cls"), width), "near-sets")
-        sets = more if sets is None else sets.unionByName(more)
-        both = likely.join(sets.select(F.col("cls").alias("u"), F.col("members").alias("x")), "u").join(sets.select(F.col("cls").alias("v"), F.col("members").alias("y")), "v")
-        shared = F.size(F.array_intersect("x", "y"))
-        found = both.select("u", "v", shared.alias("s"), (F.size("x") + F.size("y")).alias("t")).where(F.col("s") * 100 >= (F.col("t") - F.col("s")) * percent)
-        found = common.stored(found.select(F.col("u").alias("source"), F.col("v").alias("target")), "near-links")
-        links = found if links is None else links.unionByName(found)
-        comps = connected_components(classes.select("cls"), "cls", links)
-        left = members.select("band", "cls").join(heads.select("band", F.col("head").alias("cls")), ["band", "cls"], "left_anti")
-        left = left.join(comps.withColumnRenamed("component", "comp"), "cls")
-        open_ = left.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
-        members = common.stored(left.join(open_, "band").select("band", "cls", "comp"), "near-open")
-        centres *= 8
+    crowded = banded.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    members = common.stored(banded.join(crowded, "band"), "near-buckets")
+    weight = members.groupBy("cls").agg(F.sum("c").alias("weight"))
+
+    # every member with its bucket's centre
+    weighed = common.stored(members.select("band", "cls").join(weight, "cls"), "near-members")
+    heads = weighed.groupBy("band").agg(F.max(F.struct("weight", "cls")).alias("h")).select("band", F.col("h.cls").alias("head"))
+    met = members.select("band", "cls").join(heads, "band").where("cls <> head")
+    star = common.stored(_likely(met, facts, percent), "near-star")
+    sets = common.stored(_sets(rows, star.select(F.explode(F.array("u", "v")).alias("cls")).distinct().join(classes.select("cls", "__row"), "cls"), width), "near-sets")
+    links = common.stored(_confirmed(star, sets, percent), "near-links")
+    comps = common.stored(connected_components(classes.select("cls"), "cls", links), "near-components")
+
+    # buckets that hold several components
+    placed = common.stored(members.select("band", "cls").join(comps, "cls").join(heads.join(comps.select(F.col("cls").alias("head"), F.col("component").alias("main")), "head").select("band", "main"), "band"), "near-placed")
+    several = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
+    left = common.stored(placed.join(several, "band"), "near-open")
+    wanted = left.select("cls").distinct().join(sets.select("cls"), "cls", "left_anti")
+    sets = sets.unionByName(common.stored(_sets(rows, wanted.join(classes.select("cls", "__row"), "cls"), width), "near-more-sets"))
+    held = left.select("cls").distinct().join(sets, "cls").select("cls", F.explode("members").alias("m"))
+    alone = held.groupBy("m").agg(F.count(F.lit(1)).alias("c"), F.min("cls").alias("cls")).where("c = 1").groupBy("cls").agg(F.count(F.lit(1)).alias("own"))
+    shares = facts.select("cls", "n").join(alone, "cls", "left").select("cls", (F.col("n") - F.coalesce("own", F.lit(0))).alias("most"))
+    alive = left.join(shares.join(facts.select("cls", "n"), "cls").where(F.col("most") * 100 >= F.col("n") * percent), "cls")
+    alive = common.stored(alive, "near-alive")
+    outside = alive.where("component <> main").select("band", F.col("cls").alias("head"), F.col("component").alias("head_component"), F.col("n").alias("head_n"), F.col("most").alias("head_most"))
+    # shared <= least(most), and 100 shared >= percent * (sum of sizes - shared)
+    possible = F.least("most", "head_most") * (100 + percent) >= (F.col("n") + F.col("head_n")) * percent
+    met = alive.join(outside, "band").where("component <> head_component").where(possible).select("cls", "head")
+    rest = common.stored(_likely(met, facts, percent).join(star, ["u", "v"], "left_anti"), "near-rest")
+    links = links.unionByName(common.stored(_confirmed(rest, sets, percent), "near-more-links"))
+    comps = connected_components(classes.select("cls"), "cls", links)
     whole = comps.join(classes.select("cls", "low_key"), "cls")
     named = whole.join(whole.groupBy("component").agg(F.min("low_key").alias("component_id")), "component").select("cls", "component_id")
     out = sig.select(F.col("__key").alias(key), F.col("__row").alias("row"), F.col("n").alias("n_shingles"), "cls").join(named, "cls", "left")
