@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import common, language, lattice, leaks, near, packing, substring, urls
+from millrace.llm import common, language, lattice, leaks, near, packing, substring, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,6 +46,14 @@ def op3_lattice_score(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+@query()
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    model = toxicity.fit(docs, _table(spark, folder, "labels"), common.bucket("k", 5) != 0)
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", (common.bucket("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 @query()
 def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     out = leaks.find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
