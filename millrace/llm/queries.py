@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import common, language, lattice, leaks, near, packing, substring, toxicity, urls
+from millrace.llm import common, language, lattice, leaks, near, neighbours, packing, substring, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,6 +54,12 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", (common.bucket("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+@query()
+def op5_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _table(spark, folder, "embeddings")
+    return neighbours.nearest(rows, rows.where("vec_id % 50 = 0"))
+
+
 @query()
 def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     out = leaks.find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
