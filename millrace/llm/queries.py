@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import common, language, lattice, leaks, near, neighbours, packing, substring, toxicity, urls
+from millrace.llm import common, language, lattice, leaks, near, neighbours, packing, pages, substring, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +29,11 @@ def query(sql: str | None = None):
     return wrap
 
 
+@query()
+def op1_html_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.main_text(_table(spark, folder, "pages"), pages.fit())
+
+
 @query()
 def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
