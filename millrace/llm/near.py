@@ -8,9 +8,10 @@ Equal sets are one class from the start. Classes that share a band meet in a buc
 star: every member is compared with one centre, the member that shares most bands with others, so pairs are as many
 as members, and a large group of near copies mostly falls together at once. Buckets whose members are then in
 several components are gone through again. Shingles that only one of their classes has bound what a class can share
-with any other, and those with too many cannot be linked and leave. What is left outside a bucket's main component is
-compared with the whole bucket. So any two members of a bucket were compared, are connected, or cannot be linked:
-no link found by the bands is lost.
+with any other, and those with too many cannot be linked and leave. Two of the rest can share only shingles of
+the centre, and then no more than the one that shares less with it, or share one that the centre lacks. Few pairs pass
+either test, and all that do are compared. So any two members of a bucket were compared, are connected, or
+cannot be linked: no link found by the bands is lost, without meeting all pairs of a group.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import common
@@ -153,6 +154,29 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.col("s") * 100 >= (F.col("t") - F.col("s")) * percent).select(F.col("u").alias("source"), F.col("v").alias("target"))
 
 
+def _others(apart: DataFrame) -> DataFrame:
+    return apart.withColumnsRenamed({"cls": "other", "component": "other_component", "n": "other_n", "most": "other_most", "shared": "other_shared"}).drop("outside")
+
+
+def _may_share(a: str, b: str, percent: int) -> Column:
+    """Whether sharing the smaller of two numbers of shingles would link ``cls`` and ``other``."""
+    return F.least(a, b) * (100 + percent) >= (F.col("n") + F.col("other_n")) * percent
+
+
+def _same_extra(apart: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one centre that share a shingle which the centre lacks; one of them is outside its component."""
+    each = apart.select("head", "cls", "n", "most", "component", "outside", F.explode("extra").alias("m"))
+    met = each.where("outside").join(_others(each), ["head", "m"]).where("component <> other_component")
+    return met.where(_may_share("most", "other_most", percent)).select("cls", F.col("other").alias("head"))
+
+
+def _same_centre(apart: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one centre that would be linked if they shared all that the one with less shares with the centre."""
+    part = apart.drop("extra")
+    met = part.where("outside").join(_others(part), "head").where("component <> other_component")
+    return met.where(_may_share("shared", "other_shared", percent)).select("cls", F.col("other").alias("head"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *, width: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: ``key``, ``row``, ``n_shingles``, ``component_id``, ``kept``.
 
@@ -192,10 +216,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     shares = facts.select("cls", "n").join(alone, "cls", "left").select("cls", (F.col("n") - F.coalesce("own", F.lit(0))).alias("most"))
     alive = left.join(shares.join(facts.select("cls", "n"), "cls").where(F.col("most") * 100 >= F.col("n") * percent), "cls")
     alive = common.stored(alive, "near-alive")
-    outside = alive.where("component <> main").select("band", F.col("cls").alias("head"), F.col("component").alias("head_component"), F.col("n").alias("head_n"), F.col("most").alias("head_most"))
-    # shared <= least(most), and 100 shared >= percent * (sum of sizes - shared)
-    possible = F.least("most", "head_most") * (100 + percent) >= (F.col("n") + F.col("head_n")) * percent
-    met = alive.join(outside, "band").where("component <> head_component").where(possible).select("cls", "head")
+    # differences from the centre, of members in question
+    near_head = alive.join(heads, "band").where("cls <> head").select("head", "cls", "n", "most", "component", (F.col("component") != F.col("main")).alias("outside")).distinct()
+    both = near_head.join(sets.select(F.col("cls").alias("head"), F.col("members").alias("centre")), "head").join(sets, "cls")
+    apart = both.select("head", "cls", "n", "most", "component", "outside", F.size(F.array_intersect("members", "centre")).alias("shared"), F.array_except("members", "centre").alias("extra"))
+    apart = common.stored(apart, "near-differences")
+    met = _same_extra(apart, percent).unionByName(_same_centre(apart, percent))
     rest = common.stored(_likely(met, facts, percent).join(star, ["u", "v"], "left_anti"), "near-rest")
     links = links.unionByName(common.stored(_confirmed(rest, sets, percent), "near-more-links"))
     comps = connected_components(classes.select("cls"), "cls", links)
