@@ -138,4 +138,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write once below the shared folder and read back: the work is not done again, and lost executors don't matter."""
     path = work_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Empty the folder of a stored table that nothing reads any more."""
+    df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(df.stored_at)

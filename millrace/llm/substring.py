@@ -146,6 +146,7 @@ def repeated_spans(rows: DataFrame, window: int) -> DataFrame:
     again = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor")
     spots = anchors.join(again, "anchor").groupBy("__row").agg(F.collect_set("pos").alias("spots"), F.count(F.lit(1)).alias("c"))
     spots = common.stored(spots.select("__row", "spots", (F.col("c") > F.size("spots")).alias("twice")), "sub-spots")
+    common.discard(anchors)
     blocks = common.stored(_blocks(rows.join(spots, "__row"), window), "sub-blocks")
     ref = blocks.groupBy("anchor").agg(F.min(F.struct("__row", "start", "rel", "wins")).alias("r"))
     ref = ref.select("anchor", F.col("r.__row").alias("ref_row"), F.col("r.start").alias("ref_start"), F.col("r.rel").alias("ref_rel"), F.col("r.wins").alias("ref_wins"))
