@@ -26,14 +26,16 @@ CACHE = 1_000_000
 #: Rows of one length that one task ranks.
 RANKED_ROWS = 50_000
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Letters and digits that stay one letter or digit when the tokenizer normalises them.
+STABLE = r"[0-9A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}\x{400}-\x{481}\x{48A}-\x{52F}\x{4E00}-\x{9FFF}]$"
 _ENCODERS: dict[str, Encoder] = {}
 
 
 class Encoder:
     """Ids of strings by a public tokenizer file; strings seen before are looked up.
 
-    White space ends a word in this tokenizer, and letters or digits never merge with punctuation after
-    them. So a text is the row of its words, and a word that ends so is its core and its tail; distinct
+    White space ends a word in this tokenizer, and letters or digits do not merge with punctuation after
+    them unless normalising splits them; such stay whole. So a text is the row of its words, and a word that ends so is its core and its tail; distinct
     strings become few. Strings that may hold a special token are left as they are.
     """
 
@@ -82,7 +84,7 @@ class Encoder:
         special = pc.match_substring(w.distinct, "<|")
         low = pc.if_else(special, w.distinct, pc.ascii_lower(w.distinct))
         core = pc.ascii_rtrim(low, PUNCTUATION)
-        split = pc.and_(pc.match_substring_regex(core, r"[\p{L}\p{N}]$"), pc.invert(special))
+        split = pc.and_(pc.match_substring_regex(core, STABLE), pc.invert(special))
         core = pc.if_else(split, core, low)
         tail = _rest(low, core)
         both = pa.concat_arrays([core, tail]).dictionary_encode()
