@@ -21,13 +21,16 @@ from pyspark.sql import functions as F
 
 from millrace.llm import common
 
+#: Bytes of text that are encoded together.
+SLICE = 8 << 20
 #: Strings whose ids a task keeps.
 CACHE = 1_000_000
 #: Rows of one length that one task ranks.
 RANKED_ROWS = 50_000
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Letters and digits that stay one letter or digit when the tokenizer normalises them.
-STABLE = r"[0-9A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}\x{400}-\x{481}\x{48A}-\x{52F}\x{4E00}-\x{9FFF}]$"
+#: Letters that stay one letter when the tokenizer normalises them.
+LETTERS = r"A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}\x{400}-\x{481}\x{48A}-\x{52F}\x{4E00}-\x{9FFF}"
+STABLE, PLAIN = f"[0-9{LETTERS}]$", f"^[{LETTERS}]+$"
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -44,6 +47,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.clear()
 
     @staticmethod
@@ -69,15 +75,36 @@ class Encoder:
         miss[inside] = self.keys[at[inside]] != h[inside]
         if miss.any():
             new, first = np.unique(h[miss], return_index=True)
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(strings.filter(pa.array(miss)).take(pa.array(first)).to_pylist(), add_special_tokens=False)]
-            size = np.array([len(x) for x in ids])
+            flat, size = self._new(strings.filter(pa.array(miss)).take(pa.array(first)))
             start = len(self.flat) + np.cumsum(size) - size
-            self.flat = np.concatenate([self.flat, np.array([i for x in ids for i in x], np.uint32)])
+            self.flat = np.concatenate([self.flat, flat])
             at = np.searchsorted(self.keys, new)
             self.keys, self.start, self.size = (np.insert(a, at, b) for a, b in ((self.keys, new), (self.start, start), (self.size, size)))
             at = np.searchsorted(self.keys, h)
         return self.start[at], self.size[at]
 
+    def _each(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _new(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of strings not seen before. A string of letters is one word of the tokenizer, which its last id ends, so
+        many are encoded as one text and cut at those ids."""
+        plain = pc.match_substring_regex(strings, PLAIN).to_numpy(zero_copy_only=False)
+        words = strings.filter(pa.array(plain)).to_pylist()
+        ids = np.concatenate([np.zeros(0, np.uint32), *self._each([" ".join(words[i : i + 2000]) for i in range(0, len(words), 2000)])])
+        last = np.flatnonzero(self.ends[ids])
+        if len(last) != len(words):
+            raise ValueError("the tokenizer does not end each word with an id of its own")
+        rest = self._each(strings.filter(pa.array(~plain)).to_pylist())
+        size = np.zeros(len(strings), np.int64)
+        size[plain] = np.diff(last, prepend=-1)
+        size[~plain] = [len(x) for x in rest]
+        flat = np.concatenate([ids, *rest])
+        start = np.zeros(len(strings), np.int64)
+        start[plain] = np.cumsum(size[plain]) - size[plain]
+        start[~plain] = len(ids) + np.cumsum(size[~plain]) - size[~plain]
+        return _ragged(flat, start, size), size
+
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and where each text begins."""
         w = common.words(text, lower=False)
@@ -122,7 +149,7 @@ def cut(docs: DataFrame, path: str, length: int, end_id: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
-        for part in common.slices(batches, "__text"):
+        for part in common.slices(batches, "__text", SLICE):
             ids, starts = encoder.encode(part.column("__text"))
             owner, start, size, crc, tokens = [], [], [], [], []
             for i, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):
