@@ -159,27 +159,37 @@ class Lattice:
         return out
 
 
+#: Bytes of text whose words are counted together.
+SLICE = 12 << 20
+
+
 def _postings(docs: DataFrame) -> DataFrame:
-    """Word, its count in training texts, and the rows that hold it how often; one row per slice and word."""
+    """Word, its count in training texts, and which texts of a slice hold it how often; one row per slice and word.
+
+    A slice is named by a hash of its rows, and its texts by number; the row of the end also lists their names.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in common.slices(batches, "__text"):
+        for part in common.slices(batches, "__text", SLICE):
             w = common.words(part.column("__text"), lower=True)
-            n = len(w.distinct)
-            docs_in = len(w.starts) - 1
-            cell, tf = np.unique(w.codes.astype(np.int64) * docs_in + w.owners(), return_counts=True)
-            cell = np.append(cell, n * docs_in + np.arange(docs_in))
-            tf = np.append(tf, np.ones(docs_in, np.int64))
-            code, doc = cell // docs_in, cell % docs_in
-            train = part.column("__train").to_numpy(zero_copy_only=False)
-            count = np.bincount(code, tf * train[doc], minlength=n + 1).astype(np.int64)
+            n, texts = len(w.distinct), part.num_rows
+            cell, tf = np.unique(w.codes.astype(np.int64) * texts + w.owners(), return_counts=True)
+            cell = np.append(cell, n * texts + np.arange(texts))
+            tf = np.append(tf, np.ones(texts, np.int64)).astype(np.int32)
+            code, doc = np.divmod(cell, texts)
+            held = part.column("__train").to_numpy(zero_copy_only=False)
+            count = np.bincount(code, tf * held[doc], minlength=n + 1).astype(np.int64)
             ends = np.concatenate(([0], np.cumsum(np.bincount(code, minlength=n + 1))))
+            rows = part.column("__row").to_numpy()
+            name = int(common.mix(rows.view(U64) + common.mix(np.arange(texts, dtype=U64))).sum(dtype=U64))
+            name -= (name >> 63) << 64
+            names = pa.ListArray.from_arrays(pa.array([0] * (n + 1) + [texts], pa.int32()), pa.array(rows), mask=pa.array([True] * n + [False]))
             yield pa.RecordBatch.from_arrays(
-                [pa.concat_arrays([w.distinct, pa.array([END])]), pa.array(count), common.list_array(part.column("__row").take(pa.array(doc)), ends), common.list_array(pa.array(tf.astype(np.int32)), ends)],
-                names=["word", "c", "rows", "tfs"],
+                [pa.array(np.full(n + 1, name)), pa.concat_arrays([w.distinct, pa.array([END])]), pa.array(count), common.list_array(pa.array(doc.astype(np.int32)), ends), common.list_array(pa.array(tf), ends), names],
+                names=["slice", "word", "c", "texts", "tfs", "rows"],
             )
 
-    return docs.select("__row", "__text", "__train").mapInArrow(run, "word string, c long, rows array<long>, tfs array<int>")
+    return docs.select("__row", "__text", "__train").mapInArrow(run, "slice long, word string, c long, texts array<int>, tfs array<int>, rows array<long>")
 
 
 def train(vocabulary: DataFrame, pieces: Pieces, rounds: int) -> np.ndarray:
@@ -243,10 +253,13 @@ def score(docs: DataFrame, path: str, train_rows: Column, key: str = "doc_id", t
             yield common.rows_of(batch, ["word"], known=pa.array(c > 0), base=pa.array(np.log10(c + 1.0)), log=pa.array(log / math.log(10)))
 
     weighed = common.stored(vocabulary.mapInArrow(weigh, "word string, known boolean, base double, log double"), "lattice-weights")
-    each = post.select("word", "rows", "tfs").join(weighed, "word").selectExpr("known", "base", "log", f"word = '{END}' as end", "inline(arrays_zip(rows, tfs)) as (row, tf)")
-    sums = each.groupBy("row").agg(
+    each = post.select("slice", "word", "texts", "tfs").join(weighed, "word").selectExpr("slice", f"word = '{END}' as end", "known", "base", "log", "inline(arrays_zip(texts, tfs)) as (at, tf)")
+    sums = each.groupBy("slice", "at").agg(
         F.sum("tf").alias("t"), F.sum(F.when(F.col("known"), F.col("tf")).otherwise(0)).alias("k"), F.sum(F.col("tf") * F.col("base")).alias("b"), F.sum(F.col("tf") * F.col("log")).alias("s"), F.sum(F.when(F.col("end"), F.col("tf")).otherwise(0)).alias("times")
     )
+    named = post.where("rows is not null").select("slice", F.posexplode("rows").alias("at", "row"))
+    # rows repeated as they are have equal sums, and slices with the same rows add up
+    sums = sums.join(named.distinct(), ["slice", "at"]).dropDuplicates(["row"])
     each_token = math.log10(total + types + 1)
     out = rows.select("__key", F.col("__row").alias("row")).join(sums, "row")
     n = F.expr("t div times")
