@@ -165,3 +165,9 @@ def path_pattern(path: Column) -> Column:
         lambda p: F.when(p.rlike("^[a-z][-a-z]+$") & (F.length(p) < 30), p).otherwise(F.lit("{slug}")),
     )
     return F.concat(F.lit("/"), F.array_join(parts, "/"))
+
+
+def prefixed(columns) -> Column:
+    """The columns as one text that can be taken apart again: length, colon and value each, a hyphen for null."""
+    parts = [F.col(c).cast("string") for c in columns]
+    return F.concat(*[F.coalesce(F.concat(F.char_length(p).cast("string"), F.lit(":"), p), F.lit("-")) for p in parts])

@@ -54,7 +54,7 @@ def retention_curve(df: DataFrame, user: str, ts: str, max_period: int) -> DataF
     """Share of users active n days after their first day."""
     days = _active_days(df, user, ts)
     first = days.groupBy("user").agg(F.min("day").alias("first"))
-    active = days.join(first, "user").groupBy(F.datediff("day", "first").cast("long").alias("period")).agg(F.countDistinct("user").alias("n"))
+    active = days.join(first, "user").groupBy(F.datediff("day", "first").cast("long").alias("period")).agg(F.count(F.lit(1)).alias("n"))
     base = first.agg(F.count(F.lit(1)).alias("base"))
     spine = df.sparkSession.range(max_period + 1).select(F.col("id").alias("period"))
     out = spine.join(active, "period", "left").crossJoin(F.broadcast(base))
@@ -69,7 +69,7 @@ def cohort_matrix(df: DataFrame, user: str, ts: str, max_period: int, grain: str
     first = days.groupBy("user").agg(F.min("day").alias("first")).withColumn("cohort", key)
     sizes = first.groupBy("cohort").agg(F.count(F.lit(1)).alias("cohort_size"))
     aged = days.join(first, "user").withColumn("age_days", F.datediff("day", "first").cast("long"))
-    active = aged.groupBy("cohort", "age_days").agg(F.countDistinct("user").alias("n"))
+    active = aged.groupBy("cohort", "age_days").agg(F.count(F.lit(1)).alias("n"))
     grid = sizes.select("cohort", "cohort_size", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max_period).cast("long"))).alias("age_days"))
     out = grid.join(active, ["cohort", "age_days"], "left")
     n = F.coalesce("n", F.lit(0))
@@ -83,7 +83,7 @@ def stage_counts(df: DataFrame, user: str, stage: str, stages: Sequence[str], ke
     """Distinct users of every listed stage (and key), missing stages as 0."""
     spine = df.sparkSession.createDataFrame([(i, s) for i, s in enumerate(stages)], "pos int, stage string")
     counts = df.where(F.col(stage).isin(list(stages))).groupBy(*keys, F.col(stage).alias("stage")).agg(F.countDistinct(user).alias("users"))
-    grid = F.broadcast(spine) if not keys else df.select(*keys).distinct().crossJoin(F.broadcast(spine))
+    grid = F.broadcast(spine) if not keys else counts.select(*keys).distinct().crossJoin(F.broadcast(spine))
     out = grid.join(counts, [*keys, "stage"], "left")
     return out.select(*keys, "pos", "stage", F.coalesce("users", F.lit(0)).alias("users"))
 

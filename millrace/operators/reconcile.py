@@ -44,10 +44,11 @@ def row_checksum_diff(source: DataFrame, target: DataFrame, key: str, columns: S
 def group_checksum(source: DataFrame, target: DataFrame, keys: Sequence[str], columns: Sequence[str], amount: str) -> DataFrame:
     """Count, sum and checksum by group, differing groups only.
 
-    The checksum is the sum of the leading 32 bits of every row hash: it does not depend on row order and
+    The checksum is the sum of the row hashes, in two halves of 64 bits: it does not depend on row order and
     adds up in parts, so no group is ever collected to be hashed as one text.
     """
-    part = F.sum(F.conv(F.substring(row_hash(columns), 1, 8), 16, 10).cast("long"))
+    half = lambda at: F.sum(F.conv(F.substring(row_hash(columns), at, 16), 16, 10).cast("decimal(20,0)")).cast("string")
+    part = F.concat(half(1), F.lit(":"), half(17))
     out = _both(source, target, keys, {"rows": F.count(F.lit(1)), "total": F.round(F.sum(amount), 2), "checksum": part})
     same = F.col("source_checksum").eqNullSafe(F.col("target_checksum")) & F.col("source_rows").eqNullSafe(F.col("target_rows"))
     return out.where(~same).drop("in_source", "in_target")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.text import prefixed
+
 from millrace.operators.ordered import null_safe_join
 
 #: Rows up to which a lookup side is hinted as broadcast after its size was counted.
@@ -41,10 +43,9 @@ def clean_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out
 
 
-def surrogate_key(columns: Sequence[str], null_text: str = "_null_") -> Column:
-    """MD5 of the key columns; nulls get a marker so that (a, null) and (null, a) differ."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit(null_text)) for c in columns]
-    return F.md5(F.concat_ws("|", *parts))
+def surrogate_key(columns: Sequence[str]) -> Column:
+    """MD5 of the key columns in their prefixed form, so different keys have different texts."""
+    return F.md5(prefixed(columns))
 
 
 def children_per_parent(
@@ -165,13 +166,13 @@ def keyset_after(df: DataFrame, order: Sequence[tuple[str, object]], limit: int,
     return df.where(test).orderBy(*sort).limit(limit)
 
 
-def sort_mixed(df: DataFrame, column: str, *, reverse: bool = False) -> DataFrame:
-    """Numbers (also numeric text) by value, then other text by lower case; null first."""
+def sort_mixed(df: DataFrame, column: str, *, reverse: bool = False, ties: Sequence[str] = ()) -> DataFrame:
+    """Null first, then other text by lower case, then numbers (also numeric text) by value; equal ones by ``ties``."""
     number = F.expr(f"try_cast(`{column}` AS DOUBLE)")
     text = F.lower(F.coalesce(F.col(column).cast("string"), F.lit("")))
     keys = [number, text]
     flip = [k.desc_nulls_last() if reverse else k.asc_nulls_first() for k in keys]
-    return df.orderBy(*flip)
+    return df.orderBy(*flip, *ties)
 
 
 def severity_rank(column: str, names: Sequence[str]) -> Column:

@@ -20,7 +20,8 @@ from millrace.session import checkpoint_folder
 def postings(docs: DataFrame, key: str, text: str, rule: str = "alnum") -> DataFrame:
     """(document, term, tf, length): term counts inside a document, shuffled by document and term."""
     words = docs.select(F.col(key).alias("doc"), X.tokens(text, rule).alias("w"))
-    rows = words.select("doc", F.size("w").alias("length"), F.explode("w").alias("term"))
+    # the length goes into each element: a column beside the explode would carry the whole array into every row
+    rows = words.select("doc", F.inline(F.transform("w", lambda x: F.struct(x.alias("term"), F.size("w").alias("length")))))
     return rows.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
 
 
@@ -225,9 +226,13 @@ def chunk_fixed(df: DataFrame, text: str, keys: Sequence[str], size: int, overla
     base = df.select(*keys, (X.white_words(text) if unit == "word" else F.col(text)).alias("__t"))
     n = F.size("__t") if unit == "word" else F.length("__t")
     starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(step)))
-    rows = base.select(*keys, "__t", n.alias("__n"), F.posexplode(starts).alias("chunk", "start"))
-    part = F.array_join(F.slice("__t", F.col("start") + 1, F.lit(size)), " ") if unit == "word" else F.substring("__t", F.col("start") + 1, F.lit(size))
-    return rows.select(*keys, "chunk", part.alias("text"), "start", F.least(F.col("start") + size, F.col("__n")).alias("end")).withColumn("size", F.length("text"))
+
+    def part(s: Column, i: Column) -> Column:
+        cut = F.array_join(F.slice("__t", s + 1, F.lit(size)), " ") if unit == "word" else F.substring("__t", s + 1, F.lit(size))
+        return F.struct(i.alias("chunk"), cut.alias("text"), s.alias("start"), F.least(s + size, n).alias("end"))
+
+    # finished chunks are exploded: the whole text must not travel with each of them
+    return base.select(*keys, F.inline(F.transform(starts, part))).withColumn("size", F.length("text"))
 
 
 def _pack(parts: Column, limit: int, extra: int, joiner: str) -> Column:

@@ -7,10 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.text import prefixed
+
 
 def row_hash(columns: Sequence[str]) -> Column:
-    """MD5 over the columns, nulls kept apart from empty text."""
-    return F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("_null_")) for c in columns]))
+    """MD5 over the columns in their prefixed form: rows that differ in any column or null have different texts."""
+    return F.md5(prefixed(columns))
 
 
 def _side(df: DataFrame, tag: str) -> DataFrame:

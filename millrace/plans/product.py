@@ -13,20 +13,20 @@ STAGES = ["view", "click", "signup", "purchase"]
 @query(
     "retention_curve",
     """
-    WITH d AS (SELECT DISTINCT user_id, ts::DATE AS day FROM events WHERE event_type = 'purchase'), f AS (SELECT user_id, min(day) AS first FROM d GROUP BY 1),
+    WITH d AS (SELECT DISTINCT user_id, ts::DATE AS day FROM events), f AS (SELECT user_id, min(day) AS first FROM d GROUP BY 1),
     a AS (SELECT day - first AS period, count(DISTINCT user_id) AS n FROM d JOIN f USING (user_id) GROUP BY 1)
     SELECT period, coalesce(n, 0) AS active_users, coalesce(n, 0) / (SELECT count(*) FROM f) AS retention_rate FROM range(0, 29) r(period) LEFT JOIN a USING (period)
     """,
     digits="retention_rate:6",
 )
 def retention_curve(t):
-    return P.retention_curve(t.events.where("event_type = 'purchase'"), "user_id", "ts", 28)
+    return P.retention_curve(t.events, "user_id", "ts", 28)
 
 
 @query(
     "cohort_matrix",
     """
-    WITH d AS (SELECT DISTINCT user_id, ts::DATE AS day FROM events WHERE event_type = 'purchase'),
+    WITH d AS (SELECT DISTINCT user_id, ts::DATE AS day FROM events),
     f AS (SELECT user_id, min(day) AS first, isoyear(min(day)) || '-W' || lpad(weekofyear(min(day))::VARCHAR, 2, '0') AS cohort FROM d GROUP BY 1),
     s AS (SELECT cohort, count(*) AS cohort_size FROM f GROUP BY 1), a AS (SELECT cohort, day - first AS age_days, count(DISTINCT user_id) AS n FROM d JOIN f USING (user_id) GROUP BY ALL)
     SELECT cohort, age_days, coalesce(n, 0) AS active_users, cohort_size, coalesce(n, 0) / cohort_size AS retention_rate FROM s CROSS JOIN range(0, 15) r(age_days) LEFT JOIN a USING (cohort, age_days)
@@ -34,7 +34,7 @@ def retention_curve(t):
     digits="retention_rate:6",
 )
 def cohort_matrix(t):
-    return P.cohort_matrix(t.events.where("event_type = 'purchase'"), "user_id", "ts", 14)
+    return P.cohort_matrix(t.events, "user_id", "ts", 14)
 
 
 @query(
@@ -56,10 +56,8 @@ LIMITS = {"view landing": ("view", 0), "click cta": ("click", 60), "fill form":
 
 def steps(t, *keys):
     """Named steps: an event type above a value, so that counts fall along the funnel."""
-    named = None
-    for name, (kind, low) in LIMITS.items():
-        part = t.events.where((F.col("event_type") == kind) & (F.col("value") > low)).select("user_id", F.lit(name).alias("step"))
-        named = part if named is None else named.unionByName(part)
+    reached = [F.when((F.col("event_type") == kind) & (F.col("value") > low), F.lit(name)) for name, (kind, low) in LIMITS.items()]
+    named = t.events.select("user_id", F.explode(F.array_compact(F.array(*reached))).alias("step"))
     if keys:
         seg = t.customer.select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("segment"))
         named = named.join(seg, "user_id")

@@ -132,8 +132,8 @@ def compat_view(t):
 
 @query(
     "surrogate_key",
-    "SELECT c_custkey, md5(coalesce(c_custkey::VARCHAR, '_null_') || '|' || coalesce(c_name, '_null_') || '|' || "
-    "coalesce(c_mktsegment, '_null_')) AS customer_key FROM customer",
+    "SELECT c_custkey, md5(coalesce(length(c_custkey::VARCHAR) || ':' || c_custkey, '-') || coalesce(length(c_name) || ':' || c_name, '-') || "
+    "coalesce(length(c_mktsegment) || ':' || c_mktsegment, '-')) AS customer_key FROM customer",
 )
 def surrogate_key(t):
     return t.customer.select("c_custkey", R.surrogate_key(["c_custkey", "c_name", "c_mktsegment"]).alias("customer_key"))
@@ -466,19 +466,14 @@ def insert_if_absent(t):
     """
     SELECT p_partkey, v FROM (
       SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_brand WHEN p_partkey % 3 = 1 THEN p_size::VARCHAR END AS v FROM part)
-    ORDER BY try_cast(v AS DOUBLE) NULLS FIRST, lower(coalesce(v, '')), p_partkey LIMIT 1500
+    ORDER BY try_cast(v AS DOUBLE) NULLS FIRST, lower(coalesce(v, '')), p_partkey
     """,
 )
 def sort_mixed(t):
     v = F.when(F.col("p_partkey") % 3 == 0, F.col("p_brand")).when(
         F.col("p_partkey") % 3 == 1, F.col("p_size").cast("string")
     )
-    # the key keeps equal values in a fixed order, so that a page of the sort is repeatable
-    rows = t.part.select("p_partkey", v.alias("v"))
-    number = F.expr("try_cast(v AS DOUBLE)")
-    return rows.orderBy(
-        number.asc_nulls_first(), F.lower(F.coalesce("v", F.lit(""))).asc(), F.col("p_partkey")
-    ).limit(1500)
+    return R.sort_mixed(t.part.select("p_partkey", v.alias("v")), "v", ties=["p_partkey"])
 
 
 @query("limit_offset", "SELECT p_partkey, p_name FROM part ORDER BY p_partkey LIMIT 20 OFFSET 40")
@@ -529,13 +524,9 @@ def topk_per_group(t):
     """
     SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders
     ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 WHEN '3-MEDIUM' THEN 2 ELSE 3 END,
-             o_totalprice DESC, o_orderkey LIMIT 50
+             o_totalprice DESC, o_orderkey
     """,
 )
 def severity_order(t):
     rank = R.severity_rank("o_orderpriority", ["1-URGENT", "2-HIGH", "3-MEDIUM"])
-    return (
-        t.orders.orderBy(rank, F.desc("o_totalprice"), "o_orderkey")
-        .limit(50)
-        .select("o_orderkey", "o_orderpriority", "o_totalprice")
-    )
+    return t.orders.orderBy(rank, F.desc("o_totalprice"), "o_orderkey").select("o_orderkey", "o_orderpriority", "o_totalprice")

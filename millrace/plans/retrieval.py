@@ -60,20 +60,26 @@ def rank_fusion(t):
 
 
 def truth(t):
-    """Documents that hold the first five words of a benchmark item: found by an equi join on word windows."""
-    head = F.array_join(F.slice(X.white_words("text"), 1, 5), " ")
-    items = t.benchmark.select(F.col("item_id").alias("query"), head.alias("g"))
-    # the words are a column of their own: inside the lambda an expression would be split again for every window
-    words = t.documents.select(F.col("doc_id").alias("doc"), X.white_words("text").alias("w"))
-    grams = F.when(F.size("w") >= 5, F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.array_join(F.slice("w", i, F.lit(5)), " ")))
-    docs = words.select("doc", F.explode(F.array_distinct(grams)).alias("g"))
-    return items.join(docs, "g").select("query", "doc")
+    """Documents that hold half of the five-word windows of a benchmark item: an equi join on windows, counted."""
+
+    def windows(df, key, name):
+        # the words are a column of their own: inside the lambda an expression would be split again for every window
+        words = df.select(F.col(key).alias(name), X.white_words("text").alias("w"))
+        grams = F.when(F.size("w") >= 5, F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.array_join(F.slice("w", i, F.lit(5)), " ")))
+        return words.select(name, F.explode(F.array_distinct(grams)).alias("g"))
+
+    items = windows(t.benchmark, "item_id", "query")
+    size = items.groupBy("query").agg(F.count(F.lit(1)).alias("size"))
+    shared = items.join(windows(t.documents, "doc_id", "doc"), "g").groupBy("query", "doc").agg(F.count(F.lit(1)).alias("n"))
+    return shared.join(size, "query").where("2 * n >= size").select("query", "doc")
 
 
 TRUTH = """
     ww AS (SELECT doc_id AS doc, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM documents),
     gr AS (SELECT DISTINCT doc, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM ww),
-    it AS (SELECT item_id AS query, array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')[1:5], ' ') AS g FROM benchmark), tru AS (SELECT DISTINCT query, doc FROM it JOIN gr USING (g))
+    iw AS (SELECT item_id AS query, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM benchmark),
+    it AS (SELECT DISTINCT query, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM iw), iz AS (SELECT query, count(*) AS size FROM it GROUP BY 1),
+    tru AS (SELECT query, doc FROM it JOIN gr USING (g) JOIN iz USING (query) GROUP BY query, doc, size HAVING 2 * count(*) >= size)
 """
 
 
@@ -236,14 +242,14 @@ def chunk_compare(t):
 
 
 def wiki(t):
-    """Pages named by the first word of their title, with the paths of their links."""
-    key = F.lower(F.regexp_extract("html", r"<title>([A-Za-z]+)", 1))
-    links = F.transform(F.regexp_extract_all("html", F.lit(r'href="/([A-Za-z]+)"'), F.lit(1)), lambda x: F.lower(x))
+    """Pages named by the first word of their title, whatever its letters, with the paths of all their links."""
+    key = F.lower(F.regexp_extract("html", r"<title>\s*([^\s<]+)", 1))
+    links = F.transform(F.regexp_extract_all("html", F.lit(r'href="/?([^"]*)"'), F.lit(1)), lambda x: F.lower(x))
     return t.pages.select(key.alias("key"), links.alias("links"), "page_id").where("key <> ''")
 
 
 WIKI = """
-    wk AS (SELECT lower(regexp_extract(html, '<title>([A-Za-z]+)', 1)) AS key, list_transform(regexp_extract_all(html, 'href="/([A-Za-z]+)"', 1), lambda x: lower(x)) AS links, page_id FROM pages WHERE regexp_extract(html, '<title>([A-Za-z]+)', 1) <> ''),
+    wk AS (SELECT lower(regexp_extract(html, '<title>\\s*([^\\s<]+)', 1)) AS key, list_transform(regexp_extract_all(html, 'href="/?([^"]*)"', 1), lambda x: lower(x)) AS links, page_id FROM pages WHERE regexp_extract(html, '<title>\\s*([^\\s<]+)', 1) <> ''),
     nd AS (SELECT DISTINCT key FROM wk), ed AS (SELECT DISTINCT key AS source, unnest(links) AS link FROM wk), er AS (SELECT source, link, nd.key AS target, CASE WHEN nd.key IS NULL THEN 'broken' ELSE 'key' END AS how FROM ed LEFT JOIN nd ON nd.key = link)
 """
 

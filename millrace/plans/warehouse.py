@@ -92,7 +92,7 @@ def scd3(t):
     "scd4",
     """
     WITH x AS (SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal < 5000 THEN 'mid' ELSE 'high' END AS balance_band, CASE WHEN c_custkey % 4 = 0 THEN 'old' ELSE 'new' END AS age_band FROM customer)
-    SELECT balance_band, age_band, md5(balance_band || '|' || age_band) AS mini_key, count(*) AS customers FROM x GROUP BY 1, 2
+    SELECT balance_band, age_band, md5(length(balance_band) || ':' || balance_band || length(age_band) || ':' || age_band) AS mini_key, count(*) AS customers FROM x GROUP BY 1, 2
     """,
 )
 def scd4(t):
@@ -121,7 +121,7 @@ def vault_hub(t):
     return W.vault_hub(first, delta(t), "c_custkey", "2001-01-01", "delta")
 
 
-@query("vault_satellite", f"WITH {SCD2} SELECT c_custkey, c_mktsegment, md5(c_mktsegment) AS row_hash, valid_from, valid_to, is_current FROM v")
+@query("vault_satellite", f"WITH {SCD2} SELECT c_custkey, c_mktsegment, md5(length(c_mktsegment) || ':' || c_mktsegment) AS row_hash, valid_from, valid_to, is_current FROM v")
 def vault_satellite(t):
     start = W.scd2_start(base(t), "c_custkey", ["c_mktsegment"], "2000-01-01")
     return W.vault_satellite(start, delta(t), "c_custkey", ["c_mktsegment"], "2001-01-01")
@@ -131,7 +131,7 @@ def vault_satellite(t):
     "vault_link",
     """
     WITH a AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01'), b AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)
-    SELECT md5(l_partkey || '|' || l_suppkey) AS link_key, l_partkey, l_suppkey, CASE WHEN (l_partkey, l_suppkey) IN (SELECT (l_partkey, l_suppkey) FROM a) THEN '1998-01-01' ELSE '2001-01-01' END AS loaded FROM b
+    SELECT md5(length(l_partkey::VARCHAR) || ':' || l_partkey || length(l_suppkey::VARCHAR) || ':' || l_suppkey) AS link_key, l_partkey, l_suppkey, CASE WHEN (l_partkey, l_suppkey) IN (SELECT (l_partkey, l_suppkey) FROM a) THEN '1998-01-01' ELSE '2001-01-01' END AS loaded FROM b
     """,
 )
 def vault_link(t):
@@ -269,13 +269,15 @@ def row_checksum_diff(t):
     return C.row_checksum_diff(t.orders, copy(t), "o_orderkey", COLS)
 
 
-def _sum32(alias):
-    return f"sum(('0x' || left(md5({alias}.o_custkey || '|' || {alias}.o_orderstatus || '|' || ({alias}.o_totalprice::DECIMAL(12, 2))), 8))::BIGINT)::BIGINT"
+def _checksum(alias):
+    text = " || ".join(f"coalesce(length({v}) || ':' || {v}, '-')" for v in (f"{alias}.o_custkey::VARCHAR", f"{alias}.o_orderstatus", f"({alias}.o_totalprice::DECIMAL(12, 2))::VARCHAR"))
+    half = lambda a: f"sum(('0x' || substr(md5({text}), {a}, 16))::UBIGINT::HUGEINT)::VARCHAR"
+    return f"{half(1)} || ':' || {half(17)}"
 
 
 @query(
     "group_checksum",
-    f"""WITH {CP}, a AS (SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS s, {_sum32('orders')} AS h FROM orders GROUP BY 1), b AS (SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS s, {_sum32('c')} AS h FROM c GROUP BY 1)
+    f"""WITH {CP}, a AS (SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS s, {_checksum('orders')} AS h FROM orders GROUP BY 1), b AS (SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS s, {_checksum('c')} AS h FROM c GROUP BY 1)
     SELECT o_orderstatus, a.n AS source_rows, b.n AS target_rows, a.s AS source_total, b.s AS target_total, a.h AS source_checksum, b.h AS target_checksum FROM a FULL JOIN b USING (o_orderstatus) WHERE a.h IS DISTINCT FROM b.h OR a.n IS DISTINCT FROM b.n""",
     digits="source_total:1 target_total:1",
 )
