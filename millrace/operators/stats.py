@@ -35,7 +35,7 @@ def effect_label(value: Column, metric: str) -> Column:
 
 def two_sided(z: Column) -> Column:
     """Two-sided normal p-value."""
-    return 2 * (1 - P.normal_cdf(F.abs(z)))
+    return 2 * P.normal_sf(F.abs(z))
 
 
 def variant_counts(df: DataFrame, keys: Sequence[str], treated: Column, converted: Column) -> DataFrame:
@@ -101,7 +101,7 @@ def welch_ttest(df: DataFrame, keys: Sequence[str], treated: Column, value: str,
         F.abs(d).alias("effect"),
         effect_label(d, "d").alias("effect_label"),
     )
-    out = out.withColumn("p_value", 2 * (1 - P.t_cdf(F.abs("t"), F.col("df"))))
+    out = out.withColumn("p_value", 2 * P.t_sf(F.abs("t"), F.col("df")))
     return out.withColumn("significant", F.col("p_value") < alpha)
 
 
@@ -119,7 +119,7 @@ def chi2_gof(df: DataFrame, category: str, shares: dict[str, float], alpha: floa
     )
     ok = F.col("least") >= 5
     out = out.select("n", "df", F.when(ok, F.col("s")).alias("chi2"), F.when(~ok, "expected count under 5").alias("warning"))
-    out = out.withColumn("p_value", F.when(F.col("chi2").isNotNull(), 1 - P.chi2_cdf(F.coalesce("chi2", F.lit(0.0)), F.col("df"))))
+    out = out.withColumn("p_value", F.when(F.col("chi2").isNotNull(), P.chi2_sf(F.coalesce("chi2", F.lit(0.0)), F.col("df"))))
     v = cramers_v(F.col("chi2"), F.col("n"), F.col("df") + 1)
     return out.withColumn("cramers_v", v).withColumn("effect_label", effect_label(v, "v")).withColumn("significant", F.col("p_value") < alpha)
 

@@ -43,8 +43,8 @@ def two_prop_ztest(t):
     w AS (SELECT o_orderpriority, tm - cm AS difference, (tm - cm) / cm * 100 AS lift_pct, (tm - cm) / sqrt(va + vb) AS t, (va + vb) ** 2 / (va ** 2 / (cn - 1) + vb ** 2 / (tn - 1)) AS df,
       tm - cm - {Z95} * sqrt(va + vb) AS lower, tm - cm + {Z95} * sqrt(va + vb) AS upper, abs((tm - cm) / sqrt(((tn - 1) * ts ** 2 + (cn - 1) * cs ** 2) / (cn + tn - 2))) AS effect FROM v)
     SELECT *, CASE WHEN effect < 0.2 THEN 'negligible' WHEN effect < 0.5 THEN 'small' WHEN effect < 0.8 THEN 'medium' ELSE 'large' END AS effect_label,
-      2 * (1 - CASE WHEN df > 1000 THEN {phi_sql('abs(t)')} ELSE {t_sql('abs(t)', 'df')} END) AS p_value,
-      2 * (1 - CASE WHEN df > 1000 THEN {phi_sql('abs(t)')} ELSE {t_sql('abs(t)', 'df')} END) < 0.05 AS significant FROM w
+      2 * (1 - {t_sql('abs(t)', 'df')}) AS p_value,
+      2 * (1 - {t_sql('abs(t)', 'df')}) < 0.05 AS significant FROM w
     """,
     digits="difference lift_pct t:6 df lower upper effect:6 p_value:6",
 )

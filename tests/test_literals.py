@@ -40,6 +40,19 @@ def test_probability(spark):
     assert P.normal_quantile(0.975) == pytest.approx(1.959964, abs=1e-6)
 
 
+def test_small_tails_keep_their_digits(spark):
+    rows = spark.createDataFrame([(8.0, 8.0, 2.0), (-8.0, 3.0, 5000.0), (0.0, 0.0, 1.0), (None, None, 3.0)], "z double, t double, df double")
+    got = rows.select(P.normal_sf("z").alias("n"), P.t_sf("t", "df").alias("t"), P.chi2_sf(F.col("t") * 25, "df").alias("c")).collect()
+    assert got[0].n == pytest.approx(6.220960574271785e-16, rel=1e-10)
+    assert got[1].n == pytest.approx(1.0, abs=1e-15)
+    assert got[0].t == pytest.approx(0.5 * (1 - 8 / 66**0.5), rel=1e-9)
+    assert got[0].c == pytest.approx(math.exp(-100), rel=1e-9)
+    assert got[1].t == pytest.approx(0.0013565, rel=1e-3)
+    assert got[1].c == pytest.approx(1.0)
+    assert (got[2].n, got[2].t, got[2].c) == (pytest.approx(0.5), pytest.approx(0.5), pytest.approx(1.0))
+    assert (got[3].n, got[3].t, got[3].c) == (None, None, None)
+
+
 def test_words_and_sentences(spark):
     r = one(spark.createDataFrame([("The quick brown fox. It's makes 3 jumps! Ok?",)], "s string").select(
         X.tokens("s", "alnum").alias("a"), X.sentences("s", "after_mark").alias("m"), X.sentences("s", "closed").alias("c"), X.syllables(F.lit("table")).alias("y"), X.stem(F.lit("organization")).alias("st")))
