@@ -48,7 +48,7 @@ def fill_gaps(df: DataFrame, ts: str, value: Column) -> DataFrame:
 
 
 def hierarchy(df: DataFrame, key: str, parent: str, label: str) -> DataFrame:
-    """Depth and path of every node below the roots, by a recursive query."""
+    """Depth and path of every node below the roots, by a recursive query; a node that returns to itself ends there."""
     spark = df.sparkSession
     # the default caps on recursion rows and levels would stop a large tree with an error
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
@@ -58,10 +58,11 @@ def hierarchy(df: DataFrame, key: str, parent: str, label: str) -> DataFrame:
     )
     return spark.sql(
         """
-        WITH RECURSIVE tree(id, depth, path) AS (
-          SELECT id, 0, CAST(label AS STRING) FROM hierarchy_nodes WHERE parent_id IS NULL
+        WITH RECURSIVE tree(id, depth, path, seen) AS (
+          SELECT id, 0, CAST(label AS STRING), array(id) FROM hierarchy_nodes WHERE parent_id IS NULL
           UNION ALL
-          SELECT n.id, t.depth + 1, concat(t.path, ' > ', n.label) FROM hierarchy_nodes n JOIN tree t ON n.parent_id = t.id)
+          SELECT n.id, t.depth + 1, concat(t.path, ' > ', n.label), array_append(t.seen, n.id)
+          FROM hierarchy_nodes n JOIN tree t ON n.parent_id = t.id WHERE NOT array_contains(t.seen, n.id))
         SELECT id, depth, path FROM tree
         """
     )

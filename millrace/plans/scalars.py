@@ -409,7 +409,15 @@ def word_stats(t):
     )
 
 
-@query("check_plugin")
+@query(
+    "check_plugin",
+    """
+    WITH f AS (SELECT count(*) AS n, count(*) FILTER (WHERE NOT coalesce(o_totalprice > 0, false)) AS a, count(*) FILTER (WHERE NOT coalesce(o_orderstatus IN ('F', 'O', 'P'), false)) AS b, count(*) FILTER (WHERE NOT coalesce(o_totalprice > 50000, false)) AS c FROM orders),
+    r AS (SELECT 'positive_price' AS "check", 'critical' AS severity, 0.0::DOUBLE AS threshold, a AS failed, n FROM f UNION ALL SELECT 'known_status', 'warning', 0.01, b, n FROM f UNION ALL SELECT 'not_cheap', 'info', 0.1, c, n FROM f)
+    SELECT "check", severity, threshold, failed, failed / n AS share, failed / n <= threshold AS passed FROM r
+    """,
+    digits="share:6",
+)
 def check_plugin(t):
     """User-supplied rules with severity and threshold, all in one scan."""
     checks = U.CheckSet()

@@ -291,6 +291,4 @@ def replay(t):
 
 @query("stream_progress", "SELECT count(*) AS input_rows FROM events")
 def stream_progress(t):
-    path = work_folder(t.spark, "progress")
-    q = R.run_append(stream(t).select("event_id"), f"{path}/out", f"{path}/checkpoint")
-    return R.progress_rows(t.spark, q).agg(F.sum("input_rows").alias("input_rows"))
+    return R.progress_rows(stream(t).select("event_id"), "progress").agg(F.sum("input_rows").alias("input_rows"))

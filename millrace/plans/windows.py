@@ -134,10 +134,11 @@ def first_last_value(t):
 
 @query(
     "sequence_gaps",
-    "SELECT o_orderkey, previous FROM (SELECT o_orderkey, lag(o_orderkey) OVER (ORDER BY o_orderkey) AS previous FROM orders WHERE o_orderstatus = 'F') WHERE o_orderkey - previous > 1",
+    "SELECT l_orderkey, previous FROM (SELECT l_orderkey, lag(l_orderkey) OVER (ORDER BY l_orderkey) AS previous FROM (SELECT DISTINCT l_orderkey FROM lineitem)) WHERE l_orderkey - previous > 1",
 )
 def sequence_gaps(t):
-    return W.sequence_gaps(t.orders.where("o_orderstatus = 'F'").select("o_orderkey"), "o_orderkey", 10_000)
+    """Order numbers without any line."""
+    return W.sequence_gaps(t.lineitem.select("l_orderkey").distinct(), "l_orderkey", 10_000)
 
 
 @query(

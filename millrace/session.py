@@ -62,6 +62,8 @@ def checkpoint_folder(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="millrace-ckpt-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder

@@ -49,8 +49,9 @@ def _exists(spark: SparkSession, path: str) -> bool:
 class VersionedTable:
     """Upsert target for ``foreachBatch``: each batch writes the next version of the table.
 
-    The version is named by the batch id. A batch that runs again after a failure overwrites its own
-    version from the one before it, so every batch counts exactly once.
+    The version is named by the batch id, and a pointer names the last one and the one it was made from. A batch
+    that runs again after a failure overwrites its own version from the one before it, so every batch counts exactly
+    once. A missing pointer or version after the first batch is an error: older rows would be lost.
     """
 
     def __init__(self, spark: SparkSession, path: str, key: str):
@@ -59,22 +60,29 @@ class VersionedTable:
     def _at(self, batch: int) -> str:
         return f"{self.path}/v{batch:09d}"
 
-    def _done(self, batch: int) -> bool:
-        return _exists(self.spark, f"{self._at(batch)}/_SUCCESS")
+    def _pointer(self) -> tuple[int, int | None] | None:
+        if not _exists(self.spark, f"{self.path}/last/_SUCCESS"):
+            return None
+        row = self.spark.read.schema("batch long, before long").parquet(f"{self.path}/last").first()
+        return row["batch"], row["before"]
 
     def write(self, rows: DataFrame, batch: int) -> None:
-        if batch > 0 and self._done(batch - 1):
-            rows = upsert(rows.sparkSession.read.parquet(self._at(batch - 1)), rows, self.key)
+        at = self._pointer()
+        if at is None and batch > 0:
+            raise RuntimeError(f"{self.path}: batch {batch} has no version before it")
+        before = None if at is None else at[1] if at[0] == batch else at[0]
+        if before is not None:
+            if not _exists(self.spark, f"{self._at(before)}/_SUCCESS"):
+                raise RuntimeError(f"{self.path}: version {before} is missing")
+            rows = upsert(rows.sparkSession.read.parquet(self._at(before)), rows, self.key)
         rows.write.mode("overwrite").parquet(self._at(batch))
-
-    def last(self) -> int:
-        batch = 0
-        while self._done(batch + 1):
-            batch += 1
-        return batch
+        self.spark.createDataFrame([(batch, before)], "batch long, before long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/last")
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self._at(self.last()))
+        at = self._pointer()
+        if at is None:
+            raise RuntimeError(f"{self.path}: no version was written")
+        return self.spark.read.parquet(self._at(at[0]))
 
 
 def upserted(df: DataFrame, key: Sequence[str], mode: str, name: str) -> DataFrame:
@@ -161,7 +169,14 @@ def replay(spark: SparkSession, folder: str, like: DataFrame, since: str, build:
     return spark.table(view)
 
 
-def progress_rows(spark: SparkSession, q: StreamingQuery) -> DataFrame:
-    """One row per micro-batch from the query's own progress reports (Spark keeps the last hundred)."""
-    rows = [(p.batchId, p.numInputRows, float(p.processedRowsPerSecond or 0.0)) for p in q.recentProgress]
-    return spark.createDataFrame(rows, "batch_id bigint, input_rows bigint, rows_per_second double")
+def progress_rows(df: DataFrame, name: str) -> DataFrame:
+    """Run a stream and return the rows of every micro-batch, however many: each batch writes its own count."""
+    spark = df.sparkSession
+    path = work_folder(spark, name)
+
+    def sink(rows: DataFrame, batch: int) -> None:
+        rows.agg(F.count(F.lit(1)).alias("input_rows")).write.mode("overwrite").parquet(f"{path}/count/batch_id={batch}")
+
+    q = df.writeStream.option("checkpointLocation", f"{path}/checkpoint").foreachBatch(sink).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema("input_rows long, batch_id long").parquet(f"{path}/count")

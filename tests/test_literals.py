@@ -268,3 +268,49 @@ def test_content_score_engagement(spark):
     text = "Why now? Who cares? What next?\n\nFor example 1, 2, 3, 4 and 5 of them, such as these, imagine that.\n\n- a\n- b\n- c\n- d\n- e"
     r = one(TX.content_score(spark.createDataFrame([(text, "t")], "t string, title string"), "t", "title", "zebra", []))
     assert r.engagement == 25 and r.seo == 0 and r.total == r.readability + r.structure + 25
+
+
+def test_prefixed_keys_do_not_collide(spark):
+    from millrace.operators.relational import surrogate_key
+    from millrace.operators.warehouse import row_hash
+
+    rows = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), ("_null_", "x"), (None, "x"), ("", "-x"), ("-", "x")], "a string, b string")
+    got = rows.select(row_hash(["a", "b"]).alias("h"), surrogate_key(["a", "b"]).alias("k")).collect()
+    assert len({r.h for r in got}) == len({r.k for r in got}) == 6
+
+
+def test_versioned_table_fails_on_a_gap(spark, tmp_path):
+    from millrace.streaming.streams import VersionedTable
+
+    table = VersionedTable(spark, str(tmp_path / "t"), "k")
+    row = lambda k, v: spark.createDataFrame([(k, v)], "k long, v long")
+    with pytest.raises(RuntimeError):
+        table.write(row(1, 1), 3)
+    table.write(row(1, 1), 0)
+    table.write(row(2, 2), 1)
+    table.write(row(2, 3), 1)
+    assert sorted(tuple(r) for r in table.read().collect()) == [(1, 1), (2, 3)]
+
+
+def test_stream_counts_more_than_a_hundred_batches(spark, tmp_path):
+    from millrace.streaming.streams import file_stream, progress_rows
+
+    rows = spark.range(101).selectExpr("id", "timestamp_seconds(id) as ts")
+    rows.repartition(101, "id").write.option("maxRecordsPerFile", 1).parquet(str(tmp_path / "in"))
+    out = progress_rows(file_stream(spark, str(tmp_path / "in"), rows, glob="*.parquet", per_trigger=1), "many")
+    assert (out.count(), out.agg(F.sum("input_rows")).first()[0]) == (101, 101)
+
+
+def test_hierarchy_ends_on_a_cycle(spark):
+    from millrace.operators.sets import hierarchy
+
+    rows = spark.createDataFrame([(1, None, "a"), (2, 1, "b"), (3, 2, "c"), (2, 3, "b")], "id long, up long, name string")
+    got = {(r.id, r.depth) for r in hierarchy(rows, "id", "up", "name").collect()}
+    assert got == {(1, 0), (2, 1), (3, 2)}
+
+
+def test_postings_carry_no_array(spark):
+    docs = spark.createDataFrame([(1, "one two two"), (2, "")], "id long, text string")
+    plan = R.postings(docs, "id", "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" not in plan
+    assert {(r.doc, r.term, r.tf, r.length) for r in R.postings(docs, "id", "text").collect()} == {(1, "one", 1, 3), (1, "two", 2, 3)}
