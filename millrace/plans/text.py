@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from millrace.functions import text as TF
 from millrace.operators import text as X
+from millrace.operators import topics
 from millrace.plans.registry import query
-from millrace.plans.scalars import SYLL, WORDS
+from millrace.plans.scalars import STEM, SYLL, WORDS
 
 # SQL side: word borders of RE2 know ASCII only, so accented letters are swapped for a plain letter first.
 PLAIN = "regexp_replace(text, '[À-ɏ]', '_', 'g')"
@@ -357,3 +359,23 @@ def quality_gates(t):
 def content_score(t):
     """The first line stands in for the title, a frequent word for the keyword; the tests hold a text with known points."""
     return X.content_score(t.documents.withColumn("title", F.substring_index("text", "\n", 1)), "text", "title", "the", ["doc_id"])
+
+TOPIC_WORDS = WORDS.replace("text", "title")
+
+
+@query(
+    "topic_cluster",
+    f"""
+    WITH RECURSIVE t AS (SELECT page_id AS key, regexp_extract(html, '<title>([^<]*)', 1) AS title FROM pages),
+    w AS (SELECT DISTINCT key, unnest(list_filter({TOPIC_WORDS}, lambda w: regexp_full_match(w, '[a-z]+') AND length(w) >= 3 AND w NOT IN ({", ".join("'" + x + "'" for x in TF.TOPIC_STOP)}))) AS w FROM t),
+    s AS (SELECT DISTINCT key, {STEM} AS stem FROM w), n AS (SELECT key, count(*) AS n FROM s GROUP BY 1),
+    p AS (SELECT a.key AS x, b.key AS y, count(*) AS shared FROM s a JOIN s b ON a.stem = b.stem AND a.key <> b.key GROUP BY 1, 2),
+    l AS (SELECT x, y FROM p JOIN n a ON a.key = x JOIN n b ON b.key = y WHERE shared / (a.n + b.n - shared) >= 0.15),
+    r AS (SELECT key AS k, key AS x FROM t UNION SELECT r.k, l.y FROM r JOIN l ON l.x = r.x)
+    SELECT k AS key, min(x) AS cluster FROM r GROUP BY 1
+    """,
+)
+def topic_cluster(t):
+    """Clusters of page titles."""
+    title = F.regexp_extract("html", "<title>([^<]*)", 1)
+    return topics.topic_clusters(topics.title_stems(t.pages.select("page_id", title.alias("title")), "page_id", "title"))

@@ -314,3 +314,28 @@ def test_postings_carry_no_array(spark):
     plan = R.postings(docs, "id", "text")._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate explode" not in plan
     assert {(r.doc, r.term, r.tf, r.length) for r in R.postings(docs, "id", "text").collect()} == {(1, "one", 1, 3), (1, "two", 2, 3)}
+
+
+def test_topic_clusters_of_a_hot_stem(spark):
+    """A stem that most titles hold: clusters equal those over all pairs."""
+    import random
+
+    from millrace.operators.topics import topic_clusters
+
+    rng = random.Random(3)
+    rows = [(i, sorted({*(["hot"] if i % 3 else []), *(f"s{rng.randrange(60)}" for _ in range(rng.randint(0, 11)))})) for i in range(120)]
+    root = list(range(120))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in rows:
+        for j, b in rows[:i]:
+            both = len(set(a) & set(b))
+            if both and both / len(set(a) | set(b)) >= 0.15:
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    got = {(r.key, r.cluster) for r in topic_clusters(spark.createDataFrame(rows, "key long, stems array<string>")).collect()}
+    assert got == {(i, find(i)) for i in range(120)}
