@@ -143,6 +143,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Empty the folder of a stored table that nothing reads any more."""
-    df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(df.stored_at)
+def discard(*tables: DataFrame) -> None:
+    """Empty the folders of stored tables that nothing reads any more."""
+    for df in tables:
+        df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(df.stored_at)

@@ -253,6 +253,7 @@ def score(docs: DataFrame, path: str, train_rows: Column, key: str = "doc_id", t
             yield common.rows_of(batch, ["word"], known=pa.array(c > 0), base=pa.array(np.log10(c + 1.0)), log=pa.array(log / math.log(10)))
 
     weighed = common.stored(vocabulary.mapInArrow(weigh, "word string, known boolean, base double, log double"), "lattice-weights")
+    common.discard(vocabulary)
     each = post.select("slice", "word", "texts", "tfs").join(weighed, "word").selectExpr("slice", f"word = '{END}' as end", "known", "base", "log", "inline(arrays_zip(texts, tfs)) as (at, tf)")
     sums = each.groupBy("slice", "at").agg(
         F.sum("tf").alias("t"), F.sum(F.when(F.col("known"), F.col("tf")).otherwise(0)).alias("k"), F.sum(F.col("tf") * F.col("base")).alias("b"), F.sum(F.col("tf") * F.col("log")).alias("s"), F.sum(F.when(F.col("end"), F.col("tf")).otherwise(0)).alias("times")

@@ -117,7 +117,9 @@ def rare_seeds(docs: DataFrame, items: DataFrame, seed: int, rarity: float) -> D
     odds = each.groupBy("__row", "gram", "size").agg(F.sum(F.log(F.greatest(F.coalesce("n", F.lit(1)), F.lit(1)) / F.lit(total))).alias("p"))
     rare = odds.withColumn("rare", F.col("p") < F.log(F.lit(rarity)))
     some = rare.groupBy("__row").agg(F.max("rare").alias("some"))
-    return rare.join(some, "__row").where("rare or not some").select("__row", "gram", "size")
+    out = common.stored(rare.join(some, "__row").where("rare or not some").select("__row", "gram", "size"), "leak-rare")
+    common.discard(seeds, counts)
+    return out
 
 
 def _passages(docs: DataFrame, seeds: BitMap, sizes: list[int], reach: int) -> DataFrame:
@@ -177,7 +179,7 @@ def find_leaks(
     nothing. Repeated rows give repeated results; null keys take part and stay null.
     """
     rows, tests = common.keyed(docs, key, text), common.keyed(items, item_key, item_text)
-    seeds = common.stored(rare_seeds(rows, tests, seed, rarity), "leak-rare")
+    seeds = rare_seeds(rows, tests, seed, rarity)
     whole = common.stored(_item_words(tests), "leak-items")
     longest = whole.agg(F.max(F.size("item")).alias("n")).first()["n"] or 0
     sizes = sorted({r["size"] for r in seeds.select("size").distinct().collect()} | {seed})
@@ -199,6 +201,7 @@ def find_leaks(
     scored = pairs.mapInArrow(run, "__row long, item_row long, score double, start long, length long")
     best = scored.groupBy("__row", "item_row").agg(F.max(F.struct("score", (-F.col("start")).alias("s"), "length")).alias("b"))
     best = common.stored(best.select("__row", "item_row", "b.score", (-F.col("b.s")).alias("start"), "b.length"), "leak-best")
+    common.discard(seeds, whole, found)
     names = tests.select(F.col("__row").alias("item_row"), F.col("__key").alias(item_key))
     out = best.join(names, "item_row").join(rows.select("__row", F.col("__key").alias(key)), "__row")
     return out.select(key, item_key, F.col("__row").alias("row"), "score", "start", "length")

@@ -201,16 +201,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     heads = weighed.groupBy("band").agg(F.max(F.struct("weight", "cls")).alias("h")).select("band", F.col("h.cls").alias("head"))
     met = members.select("band", "cls").join(heads, "band").where("cls <> head")
     star = common.stored(_likely(met, facts, percent), "near-star")
-    sets = common.stored(_sets(rows, star.select(F.explode(F.array("u", "v")).alias("cls")).distinct().join(classes.select("cls", "__row"), "cls"), width), "near-sets")
-    links = common.stored(_confirmed(star, sets, percent), "near-links")
+    star_sets = common.stored(_sets(rows, star.select(F.explode(F.array("u", "v")).alias("cls")).distinct().join(classes.select("cls", "__row"), "cls"), width), "near-sets")
+    links = common.stored(_confirmed(star, star_sets, percent), "near-links")
     comps = common.stored(connected_components(classes.select("cls"), "cls", links), "near-components")
 
     # buckets that hold several components
     placed = common.stored(members.select("band", "cls").join(comps, "cls").join(heads.join(comps.select(F.col("cls").alias("head"), F.col("component").alias("main")), "head").select("band", "main"), "band"), "near-placed")
     several = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
     left = common.stored(placed.join(several, "band"), "near-open")
-    wanted = left.select("cls").distinct().join(sets.select("cls"), "cls", "left_anti")
-    sets = sets.unionByName(common.stored(_sets(rows, wanted.join(classes.select("cls", "__row"), "cls"), width), "near-more-sets"))
+    wanted = left.select("cls").distinct().join(star_sets.select("cls"), "cls", "left_anti")
+    more_sets = common.stored(_sets(rows, wanted.join(classes.select("cls", "__row"), "cls"), width), "near-more-sets")
+    sets = star_sets.unionByName(more_sets)
     held = left.select("cls").distinct().join(sets, "cls").select("cls", F.explode("members").alias("m"))
     alone = held.groupBy("m").agg(F.count(F.lit(1)).alias("c"), F.min("cls").alias("cls")).where("c = 1").groupBy("cls").agg(F.count(F.lit(1)).alias("own"))
     shares = facts.select("cls", "n").join(alone, "cls", "left").select("cls", (F.col("n") - F.coalesce("own", F.lit(0))).alias("most"))
@@ -223,9 +224,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     apart = common.stored(apart, "near-differences")
     met = _same_extra(apart, percent).unionByName(_same_centre(apart, percent))
     rest = common.stored(_likely(met, facts, percent).join(star, ["u", "v"], "left_anti"), "near-rest")
-    links = links.unionByName(common.stored(_confirmed(rest, sets, percent), "near-more-links"))
-    comps = connected_components(classes.select("cls"), "cls", links)
-    whole = comps.join(classes.select("cls", "low_key"), "cls")
+    more_links = common.stored(_confirmed(rest, sets, percent), "near-more-links")
+    final = connected_components(classes.select("cls"), "cls", links.unionByName(more_links))
+    common.discard(members, weighed, star, star_sets, links, comps, placed, left, more_sets, alive, apart, rest, more_links)
+    whole = final.join(classes.select("cls", "low_key"), "cls")
     named = whole.join(whole.groupBy("component").agg(F.min("low_key").alias("component_id")), "component").select("cls", "component_id")
     out = sig.select(F.col("__key").alias(key), F.col("__row").alias("row"), F.col("n").alias("n_shingles"), "cls").join(named, "cls", "left")
     component = F.coalesce("component_id", F.col(key))

@@ -158,7 +158,9 @@ def repeated_spans(rows: DataFrame, window: int) -> DataFrame:
     # a row repeated as it is repeats all its windows
     twice = blocks.join(spots.where("twice").select("__row"), "__row").select("__row", F.col("start").alias("a"), (F.col("start") + F.size("wins")).alias("b"))
     spans = parsed.where("not open").select("__row", "a", "b").unionByName(more).unionByName(twice).distinct()
-    return spans.groupBy("__row").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    spans = common.stored(spans.groupBy("__row").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "sub-spans")
+    common.discard(spots, blocks, parsed)
+    return spans
 
 
 def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", *, window: int = 35) -> DataFrame:
