@@ -194,12 +194,31 @@ def chunk_fixed(t):
     return a.unionByName(R.chunk_fixed(t.documents, "text", ["doc_id"], 100, 10, "word").withColumn("unit", F.lit("word")).select(*cols))
 
 
-@query("chunk_sentence")
+def _packed(limit: int, extra: int, joiner: str) -> str:
+    """Chunks of ``parts`` packed in order, from the table p; the first part of a text counts its joiner too."""
+    return f"""
+    q AS (SELECT doc_id, list_reduce(list_transform(parts, lambda x, i: {{'done': []::VARCHAR[], 'part': x, 'size': length(x) + CASE WHEN i = 1 THEN {extra} ELSE 0 END}}),
+      lambda a, e: CASE WHEN a.size + e.size > {limit} THEN {{'done': list_append(a.done, a.part), 'part': e.part, 'size': e.size}} ELSE {{'done': a.done, 'part': a.part || {joiner} || e.part, 'size': a.size + e.size + {extra}}} END) AS a FROM p WHERE len(parts) > 0),
+    c AS (SELECT doc_id, list_append(a.done, a.part) AS chunks FROM q), o AS (SELECT doc_id, (generate_subscripts(chunks, 1) - 1)::INT AS chunk, unnest(chunks) AS text FROM c)
+    SELECT doc_id, chunk, text, length(text)::INT AS size FROM o
+    """
+
+
+TRIMMED = "list_filter(list_transform({}, lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '')"
+SENTENCES = TRIMMED.format("string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))")
+PARAGRAPHS = TRIMMED.format("string_split_regex(replace(text, chr(10), chr(10) || chr(10)), '\\n\\s*\\n')")
+
+
+@query("chunk_sentence", f"WITH p AS (SELECT doc_id, {SENTENCES} AS parts FROM documents), {_packed(1000, 0, "' '")}")
 def chunk_sentence(t):
     return R.chunk_sentence(t.documents, "text", ["doc_id"], 1000)
 
 
-@query("chunk_paragraph")
+@query(
+    "chunk_paragraph",
+    f"""WITH r AS (SELECT doc_id, {PARAGRAPHS} AS x FROM documents), p AS (SELECT doc_id, CASE WHEN len(x) > 1 THEN list_filter(x, lambda s: length(s) >= 50) ELSE x END AS parts FROM r),
+    {_packed(1500, 2, "chr(10) || chr(10)")}""",
+)
 def chunk_paragraph(t):
     """The documents break paragraphs with one newline; they are doubled first."""
     return R.chunk_paragraph(t.documents.withColumn("text", F.regexp_replace("text", "\n", "\n\n")), "text", ["doc_id"], 1500)
