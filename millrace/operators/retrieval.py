@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from millrace.functions import numeric as N
 from millrace.functions import text as X
 from millrace.operators.ordered import exact_quantiles
-from millrace.session import checkpoint_folder
+from millrace.session import checkpoint_folder, work_folder
 
 # ---- postings and ranking ---------------------------------------------------
 
@@ -302,7 +302,11 @@ def chunk_compare(strategies: dict[str, DataFrame], doc: str, order: str) -> Dat
     for name, c in strategies.items():
         part = c.select(F.lit(name).alias("strategy"), doc, F.col(order).alias("__o"), "text", "size")
         rows = part if rows is None else rows.unionByName(part)
-    q = chunk_quality(rows, doc, "__o", ["strategy"])
+    # quality and medians both read the chunks: written once, not cut again
+    spark = rows.sparkSession
+    path = work_folder(spark, "chunks")
+    rows.write.parquet(path)
+    q = chunk_quality(spark.read.schema(rows.schema).parquet(path), doc, "__o", ["strategy"])
     even = F.when(F.col("mean_size") > 0, 1 - F.least(F.col("std_size") / F.col("mean_size"), F.lit(1.0))).otherwise(0.0)
     q = q.withColumn("score", even * 0.3 + (F.col("sentence_boundary") + F.col("word_boundary")) / 2 * 0.4 + F.col("coherence") * 0.3)
     best = q.agg(F.max_by("strategy", F.struct("score", "strategy")).alias("b"))

@@ -251,7 +251,30 @@ def chunk_quality(t):
     return R.chunk_quality(R.chunk_fixed(t.documents, "text", ["doc_id"], 500, 100), "doc_id", "chunk")
 
 
-@query("chunk_compare")
+def _fixed(size: int, overlap: int) -> str:
+    step = size - overlap
+    return f"SELECT doc_id, (s // {step})::INT AS chunk, substr(text, s + 1, {size}) AS text, length(substr(text, s + 1, {size}))::INT AS size FROM (SELECT doc_id, text, unnest(range(0, length(text), {step})) AS s FROM documents)"
+
+
+RAW_PARAGRAPHS = TRIMMED.format("string_split_regex(text, '\\n\\s*\\n')")
+STRATEGIES = {
+    "fixed_512_50": _fixed(512, 50), "fixed_1000_100": _fixed(1000, 100), "sentence_800": f"WITH p AS (SELECT doc_id, {SENTENCES} AS parts FROM documents), {_packed(800, 0, chr(39) + ' ' + chr(39))}",
+    "paragraph_1500": f"WITH r AS (SELECT doc_id, {RAW_PARAGRAPHS} AS x FROM documents), p AS (SELECT doc_id, CASE WHEN len(x) > 1 THEN list_filter(x, lambda s: length(s) >= 50) ELSE x END AS parts FROM r), {_packed(1500, 2, 'chr(10) || chr(10)')}",
+}
+
+
+@query(
+    "chunk_compare",
+    f"""
+    WITH k AS ({" UNION ALL ".join(f"SELECT '{n}' AS strategy, doc_id, chunk, text AS x, size FROM ({q})" for n, q in STRATEGIES.items())}),
+    w AS (SELECT *, list_distinct(regexp_extract_all(lower(x), '[\\p{{L}}\\p{{N}}_]+')) AS w, regexp_replace(x, '\\s+$', '') AS e FROM k), n AS (SELECT *, lead(w) OVER (PARTITION BY strategy, doc_id ORDER BY chunk) AS nx FROM w),
+    q AS (SELECT strategy, count(*) AS chunks, avg(size) AS mean_size, coalesce(stddev_samp(size), 0) AS std_size, min(size)::INT AS min_size, max(size)::INT AS max_size, avg(regexp_matches(e, '[.!?]$')::INT) AS sentence_boundary, avg(regexp_matches(e, '[\\p{{L}}\\p{{N}}.!?]$')::INT) AS word_boundary,
+      coalesce(avg(CASE WHEN len(w) > 0 AND len(nx) > 0 THEN len(list_intersect(w, nx)) / len(list_distinct(w || nx)) END), 0) AS coherence, avg(len(w)) AS mean_vocabulary, median(size) AS median_size FROM n GROUP BY 1),
+    s AS (SELECT *, CASE WHEN mean_size > 0 THEN 1 - least(std_size / mean_size, 1) ELSE 0 END * 0.3 + (sentence_boundary + word_boundary) / 2 * 0.4 + coherence * 0.3 AS score FROM q)
+    SELECT *, strategy = (SELECT arg_max(strategy, score) FROM s) AS best FROM s
+    """,
+    digits="mean_size std_size sentence_boundary:6 word_boundary:6 coherence:6 mean_vocabulary median_size score:6",
+)
 def chunk_compare(t):
     d = t.documents
     runs = {
