@@ -424,3 +424,10 @@ def test_slices_are_bounded():
 
     batch = pa.RecordBatch.from_arrays([pa.array(["a" * n for n in (5, 1, 20, 3, 3)] + [None])], names=["t"])
     assert [p.column("t").to_pylist() for p in common.slices([batch], "t", 8)] == [["aaaaa", "a"], ["a" * 20], ["aaa", "aaa", None]]
+
+
+def test_restoring_long_words():
+    letters = toxicity.Letters.of({"^^^b": 5, "^^ba": 5, "^bad": 5, "bad^": 5})
+    assert toxicity.restore("b4d", letters) == "bad"
+    assert toxicity.restore("", letters) == ""
+    assert len(toxicity.restore("a1" * 20_000, letters)) == 40_000
