@@ -1,16 +1,18 @@
-"""Benchmark items inside documents: rare n-gram seeds, then Smith-Waterman alignment of the passages.
-
-Seeds are word n-grams of the items. A seed is rare if the product of the corpus frequencies of its words, the
-chance of meeting it at a place by accident, is below ``rarity``; so a passage that many documents hold stays
-rare. An item without rare seeds keeps all its seeds. Documents look their n-grams up in a bit map of fixed
-size; what passes is joined with the seed table by hash, so a chance pass costs a row and changes nothing. A
-passage is the stretch of a document around its hits, as wide as any item can reach, and is aligned with
-each item it shares a seed with.
+"""Benchmark items inside documents: word pairs as seeds, a count that every passage must reach, Smith-Waterman.
+
+A seed is a pair of words that stand next to each other or one word apart, in the item and in the document. An
+alignment of m matches and e edits scores 2m - e. Of its m - 1 steps from match to match at most e / 2 hold two
+edits or more, and each of the others is a seed; so an item of n words that scores ``least`` of its own score has
+``ceil(least * n) - 1`` places that begin a seed, at as many places of a stretch of n + 2n(1 - least) words. The places
+whose pairs most items hold need not be looked up: half of that number may be left out if the others still reach the
+rest. How often a pair occurs in documents plays no part. Where the count is below one, single words are seeds. What
+reaches the count is aligned, so the result is that of aligning every document with every item.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,189 +21,220 @@ from pyspark.sql import functions as F
 
 from millrace.llm import common
 
-U64 = np.uint64
-#: Bits of the map of seeds: 1 MB, whatever the number of seeds; more seeds than bits only let more n-grams pass to the join.
-MAP_BITS = 1 << 23
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Words of items that tasks hold together; more words are looked for in further passes over the documents.
+PASS_WORDS = 1 << 19
+#: Places of seeds that a task counts together, one document at least, and cells of alignments worked on together.
+PLACES, CELLS = 1 << 22, 1 << 16
 
 
-def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
-    """Smith-Waterman: best local score of two word sequences and its range [start, stop) in ``b``.
+def align_many(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Smith-Waterman of pairs of word sequences: best local scores and their ranges [start, stop) in ``b``.
 
-    Rows are words of ``a``; a row is vectorised over ``b``, with gaps along the row by a running maximum.
+    Words are numbers from 0 on; in ``b`` -1 is a word that no ``a`` holds. Rows are words of ``a``; a row is vectorised
+    over all ``b``, with gaps along the row by a running maximum.
     """
-    m = len(b)
-    step = np.arange(m + 1)
-    score = np.zeros(m + 1, np.int64)
-    begin = step.copy()
-    best = (0, 0, 0)
-    for x in a:
-        diag = score[:-1] + np.where(b == x, MATCH, MISMATCH)
-        up = score[1:] + GAP
-        now = np.zeros(m + 1, np.int64)
-        came = step.copy()
-        take = diag >= up
-        now[1:] = np.maximum(np.where(take, diag, up), 0)
-        came[1:] = np.where(now[1:] > 0, np.where(take, begin[:-1], begin[1:]), step[1:])
-        run = now - GAP * step  # a gap of k words along the row costs k
-        lead = np.maximum.accumulate(run)
-        src = np.maximum.accumulate(np.where(run == lead, step, 0))
-        better = lead + GAP * step > now
-        came = np.where(better, came[src], came)
-        now = np.where(better, lead + GAP * step, now)
-        score, begin = now, came
-        j = int(score.argmax())
-        if score[j] > best[0]:
-            best = (int(score[j]), int(begin[j]), j)
-    return best
-
-
-class BitMap:
-    """Which hashes may be in a set: exact for absence, of fixed size, so it can go to every task."""
-
-    def __init__(self, values: DataFrame, column: str):
-        cell = f"pmod({column}, {MAP_BITS})"
-        rows = values.select(F.expr(f"shiftright({cell}, 5)").alias("at"), F.expr(f"shiftleft(1L, cast({cell} & 31 as int))").alias("bit"))
-        self.bits = np.zeros(MAP_BITS // 32, np.uint32)
-        for r in rows.groupBy("at").agg(F.bit_or("bit").alias("bits")).collect():
-            self.bits[r["at"]] = r["bits"]
-
-    def may_hold(self, h: np.ndarray) -> np.ndarray:
-        cell = h.view(np.int64) % MAP_BITS
-        return (self.bits[cell >> 5] >> (cell & 31).astype(np.uint32)) & np.uint32(1) > 0
-
-
-def _word_counts(docs: DataFrame, used: BitMap) -> DataFrame:
-    """Occurrences in all texts of the words that ``used`` may hold, and of all words under a null word."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in common.slices(batches, "__text"):
-            w = common.words(part.column("__text"), lower=True, every=True)
-            n = np.bincount(w.codes, minlength=len(w.distinct))
-            h = common.hashes(w.distinct)
-            keep = used.may_hold(h)
-            word = pa.concat_arrays([common.signed(h[keep]), pa.nulls(1, pa.int64())])
-            yield pa.RecordBatch.from_arrays([word, pa.array(np.append(n[keep], n.sum()))], names=["word", "n"])
+    k, n, m = len(a), max(map(len, a)), max(map(len, b))
+    left, right = np.full((k, n), -3, np.int64), np.full((k, m), -2, np.int64)
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        left[i, : len(x)], right[i, : len(y)] = x, y
+    step = np.arange(m + 1, dtype=np.int32)
+    score = np.zeros((k, m + 1), np.int32)
+    begin = np.repeat(step[None], k, 0)
+    best, lo, hi = (np.zeros(k, np.int64) for _ in range(3))
+    for r in range(n):
+        diag = score[:, :-1] + np.where(right == left[:, r : r + 1], np.int32(MATCH), np.int32(MISMATCH))
+        up = score[:, 1:] + np.int32(GAP)
+        now = np.zeros((k, m + 1), np.int32)
+        came = np.zeros((k, m + 1), np.int32)
+        now[:, 1:] = np.maximum(np.maximum(diag, up), 0)
+        came[:, 1:] = np.where(now[:, 1:] > 0, np.where(diag >= up, begin[:, :-1], begin[:, 1:]), step[1:])
+        run = now - np.int32(GAP) * step  # a gap of k words along the row costs k
+        lead = np.maximum.accumulate(run, axis=1)
+        src = np.maximum.accumulate(np.where(run == lead, step, 0), axis=1)
+        along = lead + np.int32(GAP) * step
+        better = along > now
+        begin = np.where(better, np.take_along_axis(came, src, 1), came)
+        score = np.where(better, along, now)
+        j = score.argmax(1)
+        top = score[np.arange(k), j]
+        more = np.flatnonzero(top > best)
+        best[more], lo[more], hi[more] = top[more], begin[more, j[more]], j[more]
+    return best, lo, hi
 
-    return docs.select("__text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
-
-def item_seeds(items: DataFrame, seed: int) -> DataFrame:
-    """Per item and position: hash of the n-gram from there on and of its words; short items are one seed."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in common.slices(batches, "__text"):
-            w = common.words(part.column("__text"), lower=True, every=True)
-            h = common.hashes(w.distinct)[w.codes]
-            for i, (a, b) in enumerate(zip(w.starts[:-1], w.starts[1:], strict=True)):
-                n = min(seed, b - a)
-                if n <= 0:
-                    continue
-                g = common.ngrams(h[a:b], n) + U64(0 if n == seed else n)
-                parts = np.stack([h[a + k : a + k + len(g)] for k in range(n)], 1).ravel()
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("__row").slice(i, 1).take(pa.array(np.zeros(len(g), np.int64))), common.signed(g), pa.array(np.full(len(g), n, np.int32)), common.list_array(common.signed(parts), np.arange(len(g) + 1) * n)],
-                    names=["__row", "gram", "size", "parts"],
-                )
-
-    return items.select("__row", "__text").mapInArrow(run, "__row long, gram long, size int, parts array<long>")
-
-
-def rare_seeds(docs: DataFrame, items: DataFrame, seed: int, rarity: float) -> DataFrame:
-    """(__row, gram, size) of seeds that chance seldom makes; those of an item without any are all kept."""
-    seeds = common.stored(item_seeds(items, seed).distinct(), "leak-seeds")
-    used = seeds.select(F.explode("parts").alias("word")).distinct()
-    counts = common.stored(_word_counts(docs, BitMap(used, "word")), "leak-words")
-    total = counts.where("word is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"] or 1
-    each = seeds.withColumn("word", F.explode("parts")).join(counts, "word", "left")
-    odds = each.groupBy("__row", "gram", "size").agg(F.sum(F.log(F.greatest(F.coalesce("n", F.lit(1)), F.lit(1)) / F.lit(total))).alias("p"))
-    rare = odds.withColumn("rare", F.col("p") < F.log(F.lit(rarity)))
-    some = rare.groupBy("__row").agg(F.max("rare").alias("some"))
-    out = common.stored(rare.join(some, "__row").where("rare or not some").select("__row", "gram", "size"), "leak-rare")
-    common.discard(seeds, counts)
-    return out
-
-
-def _passages(docs: DataFrame, seeds: BitMap, sizes: list[int], reach: int) -> DataFrame:
-    """Stretches of documents within ``reach`` words of a possible seed: words and the n-grams that passed."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in common.slices(batches, "__text"):
-            w = common.words(part.column("__text"), lower=True, every=True)
-            h = common.hashes(w.distinct)[w.codes]
-            owner = w.owners()
-            at, gram = [], []
-            for n in sizes:
-                g = common.ngrams(h, n) + U64(0 if n == sizes[-1] else n)
-                hit = np.flatnonzero(seeds.may_hold(g) & (owner[: len(g)] == owner[n - 1 :]))
-                at.append(hit)
-                gram.append(g[hit])
-            pos, gram = np.concatenate(at), np.concatenate(gram)
-            if not len(pos):
+def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """The same of one pair."""
+    if not len(a) or not len(b):
+        return 0, 0, 0
+    score, lo, hi = align_many([a], [b])
+    return int(score[0]), int(lo[0]), int(hi[0])
+
+
+class Index:
+    """Items of one pass: their words, and for each seed the items that it is looked up for."""
+
+    def __init__(self, items: pa.Table, least: float):
+        items = items.combine_chunks()
+        self.least = least
+        self.names = pa.concat_arrays(items.column("__key").chunks)
+        lists = pa.concat_arrays(items.column("item").chunks)
+        flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        self.n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.starts = np.concatenate(([0], np.cumsum(self.n)))
+        self.vocab, codes = np.unique(flat, return_inverse=True)
+        self.codes = codes.astype(np.int64)
+        size = self.size = len(self.vocab)
+        count = np.ceil(least * self.n - 1e-9).astype(np.int64) - 1
+        drop = np.maximum(count, 0) // 2
+        self.need = np.maximum(count - drop, 1)
+        self.span = self.n + np.maximum(np.floor(MATCH * self.n * (1 - least) + 1e-9), 0).astype(np.int64)
+        own, at = np.repeat(np.arange(len(self.n)), self.n), np.arange(len(flat))
+        pairs = count[own] > 0
+        self.single = bool((~pairs).any())
+        key, place = [size * size + self.codes[~pairs]], [at[~pairs]]
+        for g in (1, 2):
+            p = at[pairs & (at + g < self.starts[own + 1])]
+            key.append(self.codes[p] * size + self.codes[p + g])
+            place.append(p)
+        key, place = np.concatenate(key), np.concatenate(place)
+        self.keys, code = np.unique(key, return_inverse=True)
+        held = np.unique(code * len(self.n) + own[place]) // max(len(self.n), 1)
+        often = np.zeros(len(flat), np.int64)
+        np.maximum.at(often, place, np.bincount(held, minlength=len(self.keys))[code])
+        begins = np.unique(place)
+        order = begins[np.lexsort((begins, -often[begins], own[begins]))]
+        first = np.searchsorted(own[order], np.arange(len(self.n)))
+        used = np.zeros(len(flat), bool)
+        used[order[np.arange(len(order)) - first[own[order]] >= drop[own[order]]]] = True
+        kept = np.unique(code[used[place]] * len(self.n) + own[place][used[place]])
+        self.items = kept % max(len(self.n), 1)
+        self.at = np.searchsorted(kept // max(len(self.n), 1), np.arange(len(self.keys) + 1))
+
+    def seeds(self, v: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of documents that begin a seed, in order, and which seed."""
+        pos, key = [], []
+        for g in (1, 2):
+            a, b = v[:-g], v[g:]
+            p = np.flatnonzero((a >= 0) & (b >= 0) & (owner[:-g] == owner[g:]))
+            pos.append(p)
+            key.append(a[p] * self.size + b[p])
+        if self.single:
+            pos.append(p := np.flatnonzero(v >= 0))
+            key.append(self.size * self.size + v[p])
+        pos, key = np.concatenate(pos), np.concatenate(key)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        hit = self.keys[at] == key
+        pos, at = pos[hit], at[hit]
+        order = np.argsort(pos, kind="stable")
+        return pos[order], at[order]
+
+    def stretches(self, pos: np.ndarray, at: np.ndarray, w: common.Words, owner: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Item, document and range of words of stretches that reach the count, some documents at a time."""
+        times = self.at[at + 1] - self.at[at]
+        edge = np.searchsorted(pos, w.starts)
+        total = np.concatenate(([0], np.cumsum(times)))
+        edge_total, doc = total[edge], 0
+        while doc < len(w.starts) - 1:
+            stop = max(doc + 1, int(np.searchsorted(edge_total, edge_total[doc] + PLACES, side="right")) - 1)
+            x, y = edge[doc], edge[stop]
+            doc = stop
+            n = times[x:y]
+            if not n.sum():
                 continue
-            order = np.argsort(pos, kind="stable")
-            pos, gram = pos[order], gram[order]
-            own = owner[pos]
-            a, b = np.maximum(pos - reach, w.starts[own]), np.minimum(pos + reach, w.starts[own + 1])
-            new = np.ones(len(pos), bool)
-            new[1:] = (own[1:] != own[:-1]) | (a[1:] > b[:-1])
+            index = np.arange(n.sum()) + np.repeat(self.at[at[x:y]] - (np.cumsum(n) - n), n)
+            both = np.unique(self.items[index] * len(owner) + np.repeat(pos[x:y], n))
+            item, p = both // len(owner), both % len(owner)
+            last = np.arange(len(p)) + self.need[item] - 1
+            end = np.minimum(last, len(p) - 1)
+            i = np.flatnonzero((last < len(p)) & (item[end] == item) & (owner[p[end]] == owner[p]) & (p[end] - p < self.span[item]))
+            if not len(i):
+                continue
+            item, own = item[i], owner[p[i]]
+            lo = np.maximum(p[end[i]] + 1 - self.span[item], w.starts[own])
+            hi = np.minimum(p[i] + self.span[item], w.starts[own + 1])
+            new = np.ones(len(i), bool)
+            new[1:] = (item[1:] != item[:-1]) | (own[1:] != own[:-1]) | (lo[1:] > hi[:-1])
             first = np.flatnonzero(new)
-            last = np.append(first[1:], len(pos)) - 1
-            lo, hi = a[first], b[last]
-            size = hi - lo
-            ends = np.concatenate(([0], np.cumsum(size)))
-            index = np.repeat(lo - ends[:-1], size) + np.arange(ends[-1])
-            yield pa.RecordBatch.from_arrays(
-                [part.column("__row").take(pa.array(own[first])), pa.array((lo - w.starts[own[first]])), common.list_array(common.signed(h[index]), ends), common.list_array(common.signed(gram), np.append(first, len(pos)))],
-                names=["__row", "start", "words", "grams"],
-            )
-
-    return docs.select("__row", "__text").mapInArrow(run, "__row long, start long, words array<long>, grams array<long>")
+            yield item[first], own[first], lo[first], hi[np.append(first[1:], len(i)) - 1]
+
+    def scores(self, item: np.ndarray, lo: np.ndarray, hi: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Score and range of each stretch; equal stretches are aligned once."""
+        known: dict[tuple[int, bytes], int] = {}
+        which = np.array([known.setdefault((k, v[x:y].tobytes()), len(known)) for k, x, y in zip(item.tolist(), lo.tolist(), hi.tolist(), strict=True)])
+        _, one = np.unique(which, return_index=True)
+        out = np.zeros((len(one), 3), np.int64)
+        order = np.lexsort((self.n[item[one]], (hi - lo)[one]))
+        x = 0
+        while x < len(order):
+            y = x + 1
+            while y < len(order) and (y + 1 - x) * (hi - lo)[one[order[y]]] <= CELLS:
+                y += 1
+            some = one[order[x:y]]
+            got = align_many([self.codes[self.starts[k] : self.starts[k + 1]] for k in item[some]], [v[p:q] for p, q in zip(lo[some], hi[some], strict=True)])
+            out[order[x:y]] = np.stack(got, 1)
+            x = y
+        return out[which]
+
+    def found(self, text: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
+        """Text, item, score, start and length of what texts hold of items."""
+        w = common.words(text, lower=True, every=True)
+        if not len(w.codes):
+            return
+        h = common.hashes(w.distinct)
+        at = np.minimum(np.searchsorted(self.vocab, h), self.size - 1)
+        v = np.where(self.vocab[at] == h, at, -1)[w.codes]
+        owner = w.owners()
+        for item, own, lo, hi in self.stretches(*self.seeds(v, owner), w, owner):
+            score, a, b = self.scores(item, lo, hi, v).T
+            start, size = lo + a - w.starts[own], b - a
+            order = np.lexsort((-size, start, -score, item, own))
+            order = order[score[order] >= self.least * MATCH * self.n[item[order]]]
+            top = np.ones(len(order), bool)
+            top[1:] = (own[order[1:]] != own[order[:-1]]) | (item[order[1:]] != item[order[:-1]])
+            i = order[top]
+            yield own[i], item[i], score[i] / (MATCH * self.n[item[i]]), start[i], size[i]
 
 
 def _item_words(items: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.slices(batches, "__text"):
             w = common.words(part.column("__text"), lower=True, every=True)
-            yield common.rows_of(part, ["__row"], item=common.list_array(common.signed(common.hashes(w.distinct)[w.codes]), w.starts))
+            yield common.rows_of(part, ["__key", "__row"], item=common.list_array(common.signed(common.hashes(w.distinct)[w.codes]), w.starts))
 
-    return items.select("__row", "__text").mapInArrow(run, "__row long, item array<long>").dropDuplicates(["__row"])
+    kind = items.schema["__key"].dataType.simpleString()
+    return items.mapInArrow(run, f"__key {kind}, __row long, item array<long>").where(F.size("item") > 0)
 
 
-def find_leaks(
-    docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", *, seed: int = 3, rarity: float = 1e-8, least: float = 0.5
-) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", *, least: float = 0.5) -> DataFrame:
     """One row per document and item that it holds: ``key``, ``item_key``, ``row``, ``score``, ``start``, ``length``.
 
-    ``score`` is the best local alignment over that of the item with itself, 1 for a whole copy; rows from
-    ``least`` on are returned. ``start`` and ``length`` are the words of the document's best passage; of equal ones the
-    first counts. Words are compared in lower case. Null and blank texts hold nothing and are in
-    nothing. Repeated rows give repeated results; null keys take part and stay null.
+    ``score`` is the best local alignment over that of the item with itself, 1 for a whole copy; all rows from
+    ``least`` (over 0) on are returned. ``start`` and ``length`` are the words of the document's best passage; of equal ones
+    the first counts. Words are compared in lower case. Null and blank texts hold nothing and are in
+    nothing. Repeated rows give repeated results; null keys take part and stay null. Items of ``PASS_WORDS`` words in all
+    are looked for in one pass over the documents.
     """
     rows, tests = common.keyed(docs, key, text), common.keyed(items, item_key, item_text)
-    seeds = rare_seeds(rows, tests, seed, rarity)
     whole = common.stored(_item_words(tests), "leak-items")
-    longest = whole.agg(F.max(F.size("item")).alias("n")).first()["n"] or 0
-    sizes = sorted({r["size"] for r in seeds.select("size").distinct().collect()} | {seed})
-    found = common.stored(_passages(rows, BitMap(seeds, "gram"), sizes, 2 * longest), "leak-passages")
-    met = found.select("__row", "start", F.explode(F.array_distinct("grams")).alias("gram")).join(seeds.select(F.col("__row").alias("item_row"), "gram"), "gram").select("__row", "start", "item_row").distinct()
-    pairs = met.join(found.select("__row", "start", "words").dropDuplicates(["__row", "start"]), ["__row", "start"]).join(whole.withColumnRenamed("__row", "item_row"), "item_row")
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = []
-            for b, a in zip(batch.column("words"), batch.column("item"), strict=True):
-                a, b = a.values.to_numpy(), b.values.to_numpy()
-                got.append((len(a), *align(a, b)))
-            n, score, lo, hi = np.array(got, np.int64).reshape(-1, 4).T
-            start = batch.column("start").to_numpy() + lo
-            out = common.rows_of(batch, ["__row", "item_row"], score=pa.array(score / np.maximum(MATCH * n, 1)), start=pa.array(start), length=pa.array(hi - lo))
-            yield out.filter(pa.array(score >= least * MATCH * n))
-
-    scored = pairs.mapInArrow(run, "__row long, item_row long, score double, start long, length long")
-    best = scored.groupBy("__row", "item_row").agg(F.max(F.struct("score", (-F.col("start")).alias("s"), "length")).alias("b"))
-    best = common.stored(best.select("__row", "item_row", "b.score", (-F.col("b.s")).alias("start"), "b.length"), "leak-best")
-    common.discard(seeds, whole, found)
-    names = tests.select(F.col("__row").alias("item_row"), F.col("__key").alias(item_key))
-    out = best.join(names, "item_row").join(rows.select("__row", F.col("__key").alias(key)), "__row")
-    return out.select(key, item_key, F.col("__row").alias("row"), "score", "start", "length")
+    total = whole.agg(F.sum(F.size("item")).alias("n")).first()["n"] or 0
+    passes = -(-total // PASS_WORDS)
+    kinds = [df.schema["__key"].dataType.simpleString() for df in (rows, tests)]
+    schema = f"__key {kinds[0]}, __item {kinds[1]}, __row long, score double, start long, length long"
+
+    def searched(index: Index) -> DataFrame:
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in common.slices(batches, "__text"):
+                for own, item, score, start, size in index.found(part.column("__text")):
+                    own = pa.array(own)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("__key").take(own), index.names.take(pa.array(item)), part.column("__row").take(own), pa.array(score), pa.array(start), pa.array(size)], names=["__key", "__item", "__row", "score", "start", "length"]
+                    )
+
+        return rows.mapInArrow(run, schema)
+
+    parts = (whole.where(F.pmod("__row", F.lit(passes)) == i).select("__key", "item").toArrow() for i in range(passes))
+    found = [searched(Index(part, least)) for part in parts if part.num_rows]
+    out = reduce(DataFrame.unionAll, found) if found else docs.sparkSession.createDataFrame([], schema)
+    common.discard(whole)
+    return out.select(F.col("__key").alias(key), F.col("__item").alias(item_key), F.col("__row").alias("row"), "score", "start", "length")
