@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from test_edges import frame, prose
 
 from millrace.llm import leaks
@@ -32,3 +33,24 @@ def test_leaks_of_a_copy_that_many_documents_hold(spark):
     out = leaks.find_leaks(frame(spark, rows), tests).collect()
     assert sorted((r["doc_id"], r["item_id"]) for r in out) == [(i, 1) for i in range(0, 300, 3)]
     assert {(r["start"], r["length"]) for r in out} == {(20, 40)}
+
+
+@pytest.mark.parametrize("least", [0.5, 0.7])
+def test_leaks_are_those_of_aligning_everything(spark, least, monkeypatch):
+    monkeypatch.setattr(leaks, "PASS_WORDS", 200, raising=False)
+    rng = random.Random(22)
+    items = [(i, prose(rng, rng.choice([1, 2, 3, 4, 5, 9, 20, 33]), "abcd")) for i in range(24)]
+    rows = []
+    for k in range(120):
+        w = rng.choice(items)[1].split()
+        if k % 4 == 0:  # every third word replaced: no three words of the item in a row
+            w = [prose(rng, 1, "xyz") if j % 3 == 2 else x for j, x in enumerate(w)]
+        elif k % 4 == 1:  # a word put between any two
+            w = [y for x in w for y in (x, prose(rng, 1, "xyz"))][:-1]
+        elif k % 4 == 2:
+            w = [y for x in w for y in rng.choice([[x], [x], [], [x, "xx"], ["yy"]])]
+        rows.append((k, " ".join([prose(rng, rng.randint(0, 12), "abcd"), *w, prose(rng, rng.randint(0, 12), "abcd")])))
+    tests = frame(spark, [(i, t, "en") for i, t in items]).withColumnRenamed("doc_id", "item_id")
+    out = leaks.find_leaks(frame(spark, [(k, t, "en") for k, t in rows]), tests, least=least).collect()
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in out} == leaks_plain(rows, items, least)
+    assert len(out) == len({(r["doc_id"], r["item_id"]) for r in out})
