@@ -4,9 +4,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_edges import frame, prose
 
-from millrace.llm import leaks
+from millrace.llm import leaks, toxicity
 
 
 def leaks_plain(rows, items, least=0.5):
@@ -54,3 +55,27 @@ def test_leaks_are_those_of_aligning_everything(spark, least, monkeypatch):
     out = leaks.find_leaks(frame(spark, [(k, t, "en") for k, t in rows]), tests, least=least).collect()
     assert {(r["doc_id"], r["item_id"]): r["score"] for r in out} == leaks_plain(rows, items, least)
     assert len(out) == len({(r["doc_id"], r["item_id"]) for r in out})
+
+
+def toxic_model(spark):
+    rng = random.Random(23)
+    rows, marks = [], []
+    for i in range(800):
+        w = prose(rng, 20).split() + ["a", "you", "are"]
+        if i % 4 == 0:
+            w[rng.randrange(20)] = ["idiot", "clown", "loser", "stupid", "moron"][i // 4 % 5]
+        rows.append((i, " ".join(w), "en"))
+        marks.append((i, int(i % 4 == 0)))
+    return toxicity.fit(frame(spark, rows), spark.createDataFrame(marks, "doc_id long, toxic int"), F.lit(True))
+
+
+def predicted(spark, model, texts):
+    out = toxicity.score(frame(spark, [(i, t, "en") for i, t in enumerate(texts)]), model).collect()
+    return [t for i, t in enumerate(texts) if {r["doc_id"]: r["predicted"] for r in out}[i]]
+
+
+def test_signs_at_the_edges_of_words_and_doubled_letters(spark):
+    model = toxic_model(spark)
+    bad = ["!diot", "idio+", "(lown", "|oser", "(lown)", "\"!diot.\"", "stuupid", "morron", "lloser", "idiot!", "!d1o+"]
+    good = ["hello!", "(bad", "jabba", "c+", "a+", "!", "(", "abc|"]
+    assert predicted(spark, model, [f"abcd {w} efgh" for w in bad + good]) == [f"abcd {w} efgh" for w in bad]
