@@ -79,3 +79,11 @@ def test_signs_at_the_edges_of_words_and_doubled_letters(spark):
     bad = ["!diot", "idio+", "(lown", "|oser", "(lown)", "\"!diot.\"", "stuupid", "morron", "lloser", "idiot!", "!d1o+"]
     good = ["hello!", "(bad", "jabba", "c+", "a+", "!", "(", "abc|"]
     assert predicted(spark, model, [f"abcd {w} efgh" for w in bad + good]) == [f"abcd {w} efgh" for w in bad]
+
+
+def test_words_set_apart_by_spaces(spark):
+    model = toxic_model(spark)
+    bad = ["you are a s t u p i d", "a i d i o t", "you c l o w n l o s e r", "stu pid", "you idi ot a", "m o r r o n", "s 7 u p 1 d a"]
+    good = ["you are a", "a b c d", "5 4 3 2 1", "you a are a you", "| a | 5 |"]
+    assert predicted(spark, model, bad + good) == bad
+    assert toxicity.joined_words("a s t u p i d l o s e r you".split(), model.letters) == ("loser", "stupid")
