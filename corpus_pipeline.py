@@ -28,9 +28,14 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id, once; texts without words stay."""
-    out = near.near_duplicates(docs, width=5, percent=80).where("kept or (doc_id is null and component_id is null)")
-    kept = _decided(docs, out.select("doc_id", "row").distinct(), "left_semi")
+    """Of each group of near copies the document with the smallest id, once; texts without words stay.
+
+    Of documents that share that id, and of a group without ids, the one with the smallest row hash stays.
+    """
+    out = near.near_duplicates(docs, width=5, percent=80)
+    alone = F.when(F.col("group").isNull(), F.col("row")).alias("alone")
+    first = out.groupBy("group", alone).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+    kept = _decided(docs, first.select("first.doc_id", "first.row"), "left_semi")
     return kept.withColumn("__row", F.xxhash64("doc_id", "text")).dropDuplicates(["doc_id", "__row"]).drop("__row")
 
 

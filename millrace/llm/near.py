@@ -178,13 +178,14 @@ def _same_centre(apart: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row per input row: ``key``, ``row``, ``n_shingles``, ``component_id``, ``kept``.
+    """One row per input row: ``key``, ``row``, ``n_shingles``, ``component_id``, ``kept``, ``group``.
 
     Texts are linked if 100 * shared shingles >= percent * shingles of both; shared ones are counted on the
     full sets. ``component_id`` is the smallest key reachable over links, itself included. Words are lower-cased
     in A-Z. A text with fewer words than ``width`` has its whole sequence as the one shingle. Null and blank
     texts have no shingles, link with nothing and name their own key. Rows repeated as they are share a
     component. A null key takes part; it is named as a component only if a component has no other key.
+    ``group`` numbers the components, whatever their keys; it is null for texts without shingles.
     """
     rows = common.keyed(docs, key, text)
     sig = common.stored(signatures(rows, width), "near-signatures")
@@ -228,7 +229,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     final = connected_components(classes.select("cls"), "cls", links.unionByName(more_links))
     common.discard(members, weighed, star, star_sets, links, comps, placed, left, more_sets, alive, apart, rest, more_links)
     whole = final.join(classes.select("cls", "low_key"), "cls")
-    named = whole.join(whole.groupBy("component").agg(F.min("low_key").alias("component_id")), "component").select("cls", "component_id")
+    named = whole.join(whole.groupBy("component").agg(F.min("low_key").alias("component_id")), "component").select("cls", "component_id", F.col("component").alias("group"))
     out = sig.select(F.col("__key").alias(key), F.col("__row").alias("row"), F.col("n").alias("n_shingles"), "cls").join(named, "cls", "left")
     component = F.coalesce("component_id", F.col(key))
-    return out.select(key, "row", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col(key), F.lit(False)).alias("kept"))
+    return out.select(key, "row", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col(key), F.lit(False)).alias("kept"), "group")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_edges import frame, prose
 
+import corpus_pipeline
 from millrace.llm import leaks, toxicity
 
 
@@ -87,3 +88,14 @@ def test_words_set_apart_by_spaces(spark):
     good = ["you are a", "a b c d", "5 4 3 2 1", "you a are a you", "| a | 5 |"]
     assert predicted(spark, model, bad + good) == bad
     assert toxicity.joined_words("a s t u p i d l o s e r you".split(), model.letters) == ("loser", "stupid")
+
+
+def test_one_of_near_copies_whatever_their_ids(spark):
+    rng = random.Random(24)
+    rows = []
+    for ids in ([5, 5, 5], [None, None, None], [None, 7, 7], [9, None, 8]):
+        base = prose(rng, 80)
+        rows += [(i, f"{base} end{k}", "en") for k, i in enumerate(ids)]
+    rows += [(None, None, "en"), (20, "", "en")]
+    out = corpus_pipeline.keep_one_of_near_copies(spark, frame(spark, rows), "").collect()
+    assert sorted((r["doc_id"] or 0) for r in out) == [0, 0, 5, 7, 8, 20]
