@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import common, language, lattice, leaks, near, neighbours, packing, pages, substring, toxicity, urls
+from millrace.llm import common, language, lattice, leaks, manifest, near, neighbours, packing, pages, substring, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -148,3 +148,37 @@ FROM x LEFT JOIN t USING (doc_id)
 def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     out = substring.drop_repeats(_table(spark, folder, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+#: Length in bytes, colon and value of a column, ``-`` for null.
+_FIELD = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "{n}", "text")) + ")"
+_UP = "list_transform(range(0, len(hs), 2), lambda i: sha256(hs[i + 1] || coalesce(hs[i + 2], '')))"
+_STEPS = """list(CASE WHEN xor(p >> lvl, 1) >= len(hs) THEN '-' WHEN (p >> lvl) & 1 = 1 THEN 'L' || hs[xor(p >> lvl, 1) + 1]
+  ELSE 'R' || hs[xor(p >> lvl, 1) + 1] END ORDER BY lvl)"""
+MANIFEST_SQL = f"""
+WITH RECURSIVE c AS (SELECT doc_id, lang, {_LEAF.format(n="n_chars")} AS leaf, {_LEAF.format(n="(n_chars + 1)")} AS changed,
+  xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+    lambda crc, b: list_reduce(list_concat([xor(crc, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) % 7 = 0 AS bad
+  FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p FROM c),
+t AS (SELECT lang, 0 AS lvl, list(leaf ORDER BY p) AS hs FROM l GROUP BY lang
+  UNION ALL SELECT lang, lvl + 1, {_UP} FROM t WHERE len(hs) > 1),
+s AS (SELECT lang, hs[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS p FROM t WHERE len(hs) = 1),
+u AS (SELECT 0 AS lvl, list(subroot ORDER BY p) AS hs FROM s UNION ALL SELECT lvl + 1, {_UP} FROM u WHERE len(hs) > 1),
+a AS (SELECT doc_id, l.lang, leaf, p, changed, bad, {_STEPS} FILTER (len(hs) > 1) AS low FROM l JOIN t ON l.lang IS NOT DISTINCT FROM t.lang GROUP BY ALL),
+b AS (SELECT lang, subroot, {_STEPS} FILTER (len(hs) > 1) AS high FROM s CROSS JOIN u GROUP BY lang, subroot),
+w AS (SELECT doc_id, leaf, subroot, (SELECT hs[1] FROM u WHERE len(hs) = 1) AS root, list_concat(coalesce(low, []), coalesce(high, [])) AS steps,
+  CASE WHEN bad THEN changed ELSE leaf END AS start FROM a JOIN b ON a.lang IS NOT DISTINCT FROM b.lang),
+v AS (SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(list_filter(steps, lambda x: x <> '-'), lambda x: x[2:]), ''), '')) AS proof_sha256,
+  list_reduce(list_concat([start], steps), lambda h, x: CASE WHEN x = '-' THEN sha256(h) WHEN x[1] = 'L' THEN sha256(x[2:] || h) ELSE sha256(h || x[2:]) END) AS folded_root FROM w)
+SELECT *, folded_root = root AS verified FROM v
+"""
+
+
+@query(MANIFEST_SQL)
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    out = manifest.manifest(_table(spark, folder, "documents"), changes={"n_chars": F.col("n_chars") + 1}, where=tampered)
+    proof = F.sha2(F.array_join("proof", "").cast("binary"), 256).alias("proof_sha256")
+    return out.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", "verified")
