@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import common, language, lattice, leaks, manifest, near, neighbours, packing, pages, substring, toxicity, urls
+from millrace.llm import common, language, lattice, leaks, manifest, near, neighbours, packing, pages, substring, suffixes, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -182,3 +182,24 @@ def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     out = manifest.manifest(_table(spark, folder, "documents"), changes={"n_chars": F.col("n_chars") + 1}, where=tampered)
     proof = F.sha2(F.array_join("proof", "").cast("binary"), 256).alias("proof_sha256")
     return out.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", "verified")
+
+
+BYTES_SQL = """
+WITH d AS (SELECT doc_id, coalesce(hex(encode(text)), '') AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+q AS (SELECT doc_id, p, substr(h, 2 * p + 1, 1398) AS s, n FROM (SELECT *, unnest(range(0, n - 199, 500)) AS p FROM d WHERE n >= 200)),
+v AS (SELECT doc_id, p + o AS i, md5_number(substr(s, 2 * o + 1, 400)) AS k FROM (SELECT *, unnest(range(0, least(500, n - 199 - p))) AS o FROM q)),
+g AS (SELECT doc_id, i FROM v WHERE k IN (SELECT k FROM v GROUP BY k HAVING count(*) > 1)),
+e AS (SELECT *, i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) > 200 AS fresh FROM g),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM e) GROUP BY doc_id, run),
+z AS (SELECT doc_id, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends FROM r GROUP BY doc_id),
+x AS (SELECT d.*, coalesce(starts, []) AS starts, coalesce(ends, []) AS ends FROM d LEFT JOIN z USING (doc_id))
+SELECT doc_id, n AS n_bytes, coalesce(list_sum(ends) - list_sum(starts), 0)::BIGINT AS n_removed, len(starts) AS n_spans,
+  sha256(unhex(array_to_string(list_transform(range(0, len(starts) + 1), lambda j: substr(h, 2 * coalesce(ends[j], 0) + 1, 2 * (coalesce(starts[j + 1], n) - coalesce(ends[j], 0)))), ''))) AS kept_sha256
+FROM x
+"""
+
+
+@query(BYTES_SQL)
+def op12_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = suffixes.drop_repeats(_table(spark, folder, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
