@@ -65,26 +65,26 @@ def _anchored(grams: np.ndarray, span: int) -> np.ndarray:
     return (best & U64(0xFFFFFF)).astype(np.int64)
 
 
-def text_pieces(part: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Bytes, row of the batch, place in its text and end of each piece. A string starts in one piece only."""
+def text_pieces(part: pa.RecordBatch, width: int, size: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Row of the batch, place in its text and bytes of each piece. A string starts in one piece only."""
     col = part.column("__text").cast(pa.large_binary())
     for row in range(len(col)):
         value = col[row].as_buffer() if col[row].is_valid else None
         if value is None or value.size < width:
             continue
         data = np.frombuffer(value, np.uint8)
-        for at in range(0, len(data) - width + 1, PIECE):
-            yield row, at, data[at : at + PIECE + width - 1]
+        for at in range(0, len(data) - width + 1, size):
+            yield row, at, data[at : at + size + width - 1]
 
 
-def blocks(part: pa.RecordBatch, width: int) -> Iterator[dict[str, np.ndarray]]:
+def blocks(part: pa.RecordBatch, width: int, most: int) -> Iterator[dict[str, np.ndarray]]:
     """Blocks of the texts: row, place of the first string, number of strings, place of the anchor in the block, two hashes."""
     held: list[tuple[int, int, np.ndarray]] = []
     size = 0
-    for piece in text_pieces(part, width):
+    for piece in text_pieces(part, width, most):
         held.append(piece)
         size += len(piece[2])
-        if size > PIECE:
+        if size > most:
             yield _blocks_of(held, width)
             held, size = [], 0
     if held:
@@ -123,7 +123,7 @@ def _light(rows: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.slices(batches, "__text", 2 << 20):
-            for b in blocks(part, width):
+            for b in blocks(part, width, PIECE):
                 yield pa.RecordBatch.from_arrays(
                     [part.column("__row").take(pa.array(b["row"])), common.signed(b["anchor"]), common.signed(b["content"]), pa.array(b["start"].astype(np.int64)), pa.array(b["count"].astype(np.int16)), pa.array(b["lead"].astype(np.int16))],
                     names=["__row", "anchor", "content", "start", "count", "lead"],
