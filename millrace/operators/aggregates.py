@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import numeric as N
-from millrace.operators.ordered import exact_quantiles
+from millrace.operators.narrowing import exact_quantiles
 
 #: Days-open buckets of the aging report.
 AGING_STEPS = [(30, "0-30 days"), (60, "31-60 days"), (90, "61-90 days"), (120, "91-120 days")]

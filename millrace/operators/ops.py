@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from millrace.functions import dates as D
 from millrace.functions import numeric as N
 from millrace.functions import text as X
-from millrace.operators.ordered import exact_quantiles, null_safe_join
+from millrace.operators.narrowing import exact_quantiles
+from millrace.operators.ordered import null_safe_join
 from millrace.operators.windows import minutes_between
 
 # Error classes with their patterns and severity, in the order they are tried.

@@ -136,66 +136,3 @@ def ranked(
     if total:
         extra.append(F.col("__total").cast("long").alias(total))
     return out.select(*df.columns, *extra)
-
-
-def exact_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: dict[str, float],
-    *,
-    method: str = "linear",
-    digits: int = 4,
-) -> DataFrame:
-    """Exact order statistics by key: one column per entry of ``probs``, plus ``n``.
-
-    ``linear`` interpolates at (n-1)p; ``index`` takes the sorted element at floor(n*p)
-    (bounded by n-1). Values are counted, counts are summed by magnitude block, and only
-    the blocks that hold a wanted position are opened, so no group is ever sorted whole.
-    """
-    base = df.select(*keys, F.col(value).cast("double").alias("__v")).where("__v IS NOT NULL")
-    counts = base.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n"))
-    counts = counts.withColumn("__b", magnitude_block("__v", digits))
-    whole = Window.partitionBy(*keys)
-    earlier = whole.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = (
-        counts.groupBy(*keys, "__b")
-        .agg(F.sum("__n").alias("__bn"))
-        .withColumn("__lo", F.coalesce(F.sum("__bn").over(earlier), F.lit(0)))
-        .withColumn("n", F.sum("__bn").over(whole))
-    )
-
-    def spots(p: float) -> tuple[Column, Column]:
-        if method == "index":
-            at = F.least(F.floor(F.col("n") * F.lit(float(p))), F.col("n") - 1)
-            return at, at
-        at = (F.col("n") - 1) * F.lit(float(p))
-        return F.floor(at), F.ceil(at)
-
-    wanted = F.array(*[s.cast("long") for p in probs.values() for s in spots(p)])
-    blocks = blocks.withColumn(
-        "__want",
-        F.filter(F.array_distinct(wanted), lambda r: (r >= F.col("__lo")) & (r < F.col("__lo") + F.col("__bn"))),
-    ).where(F.size("__want") > 0)
-    inner = Window.partitionBy(*keys, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    hits = (
-        null_safe_join(counts, blocks.select(*keys, "__b", "__lo", "n", "__want"), [*keys, "__b"])
-        .withColumn("__end", F.col("__lo") + F.sum("__n").over(inner))
-        .withColumn(
-            "__hit",
-            F.explode(
-                F.filter("__want", lambda r: (r < F.col("__end")) & (r >= F.col("__end") - F.col("__n")))
-            ),
-        )
-    )
-    cols = []
-    for name, p in probs.items():
-        lo, hi = spots(p)
-        low = F.max(F.when(F.col("__hit") == lo, F.col("__v")))
-        high = F.max(F.when(F.col("__hit") == hi, F.col("__v")))
-        if method == "index":
-            cols.append(low.alias(name))
-        else:
-            frac = F.max((F.col("n") - 1) * F.lit(float(p)) - lo)
-            cols.append((low + (high - low) * frac).alias(name))
-    return hits.groupBy(*keys).agg(F.max("n").cast("long").alias("n"), *cols)

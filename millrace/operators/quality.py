@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import numeric as N
-from millrace.operators.ordered import exact_quantiles, null_safe_join, running_sum
+from millrace.operators.narrowing import exact_quantiles, largest_gap
+from millrace.operators.ordered import null_safe_join
 
 # Words read as null by the profiler, and by the missing-value and outlier checks.
 NULL_WORDS = ("", "null", "none", "n/a", "na", "nan", "nil")
@@ -135,14 +136,13 @@ def profile_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def profile_extended(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Adds median, quartiles by index and text lengths; null is None or empty here."""
     rows = _long(df, columns).where("value IS NOT NULL AND value <> ''").withColumn("x", number("value"))
-    median = exact_quantiles(rows, ["column"], "x", {"median": 0.5}).drop("n")
-    quarters = exact_quantiles(rows, ["column"], "x", {"p25": 0.25, "p75": 0.75}, method="index").drop("n")
+    spots = exact_quantiles(rows, ["column"], "x", {"median": 0.5, "p25": (0.25, "index"), "p75": (0.75, "index")}).drop("n")
     size = F.length("value")
     lengths = rows.groupBy("column").agg(
         F.min(size).alias("min_length"), F.max(size).alias("max_length"), F.avg(size).alias("avg_length")
     )
     types = semantic_types(df, columns)
-    out = types.join(lengths, "column", "left").join(median, "column", "left").join(quarters, "column", "left")
+    out = types.join(lengths, "column", "left").join(spots, "column", "left")
     numeric, text = F.col("semantic_type").isin("integer", "float"), F.col("semantic_type") == "string"
     return out.select(
         "column",
@@ -501,16 +501,10 @@ def partition_advice(profile: DataFrame, date_columns: Sequence[str], total_byte
 def ks_statistic(reference: DataFrame, current: DataFrame, value: str) -> DataFrame:
     """Largest distance of the two cumulative shares, with the asymptotic p-value.
 
-    Shares are summed over distinct values block by block.
+    Only cells of values that can hold the largest distance are summed value by value.
     """
-    a = reference.select(F.col(value).cast("double").alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b"))
-    b = current.select(F.col(value).cast("double").alias("v"), F.lit(0).alias("a"), F.lit(1).alias("b"))
-    counts = a.unionByName(b).where("v IS NOT NULL").groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    block = N.magnitude_block("v", 3)
-    cum = running_sum(running_sum(counts, [], ["v"], "a", block, "ca"), [], ["v"], "b", block, "cb")
-    n = counts.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
-    gap = F.abs(F.col("ca") / F.col("na") - F.col("cb") / F.col("nb"))
-    out = cum.crossJoin(F.broadcast(n)).agg(F.max(gap).alias("ks"), F.max("na").alias("n_reference"), F.max("nb").alias("n_current"))
+    gap = largest_gap(reference, current, value)
+    out = gap.select(F.col("gap").alias("ks"), F.col("na").alias("n_reference"), F.col("nb").alias("n_current"))
     scaled = F.sqrt(F.col("n_reference") * F.col("n_current") / (F.col("n_reference") + F.col("n_current"))) * F.col("ks")
     out = out.withColumn("__l", scaled)
     term = F.transform(

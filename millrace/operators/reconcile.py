@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.ordered import ranked
+from millrace.operators.narrowing import cut_by_rank
 from millrace.operators.warehouse import row_hash
 
 
@@ -91,13 +91,13 @@ def sampled_validation(source: DataFrame, target: DataFrame, key: str, columns:
     """
     base = z * z * 0.25 / (margin * margin)
     spot = source.select(key, row_hash(columns).alias("h"), F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 13), 16, 10).cast("long").cast("double").alias("spot"))
-    placed = ranked(spot, [], "spot", descending=False, tie=key, row_number="rn", total="n", digits=3)
-    n = F.col("n")
-    size = F.ceil(F.when(n < 10000, F.lit(base) / (1 + (F.lit(base) - 1) / n)).otherwise(F.lit(base)))
-    sample = placed.where(F.col("rn") <= size)
+    size = lambda n: F.ceil(F.when(n < 10000, F.lit(base) / (1 + (F.lit(base) - 1) / n)).otherwise(F.lit(base)))
+    # the sample is a small share of a large table, and most of a small one, which is opened whole
+    sample = cut_by_rank(spot, [], "spot", key, [(0.0, size)], "beyond").where("beyond = 0")
     other = target.select(F.col(key).alias("__k"), row_hash(columns).alias("__h"))
     j = sample.join(other, F.col(key) == F.col("__k"), "left")
-    out = j.agg(F.max("n").alias("population"), F.count(F.lit(1)).alias("sample_size"), F.count_if(~F.col("h").eqNullSafe(F.col("__h"))).alias("errors"))
+    out = j.agg(F.count(F.lit(1)).alias("sample_size"), F.count_if(~F.col("h").eqNullSafe(F.col("__h"))).alias("errors"))
+    out = source.agg(F.count(F.lit(1)).alias("population")).crossJoin(F.broadcast(out))
     p = F.col("errors") / F.col("sample_size")
     half = z * F.sqrt(p * (1 - p) / F.col("sample_size"))
     return out.withColumn("error_rate", p).withColumn("lower", F.greatest(F.lit(0.0), p - half)).withColumn("upper", F.least(F.lit(1.0), p + half)).withColumn("estimated_errors", F.floor(p * F.col("population")))

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import numeric as N
-from millrace.operators.ordered import exact_quantiles, null_safe_join, running_sum
+from millrace.operators.narrowing import exact_quantiles
+from millrace.operators.ordered import null_safe_join, running_sum
 
 # Rotation defaults in days, risk weights, risk bounds, theme words, page limits.
 ROTATION_DAYS = {"database": 30, "api-key": 90, "tls-certificate": 60, "ssh-key": 90, "service-token": 1, "encryption-key": 90, "oauth-secret": 90, "password": 30}

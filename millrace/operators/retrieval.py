@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import numeric as N
 from millrace.functions import text as X
-from millrace.operators.ordered import exact_quantiles
+from millrace.operators.narrowing import exact_quantiles
 from millrace.session import checkpoint_folder, work_folder
 
 # ---- postings and ranking ---------------------------------------------------

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.ordered import ranked
+from millrace.operators.narrowing import cut_by_rank
 
 
 def hash_spot(key: str, seed: int) -> Column:
@@ -17,11 +17,12 @@ def hash_spot(key: str, seed: int) -> Column:
 
 def split(df: DataFrame, key: str, classes: Sequence[str], shares: tuple[float, float], seed: int = 42) -> DataFrame:
     """Train, validation and test by exact counts int(n x share), inside each class when classes are given."""
-    placed = ranked(df.withColumn("__spot", hash_spot(key, seed)), list(classes), "__spot", descending=False, tie=key, row_number="__rn", total="__n")
-    first = F.floor(F.col("__n") * shares[0])
-    second = first + F.floor(F.col("__n") * shares[1])
-    part = F.when(F.col("__rn") <= first, "train").when(F.col("__rn") <= second, "val").otherwise("test")
-    return placed.withColumn("split", part).drop("__spot", "__rn", "__n")
+    first = lambda n: F.floor(n * shares[0])
+    second = lambda n: first(n) + F.floor(n * shares[1])
+    rows = df.withColumn("__spot", hash_spot(key, seed))
+    placed = cut_by_rank(rows, list(classes), "__spot", key, [(shares[0], first), (shares[0] + shares[1], second)], "__part")
+    part = F.when(F.col("__part") == 0, "train").when(F.col("__part") == 1, "val").otherwise("test")
+    return placed.withColumn("split", part).drop("__spot", "__part")
 
 
 def exact_duplicates(df: DataFrame, key: str, content: str) -> DataFrame:

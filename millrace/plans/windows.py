@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from millrace.operators import aggregates as A
 from millrace.operators import windows as W
+from millrace.operators.narrowing import cut_by_rank
 from millrace.operators.ordered import ranked, running_sum
+from millrace.session import written
 from millrace.plans.aggregates import FORECAST, forecast
 from millrace.plans.registry import query
 
@@ -107,13 +109,11 @@ def growth_pct(t):
     "WITH s AS (SELECT o_custkey, round(sum(o_totalprice), 2) AS spend FROM orders GROUP BY 1) SELECT o_custkey, ntile(4) OVER (ORDER BY spend DESC, o_custkey) AS quartile FROM s",
 )
 def ntile(t):
-    """Quartile from the global position: the first n % 4 tiles hold one more row."""
-    spend = t.orders.groupBy("o_custkey").agg(F.round(F.sum("o_totalprice"), 2).alias("spend"))
-    pos = ranked(spend, [], "spend", tie="o_custkey", row_number="rn", total="n")
-    size, extra = F.floor(F.col("n") / 4), F.col("n") % 4
-    big = extra * (size + 1)
-    tile = F.when(F.col("rn") <= big, F.ceil(F.col("rn") / (size + 1))).otherwise(extra + F.ceil((F.col("rn") - big) / size))
-    return pos.select("o_custkey", tile.cast("long").alias("quartile"))
+    """Quartile by the rows at which tiles start: the first n % 4 tiles hold one more row."""
+    spend = written(t.orders.groupBy("o_custkey").agg(F.round(F.sum("o_totalprice"), 2).alias("spend")), "spend")
+    starts = [(i / 4, lambda n, i=i: F.floor(n / 4) * i + F.least(n % 4, F.lit(i))) for i in (1, 2, 3)]
+    out = cut_by_rank(spend, [], "spend", "o_custkey", starts, "tile", descending=True)
+    return out.select("o_custkey", (F.col("tile") + 1).cast("long").alias("quartile"))
 
 
 @query(

@@ -76,6 +76,13 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once below the shared folder and read back, so what reads it does not run it again."""
+    path = work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: Tables whose rows cost much computing per byte read.
 TEXT_TABLES = ("documents", "pages", "conversations")
 

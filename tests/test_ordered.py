@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions.numeric import magnitude_block
-from millrace.operators.ordered import exact_quantiles, neighbour, ranked, running_sum
+from millrace.operators.narrowing import exact_quantiles
+from millrace.operators.ordered import neighbour, ranked, running_sum
 
 
 @pytest.fixture(scope="module")
