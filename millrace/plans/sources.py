@@ -210,14 +210,15 @@ def stateful_session(t):
 def late_data(t):
     """The older half arrives last, behind the watermark, and is dropped.
 
-    A batch drops late rows by the watermark of the batch before it, so two files come first.
+    A batch drops late rows by the watermark of the batch before it, so two batches come first.
     """
-    path = work_folder(t.spark, "late")
     day = F.to_date("ts")
-    for lo, hi in (("2024-01-15", "2024-01-29"), ("2024-01-29", "2024-12-31"), ("2024-01-01", "2024-01-15")):
-        t.events.where((day >= F.lit(lo).cast("date")) & (day < F.lit(hi).cast("date"))).coalesce(1).write.mode("append").parquet(path)
-    rows = R.file_stream(t.spark, path, t.events, glob="*.parquet", per_trigger=1)
-    return plain(R.appended(R.window_counts(rows, ["event_type"], "ts", "value", "5 minutes"), "late"))
+    spans = (("2024-01-15", "2024-01-29"), ("2024-01-29", "2024-12-31"), ("2024-01-01", "2024-01-15"))
+    parts = [t.events.where((day >= F.lit(lo).cast("date")) & (day < F.lit(hi).cast("date"))) for lo, hi in spans]
+    out = work_folder(t.spark, "late")
+    build = lambda rows: R.window_counts(rows, ["event_type"], "ts", "value", "5 minutes")
+    R.delivered(parts, lambda rows, checkpoint: R.run_append(build(rows), out, checkpoint), t.events, "late-input")
+    return plain(t.spark.read.parquet(out))
 
 
 @query(
@@ -236,30 +237,28 @@ def output_modes(t):
 
 @query("foreach_batch_upsert", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts) AS ts FROM events GROUP BY 1")
 def foreach_batch_upsert(t):
-    """Four files in time order, one per batch; the table keeps the newest row of each user."""
-    path = work_folder(t.spark, "batches")
+    """Four batches in time order; the table keeps the newest row of each user."""
     day = F.dayofmonth("ts")
-    for lo, hi in ((1, 8), (8, 16), (16, 24), (24, 32)):
-        t.events.where((day >= lo) & (day < hi)).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    rows = R.file_stream(t.spark, f"{path}/in", t.events, glob="*.parquet", per_trigger=1)
-    table = R.VersionedTable(t.spark, f"{path}/table", "user_id")
+    parts = [t.events.where((day >= lo) & (day < hi)) for lo, hi in ((1, 8), (8, 16), (16, 24), (24, 32))]
+    table = R.BucketedTable(t.spark, work_folder(t.spark, "newest"), "user_id")
 
     def sink(batch, number):
         table.write(batch.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type"), F.max("ts").alias("ts")), number)
 
-    q = rows.writeStream.option("checkpointLocation", f"{path}/checkpoint").foreachBatch(sink).trigger(availableNow=True).start()
-    q.awaitTermination()
+    def start(rows, checkpoint):
+        rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink).trigger(availableNow=True).start().awaitTermination()
+
+    R.delivered(parts, start, t.events, "batches")
     return plain(table.read())
 
 
 @query("stream_dedup", "SELECT event_id, event_type FROM events")
 def stream_dedup(t):
-    """Every event is delivered twice, in two files."""
-    path = work_folder(t.spark, "twice")
-    for _ in range(2):
-        t.events.coalesce(1).write.mode("append").parquet(path)
-    rows = R.file_stream(t.spark, path, t.events, glob="*.parquet", per_trigger=1)
-    return R.appended(R.dedup(rows, ["event_id"], "ts").select("event_id", "event_type"), "dedup")
+    """Every event is delivered twice, in two batches."""
+    out = work_folder(t.spark, "once")
+    build = lambda rows: R.dedup(rows, ["event_id"], "ts", "60 days").select("event_id", "event_type")
+    R.delivered([t.events] * 2, lambda rows, checkpoint: R.run_append(build(rows), out, checkpoint), t.events, "twice")
+    return t.spark.read.parquet(out)
 
 
 @query("trigger_checkpoint", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")

@@ -5,15 +5,19 @@ Results go to files below the shared work folder, never to the driver.
 
 from __future__ import annotations
 
+import json
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
+from uuid import uuid4
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
-from millrace.operators.warehouse import upsert
+from millrace.functions.text import prefixed
 from millrace.session import work_folder
 
 
@@ -46,51 +50,84 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-class VersionedTable:
-    """Upsert target for ``foreachBatch``: each batch writes the next version of the table.
+class BucketedTable:
+    """Upsert target for ``foreachBatch`` that merges on read: one row per key, the newest batch wins.
 
-    The version is named by the batch id, and a pointer names the last one and the one it was made from. A batch
-    that runs again after a failure overwrites its own version from the one before it, so every batch counts exactly
-    once. A missing pointer or version after the first batch is an error: older rows would be lost.
+    A batch appends its rows as files of their own below the hash buckets of their keys, so its cost follows the
+    batch and not the table. A reader reduces the files of a bucket by key. A bucket of more than ``deltas`` files
+    folders is compacted: it alone is rewritten as one folder. A manifest lists the folders of each bucket; every
+    attempt of a batch writes a new manifest as one file, last, and nothing is ever overwritten. So a batch that
+    fails at any step has no effect, and one that runs again starts from the manifest of the batch before and
+    counts exactly once. A batch without a manifest before it is an error: older rows would be lost.
     """
 
-    def __init__(self, spark: SparkSession, path: str, key: str):
-        self.spark, self.path, self.key = spark, path, key
-
-    def _at(self, batch: int) -> str:
-        return f"{self.path}/v{batch:09d}"
-
-    def _pointer(self) -> tuple[int, int | None] | None:
-        if not _exists(self.spark, f"{self.path}/last/_SUCCESS"):
-            return None
-        row = self.spark.read.schema("batch long, before long").parquet(f"{self.path}/last").first()
-        return row["batch"], row["before"]
+    def __init__(self, spark: SparkSession, path: str, key: str, *, buckets: int = 16, deltas: int = 8):
+        self.spark, self.path, self.key, self.buckets, self.deltas = spark, path, key, buckets, deltas
+
+    MANIFEST = "version long, attempt int, bucket int, folder string, kind string"
+
+    def _manifest(self, before: int | None = None) -> tuple[str | None, int, list[tuple[int, str]]]:
+        """Schema and folders by bucket, oldest first, of the newest version, before the given one if any; attempts of that one."""
+        at = f"{self.path}/manifest"
+        if not _exists(self.spark, at):
+            return None, 0, []
+        rows = self.spark.read.schema(self.MANIFEST).parquet(at)
+        tried = 0 if before is None else rows.where(F.col("version") == before).agg(F.coalesce(F.max("attempt"), F.lit(0))).first()[0]
+        past = rows if before is None else rows.where(F.col("version") < before)
+        newest = past.agg(F.max(F.struct("version", "attempt"))).first()[0]
+        if newest is None:
+            return None, tried, []
+        listed = past.where((F.col("version") == newest[0]) & (F.col("attempt") == newest[1])).collect()
+        return listed[0]["kind"], tried, sorted((r["bucket"], r["folder"]) for r in listed if r["bucket"] >= 0)
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+
+    def _save(self, rows: DataFrame, folder: str) -> list[tuple[int, str]]:
+        """Write rows below their buckets; returns which buckets have got some."""
+        placed = rows.withColumn("__bucket", self._bucket())
+        placed.repartition("__bucket").write.partitionBy("__bucket").parquet(f"{self.path}/data/{folder}")
+        got = self.spark.read.schema(placed.schema).parquet(f"{self.path}/data/{folder}").select("__bucket").distinct()
+        return [(r[0], folder) for r in got.collect()]
+
+    def _reduced(self, live: Sequence[tuple[int, str]], like: StructType) -> DataFrame:
+        paths = [f"{self.path}/data/{folder}/__bucket={bucket}" for bucket, folder in live]
+        rows = self.spark.read.schema(like).parquet(*paths) if paths else self.spark.createDataFrame([], like)
+        newest = F.max_by(F.struct(*[F.col(c) for c in like.names]), "__version").alias("r")
+        return rows.groupBy(self.key).agg(newest).select("r.*")
 
     def write(self, rows: DataFrame, batch: int) -> None:
-        at = self._pointer()
-        if at is None and batch > 0:
+        kind, tried, live = self._manifest(batch)
+        if kind is None and batch > 0:
             raise RuntimeError(f"{self.path}: batch {batch} has no version before it")
-        before = None if at is None else at[1] if at[0] == batch else at[0]
-        if before is not None:
-            if not _exists(self.spark, f"{self._at(before)}/_SUCCESS"):
-                raise RuntimeError(f"{self.path}: version {before} is missing")
-            rows = upsert(rows.sparkSession.read.parquet(self._at(before)), rows, self.key)
-        rows.write.mode("overwrite").parquet(self._at(batch))
-        self.spark.createDataFrame([(batch, before)], "batch long, before long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/last")
+        rows = rows.withColumn("__version", F.lit(batch).cast("long"))
+        name = f"{batch:012d}-{tried + 1:04d}-{uuid4().hex[:8]}"
+        live = [*live, *self._save(rows, name)]
+        count = Counter(b for b, _ in live)
+        full = {b for b, n in count.items() if n > self.deltas}
+        if full:
+            whole = self._reduced([x for x in live if x[0] in full], rows.schema)
+            live = [x for x in live if x[0] not in full] + self._save(whole, f"{name}-whole")
+        self._commit(batch, tried + 1, live, rows.schema.json())
+
+    def _commit(self, batch: int, attempt: int, live: Sequence[tuple[int, str]], kind: str) -> None:
+        """One file, moved into place as a whole; an empty table has a row without a bucket."""
+        listed = [(batch, attempt, b, f, kind) for b, f in live] or [(batch, attempt, -1, "", kind)]
+        self.spark.createDataFrame(listed, self.MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
 
     def read(self) -> DataFrame:
-        at = self._pointer()
-        if at is None:
+        kind, _, live = self._manifest()
+        if kind is None:
             raise RuntimeError(f"{self.path}: no version was written")
-        return self.spark.read.parquet(self._at(at[0]))
+        return self._reduced(live, StructType.fromJson(json.loads(kind))).drop("__version")
 
 
 def upserted(df: DataFrame, key: Sequence[str], mode: str, name: str) -> DataFrame:
     """Run a keyed aggregate in update or complete mode and return the final table."""
     spark = df.sparkSession
     path = work_folder(spark, name)
-    table = VersionedTable(spark, f"{path}/table", "__key")
-    keyed = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("_null_")) for k in key])
+    table = BucketedTable(spark, f"{path}/table", "__key")
+    keyed = prefixed(key)
 
     def sink(rows: DataFrame, batch: int) -> None:
         table.write(rows.withColumn("__key", keyed), batch)
@@ -100,6 +137,20 @@ def upserted(df: DataFrame, key: Sequence[str], mode: str, name: str) -> DataFra
     return table.read().drop("__key")
 
 
+def delivered(parts: Sequence[DataFrame], start: Callable[[DataFrame, str], None], like: DataFrame, name: str, *, ts: str = "ts") -> str:
+    """Deliver tables one after the other to one stream: each is one batch, written by as many tasks as it has.
+
+    ``start(rows, checkpoint)`` runs the stream over what is new and returns when it is used up; all runs share the
+    checkpoint, so state and watermark go on. Returns the work folder.
+    """
+    spark = like.sparkSession
+    path = work_folder(spark, name)
+    for part in parts:
+        part.write.mode("append").parquet(f"{path}/in")
+        start(file_stream(spark, f"{path}/in", like, glob="*.parquet", ts=ts), f"{path}/checkpoint")
+    return path
+
+
 def window_counts(df: DataFrame, keys: Sequence[str], ts: str, value: str, size: str, slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
     """Tumbling or sliding window counts and sums behind a watermark."""
     w = F.window(ts, size, slide) if slide else F.window(ts, size)

@@ -279,19 +279,6 @@ def test_prefixed_keys_do_not_collide(spark):
     assert len({r.h for r in got}) == len({r.k for r in got}) == 6
 
 
-def test_versioned_table_fails_on_a_gap(spark, tmp_path):
-    from millrace.streaming.streams import VersionedTable
-
-    table = VersionedTable(spark, str(tmp_path / "t"), "k")
-    row = lambda k, v: spark.createDataFrame([(k, v)], "k long, v long")
-    with pytest.raises(RuntimeError):
-        table.write(row(1, 1), 3)
-    table.write(row(1, 1), 0)
-    table.write(row(2, 2), 1)
-    table.write(row(2, 3), 1)
-    assert sorted(tuple(r) for r in table.read().collect()) == [(1, 1), (2, 3)]
-
-
 def test_stream_counts_more_than_a_hundred_batches(spark, tmp_path):
     from millrace.streaming.streams import file_stream, progress_rows
 
