@@ -55,20 +55,6 @@ def tfidf_scores(post: DataFrame, queries: DataFrame, total: DataFrame, *, true_
     return agg.withColumn("score", N.safe_divide("dot", F.col("qn") * F.col("dn"))).where("score > 0").select("query", "doc", "score")
 
 
-def bm25_scores(post: DataFrame, queries: DataFrame, stats: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """BM25; a query term counts once for each time it occurs in the query. ``stats`` holds ``n`` and ``avgdl``."""
-    hits, df = _candidates(post, queries)
-    terms = df.crossJoin(F.broadcast(stats)).withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    rows = queries.join(terms.select("term", "idf", "avgdl"), "term").join(hits, "term")
-    norm = F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avgdl"))
-    return rows.groupBy("query", "doc").agg(F.sum(F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / norm).alias("score")).where("score > 0")
-
-
-def corpus_stats(docs: DataFrame, text: str, rule: str = "alnum") -> DataFrame:
-    """Number of documents and mean token count."""
-    return docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(X.tokens(text, rule))).alias("avgdl"))
-
-
 def top_k(scores: DataFrame, k: int, places: int = 9) -> DataFrame:
     """The k best documents of every query with their rank; ties by document.
 

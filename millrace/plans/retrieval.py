@@ -4,9 +4,11 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as X
 from millrace.operators import retrieval as R
+from millrace.operators import search as S
 from millrace.plans.registry import query
 from millrace.plans.scalars import EVAL_SQL
 from millrace.plans.sets import ALNUM
+from millrace.session import work_folder
 
 POST = f"""
     dw AS (SELECT doc_id AS doc, {ALNUM} AS w FROM documents), dt AS (SELECT doc, len(w) AS length, unnest(w) AS term FROM dw), p AS (SELECT doc, term, count(*) AS tf, any_value(length) AS length FROM dt GROUP BY 1, 2),
@@ -24,8 +26,16 @@ BM = """
 """
 
 
-def post(t):
-    return R.postings(t.documents, "doc_id", "text")
+#: Indexes of this process by session and input files.
+INDEXES: dict[tuple, S.Index] = {}
+
+
+def index(t):
+    """The index of the documents, written once for all searches over the same files."""
+    known = (t.spark.sparkContext.applicationId, *sorted(t.spark.read.parquet(t.path("documents")).inputFiles()))
+    if known not in INDEXES:
+        INDEXES[known] = S.build(t.documents, "doc_id", "text", work_folder(t.spark, "index"))
+    return INDEXES[known]
 
 
 def queries(t):
@@ -33,11 +43,11 @@ def queries(t):
 
 
 def tfidf(t, k=10):
-    return R.top_k(R.tfidf_scores(post(t), queries(t), t.documents.agg(F.count(F.lit(1)).alias("n"))), k)
+    return S.search(index(t), queries(t), S.tfidf(), k)
 
 
 def bm25(t, k=10):
-    return R.top_k(R.bm25_scores(post(t), queries(t), R.corpus_stats(t.documents, "text")), k)
+    return S.search(index(t), queries(t), S.bm25(), k)
 
 
 @query("tfidf_search", f"WITH {POST}, {TFIDF} SELECT query, doc, score, rank::INT AS rank FROM tr WHERE rank <= 10", digits="score:6")
