@@ -7,11 +7,11 @@ one that a hash of (bin, attempt) names, the same way for every text.
 Equal sets are one class from the start. Classes that share a band meet in a bucket. A bucket is linked as a
 star: every member is compared with one centre, the member that shares most bands with others, so pairs are as many
 as members, and a large group of near copies mostly falls together at once. Buckets whose members are then in
-several components are gone through again. Shingles that only one of their classes has bound what a class can share
-with any other, and those with too many cannot be linked and leave. Two of the rest can share only shingles of
-the centre, and then no more than the one that shares less with it, or share one that the centre lacks. Few pairs pass
-either test, and all that do are compared. So any two members of a bucket were compared, are connected, or
-cannot be linked: no link found by the bands is lost, without meeting all pairs of a group.
+several components are gone through again, by what each member and the centre differ in: two members of which one
+is not linked with the centre can be linked only if they share many of these differences, and then they share one
+of their rarest. Members are joined on those, pairs that cannot reach the bound by where they meet are left out,
+and the others are counted exactly. So any two members of a bucket were compared, are connected, or cannot be
+linked: no link found by the bands is lost, without meeting all pairs of a group.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import common
@@ -154,27 +154,50 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.col("s") * 100 >= (F.col("t") - F.col("s")) * percent).select(F.col("u").alias("source"), F.col("v").alias("target"))
 
 
-def _others(apart: DataFrame) -> DataFrame:
-    return apart.withColumnsRenamed({"cls": "other", "component": "other_component", "n": "other_n", "most": "other_most", "shared": "other_shared"}).drop("outside")
+def _differences(near_head: DataFrame, sets: DataFrame) -> DataFrame:
+    """Shingles that only one of a member and its centre has, and the sizes of all three sets."""
+    centres = sets.select(F.col("cls").alias("head"), F.col("members").alias("centre"))
+    both = near_head.join(centres, "head").join(sets, "cls")
+    diff = F.concat(F.array_except("members", "centre"), F.array_except("centre", "members"))
+    return both.select("head", "cls", "n", "component", "outside", F.size("centre").alias("n_head"), diff.alias("diff")).withColumn("d", F.size("diff"))
 
 
-def _may_share(a: str, b: str, percent: int) -> Column:
-    """Whether sharing the smaller of two numbers of shingles would link ``cls`` and ``other``."""
-    return F.least(a, b) * (100 + percent) >= (F.col("n") + F.col("other_n")) * percent
+def _open_links(apart: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links between members of one centre that are in different components, at least one outside the centre's.
 
-
-def _same_extra(apart: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one centre that share a shingle which the centre lacks; one of them is outside its component."""
-    each = apart.select("head", "cls", "n", "most", "component", "outside", F.explode("extra").alias("m"))
-    met = each.where("outside").join(_others(each), ["head", "m"]).where("component <> other_component")
-    return met.where(_may_share("most", "other_most", percent)).select("cls", F.col("other").alias("head"))
-
-
-def _same_centre(apart: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one centre that would be linked if they shared all that the one with less shares with the centre."""
-    part = apart.drop("extra")
-    met = part.where("outside").join(_others(part), "head").where("component <> other_component")
-    return met.where(_may_share("shared", "other_shared", percent)).select("cls", F.col("other").alias("head"))
+    Two members differ in d_u + d_v - 2D shingles, D being those in both differences, and are linked if that is at
+    most r (n_u + n_v), r = (100 - percent) / (100 + percent). A member that is not linked with the centre has
+    d > r (n + n_head), so D is at least (d - r (n + n_head)) / (1 + r) for any partner of it, and at least
+    d (1 - r) / 2 from the side of any partner. Differences are ordered by how many members have them, rare first:
+    two that share D meet in the first d - D + 1 of both, which mostly nobody else has. Where they first meet
+    bounds D once more; what is left is counted exactly. Returns candidate pairs and links.
+    """
+    r = (100 - percent) / (100 + percent)
+    each = apart.select("head", "cls", "component", "outside", "n", "n_head", "d", F.explode("diff").alias("m"))
+    held = each.groupBy("head", "m").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("outside").alias("some"))
+    held = common.stored(held.select("head", "m", "c", ((F.col("lo") != F.col("hi")) & F.col("some")).alias("open")), "near-held")
+    place = F.row_number().over(Window.partitionBy("head", "cls").orderBy("c", "m"))
+    ahead = F.when(F.col("outside"), (F.col("d") - r * (F.col("n") + F.col("n_head"))) / (1 + r)).otherwise(F.col("d") * (1 - r) / 2)
+    first = F.col("d") - F.greatest(F.ceil(ahead - 1e-9), F.lit(1)) + 1
+    prefix = each.join(held, ["head", "m"]).withColumn("at", place).where((F.col("at") <= first) & F.col("open"))
+    prefix = common.stored(prefix.select("head", "m", "cls", "component", "outside", "n", "d", "at"), "near-prefixes")
+    u, v = (prefix.select("head", "m", *(F.col(c).alias(f"{c}_{x}") for c in ("cls", "component", "outside", "n", "d", "at"))) for x in "uv")
+    most = r * (F.col("n_u") + F.col("n_v"))
+    shared = 1 + F.least(F.col("d_u") - F.col("at_u"), F.col("d_v") - F.col("at_v"))
+    can = (F.col("component_u") != F.col("component_v")) & (F.col("d_u") + F.col("d_v") - 2 * shared <= most + 1e-9)
+    once = ~F.col("outside_v") | (F.col("cls_u") < F.col("cls_v"))
+    met = u.where("outside_u").join(v, ["head", "m"]).where(can & once)
+    met = common.stored(met.select("head", F.col("cls_u").alias("u"), F.col("cls_v").alias("v")).distinct(), "near-rest")
+    sides = [apart.select("head", F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("diff").alias(f"diff_{x}")) for x in "uv"]
+    both = met.join(sides[0], ["head", "u"]).join(sides[1], ["head", "v"])
+    common_ = F.size(F.array_intersect("diff_u", "diff_v"))
+    parted = F.size("diff_u") + F.size("diff_v") - 2 * common_
+    both = both.select("u", "v", (F.col("n_u") + F.col("n_v")).alias("t"), parted.alias("parted"))
+    linked = both.where((F.col("t") - F.col("parted")) * 100 >= (F.col("t") + F.col("parted")) * percent)
+    # a member that a signature kept from its centre, if there is any
+    missed = apart.where(F.col("outside") & ((F.col("n") + F.col("n_head") - F.col("d")) * 100 >= (F.col("n") + F.col("n_head") + F.col("d")) * percent))
+    links = linked.select(F.col("u").alias("source"), F.col("v").alias("target")).unionByName(missed.select(F.col("cls").alias("source"), F.col("head").alias("target")))
+    return met, links
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *, width: int = 5, percent: int = 80) -> DataFrame:
@@ -213,21 +236,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     wanted = left.select("cls").distinct().join(star_sets.select("cls"), "cls", "left_anti")
     more_sets = common.stored(_sets(rows, wanted.join(classes.select("cls", "__row"), "cls"), width), "near-more-sets")
     sets = star_sets.unionByName(more_sets)
-    held = left.select("cls").distinct().join(sets, "cls").select("cls", F.explode("members").alias("m"))
-    alone = held.groupBy("m").agg(F.count(F.lit(1)).alias("c"), F.min("cls").alias("cls")).where("c = 1").groupBy("cls").agg(F.count(F.lit(1)).alias("own"))
-    shares = facts.select("cls", "n").join(alone, "cls", "left").select("cls", (F.col("n") - F.coalesce("own", F.lit(0))).alias("most"))
-    alive = left.join(shares.join(facts.select("cls", "n"), "cls").where(F.col("most") * 100 >= F.col("n") * percent), "cls")
-    alive = common.stored(alive, "near-alive")
     # differences from the centre, of members in question
-    near_head = alive.join(heads, "band").where("cls <> head").select("head", "cls", "n", "most", "component", (F.col("component") != F.col("main")).alias("outside")).distinct()
-    both = near_head.join(sets.select(F.col("cls").alias("head"), F.col("members").alias("centre")), "head").join(sets, "cls")
-    apart = both.select("head", "cls", "n", "most", "component", "outside", F.size(F.array_intersect("members", "centre")).alias("shared"), F.array_except("members", "centre").alias("extra"))
-    apart = common.stored(apart, "near-differences")
-    met = _same_extra(apart, percent).unionByName(_same_centre(apart, percent))
-    rest = common.stored(_likely(met, facts, percent).join(star, ["u", "v"], "left_anti"), "near-rest")
-    more_links = common.stored(_confirmed(rest, sets, percent), "near-more-links")
+    near_head = left.join(heads, "band").where("cls <> head").join(facts.select("cls", "n"), "cls").select("head", "cls", "n", "component", (F.col("component") != F.col("main")).alias("outside")).distinct()
+    apart = common.stored(_differences(near_head, sets), "near-differences")
+    rest, more_links = _open_links(apart, percent)
+    more_links = common.stored(more_links, "near-more-links")
     final = connected_components(classes.select("cls"), "cls", links.unionByName(more_links))
-    common.discard(members, weighed, star, star_sets, links, comps, placed, left, more_sets, alive, apart, rest, more_links)
+    common.discard(members, weighed, star, star_sets, links, comps, placed, left, more_sets, apart, rest, more_links)
     whole = final.join(classes.select("cls", "low_key"), "cls")
     named = whole.join(whole.groupBy("component").agg(F.min("low_key").alias("component_id")), "component").select("cls", "component_id", F.col("component").alias("group"))
     out = sig.select(F.col("__key").alias(key), F.col("__row").alias("row"), F.col("n").alias("n_shingles"), "cls").join(named, "cls", "left")

@@ -431,3 +431,31 @@ def test_restoring_long_words():
     assert toxicity.restore("b4d", letters) == "bad"
     assert toxicity.restore("", letters) == ""
     assert len(toxicity.restore("a1" * 20_000, letters)) == 40_000
+
+
+@pytest.mark.parametrize("width", [4, 5])
+def test_near_pairs_follow_the_members(spark, monkeypatch, width):
+    """Twice the edited copies of one text give about twice the compared pairs, in both stages together."""
+    counts = {}
+    stored = common.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(common, "stored", counted)
+    rng = random.Random(31)
+    base = prose(rng, 40).split()
+    pairs = []
+    for size in (1500, 3000):
+        rows = []
+        for i in range(size):
+            w = list(base)
+            for _ in range(2):
+                w[rng.randrange(40)] = prose(rng, 1)
+            rows.append((i, " ".join(w), "en"))
+        assert near.near_duplicates(frame(spark, rows), width=width).count() == size
+        pairs.append(counts["near-star"] + counts["near-rest"])
+    assert pairs[1] <= 2.2 * pairs[0], pairs
+    assert pairs[1] <= 10 * 3000
