@@ -319,25 +319,49 @@ def chunk_plugin(df: DataFrame, text: str, keys: Sequence[str], strategy: Callab
 # ---- link graph --------------------------------------------------------------
 
 
-def link_edges(pages: DataFrame, key: str, links: Column) -> DataFrame:
-    """(source, link, target, how): links resolved by full key, then by last path part; unresolved ones have no target."""
-    out = pages.select(F.col(key).alias("source"), F.explode(F.array_distinct(links)).alias("link")).where("link <> ''")
+def page_names(pages: DataFrame, key: str, name: str) -> DataFrame:
+    """(name, pages, head): how many pages have a name and the smallest of them; pages without a name have no row."""
+    return pages.where(F.col(name) != "").groupBy(F.col(name).alias("name")).agg(F.countDistinct(key).alias("pages"), F.min(key).alias("head"))
+
+
+def page_links(pages: DataFrame, key: str, name: str, links: Column) -> DataFrame:
+    """(source, link, target, how, pages): distinct links of each page, resolved to a name.
+
+    A link names all pages that have its target as their name, ``pages`` of them; it is resolved by the whole name,
+    then by the last path part, and has no target otherwise. The pages behind a name are not multiplied out: a name
+    that many pages have and many pages link to would give a row for every two of them.
+    """
+    out = pages.select(F.col(key).alias("source"), F.explode(F.array_distinct(links)).alias("link")).where("link <> ''").distinct()
     last = lambda c: F.regexp_extract(c, r"([^/]+)/*$", 1)
-    keys = pages.select(F.col(key).alias("full")).distinct()
-    stems = keys.groupBy(last(F.col("full")).alias("stem")).agg(F.min("full").alias("by_stem"))
-    j = out.join(keys, F.col("link") == F.col("full"), "left").join(stems, last(F.col("link")) == F.col("stem"), "left")
+    names = page_names(pages, key, name)
+    stems = names.groupBy(last(F.col("name")).alias("stem")).agg(F.min("name").alias("by_stem"))
+    j = out.join(names.select(F.col("name").alias("full")), F.col("link") == F.col("full"), "left").join(stems, last(F.col("link")) == F.col("stem"), "left")
     how = F.when(F.col("full").isNotNull(), "key").when(F.col("by_stem").isNotNull(), "stem").otherwise("broken")
-    return j.select("source", "link", F.coalesce("full", "by_stem").alias("target"), how.alias("how"))
+    found = j.select("source", "link", F.coalesce("full", "by_stem").alias("target"), how.alias("how"))
+    return found.join(names.select(F.col("name").alias("target"), "pages"), "target", "left").select("source", "link", "target", "how", F.coalesce("pages", F.lit(0)).alias("pages"))
+
+
+def graph_degrees(pages: DataFrame, key: str, name: str, links: DataFrame) -> DataFrame:
+    """Pages that a page links to and pages that link to it, itself included; orphans (nothing links here) and sinks (links nowhere)."""
+    e = links.where("target IS NOT NULL").select("source", "target", "pages").distinct()
+    out = e.groupBy(F.col("source").alias("k")).agg(F.sum("pages").alias("o"))
+    inn = e.groupBy(F.col("target").alias("n")).agg(F.count(F.lit(1)).alias("i"))
+    nodes = pages.select(F.col(key).alias("key"), F.col(name).alias("__name")).distinct()
+    j = nodes.join(out, F.col("key") == F.col("k"), "left").join(inn, F.col("__name") == F.col("n"), "left")
+    j = j.groupBy("key").agg(F.max("o").alias("o"), F.sum("i").alias("i"))
+    o, i = F.coalesce("o", F.lit(0)), F.coalesce("i", F.lit(0))
+    return j.select("key", o.alias("outbound"), i.alias("inbound"), (i == 0).alias("orphan"), (o == 0).alias("sink"))
 
 
-def graph_degrees(nodes: DataFrame, key: str, edges: DataFrame) -> DataFrame:
-    """Out and in degree over distinct edges, orphans (nothing links here) and sinks (links nowhere)."""
-    e = edges.where("target IS NOT NULL").select("source", "target").distinct()
-    out = e.groupBy(F.col("source").alias("k")).agg(F.count(F.lit(1)).alias("o"))
-    inn = e.groupBy(F.col("target").alias("k2")).agg(F.count(F.lit(1)).alias("i"))
-    j = nodes.select(key).join(out, F.col(key) == F.col("k"), "left").join(inn, F.col(key) == F.col("k2"), "left")
-    o, i = F.coalesce("o", F.lit(0)), F.coalesce("i", F.lit(0))
-    return j.select(key, o.alias("outbound"), i.alias("inbound"), (i == 0).alias("orphan"), (o == 0).alias("sink"))
+def page_edges(pages: DataFrame, key: str, name: str, links: DataFrame) -> DataFrame:
+    """(source, target): edges that connect what the links connect, as many as links and pages.
+
+    The smallest page of a name that is linked to stands for the name: sources and the other pages meet there.
+    """
+    names = page_names(pages, key, name)
+    linked = links.where("target IS NOT NULL").select("source", F.col("target").alias("name")).distinct().join(names.select("name", "head"), "name")
+    same = pages.select(F.col(key).alias("source"), F.col(name).alias("name")).join(linked.select("name", "head").distinct(), "name")
+    return linked.select("source", F.col("head").alias("target")).unionByName(same.select("source", F.col("head").alias("target"))).where("source <> target").distinct()
 
 
 def connected_components(nodes: DataFrame, key: str, edges: DataFrame, max_rounds: int = 100) -> DataFrame:

@@ -294,52 +294,52 @@ def chunk_compare(t):
 
 
 def wiki(t):
-    """Pages named by the first word of their title, whatever its letters, with the paths of all their links."""
-    key = F.lower(F.regexp_extract("html", r"<title>\s*([^\s<]+)", 1))
+    """All pages, with the first word of their title as a name that several may share, and the paths of all their links."""
+    name = F.lower(F.regexp_extract("html", r"<title>\s*([^\s<]+)", 1))
     links = F.transform(F.regexp_extract_all("html", F.lit(r'href="/?([^"]*)"'), F.lit(1)), lambda x: F.lower(x))
-    return t.pages.select(key.alias("key"), links.alias("links"), "page_id").where("key <> ''")
+    return t.pages.select("page_id", name.alias("name"), links.alias("links"))
 
 
 WIKI = """
-    wk AS (SELECT lower(regexp_extract(html, '<title>\\s*([^\\s<]+)', 1)) AS key, list_transform(regexp_extract_all(html, 'href="/?([^"]*)"', 1), lambda x: lower(x)) AS links, page_id FROM pages WHERE regexp_extract(html, '<title>\\s*([^\\s<]+)', 1) <> ''),
-    nd AS (SELECT DISTINCT key FROM wk), ed AS (SELECT DISTINCT key AS source, unnest(links) AS link FROM wk), er AS (SELECT source, link, nd.key AS target, CASE WHEN nd.key IS NULL THEN 'broken' ELSE 'key' END AS how FROM ed LEFT JOIN nd ON nd.key = link)
+    wk AS (SELECT page_id, lower(regexp_extract(html, '<title>\\s*([^\\s<]+)', 1)) AS name, list_transform(regexp_extract_all(html, 'href="/?([^"]*)"', 1), lambda x: lower(x)) AS links FROM pages),
+    ed AS (SELECT DISTINCT page_id AS source, unnest(links) AS link FROM wk), er AS (SELECT DISTINCT source, link, wk.page_id AS target, wk.name FROM (SELECT * FROM ed WHERE link <> '') LEFT JOIN wk ON wk.name = link AND wk.name <> '')
 """
 
 
-def edges(t):
-    return R.link_edges(wiki(t), "key", F.col("links")).distinct()
+def links(t):
+    return R.page_links(wiki(t), "page_id", "name", F.col("links"))
 
 
-@query("link_graph", f"WITH {WIKI} SELECT * FROM er")
+@query("link_graph", f"WITH {WIKI} SELECT source, link, name AS target, CASE WHEN name IS NULL THEN 'broken' ELSE 'key' END AS how, count(DISTINCT target) AS pages FROM er GROUP BY ALL")
 def link_graph(t):
-    return edges(t)
+    return links(t)
 
 
-DEG = "dg AS (SELECT key, (SELECT count(DISTINCT target) FROM er WHERE source = key AND target IS NOT NULL) AS outbound, (SELECT count(DISTINCT source) FROM er WHERE target = key) AS inbound FROM nd)"
+DEG = "dg AS (SELECT page_id AS key, (SELECT count(DISTINCT target) FROM er WHERE source = page_id) AS outbound, (SELECT count(DISTINCT source) FROM er WHERE target = page_id) AS inbound FROM wk)"
 
 
 @query("graph_degrees", f"WITH {WIKI}, {DEG} SELECT *, inbound = 0 AS orphan, outbound = 0 AS sink FROM dg")
 def graph_degrees(t):
-    return R.graph_degrees(wiki(t).select("key").distinct(), "key", edges(t))
+    return R.graph_degrees(wiki(t), "page_id", "name", links(t))
 
 
 @query(
     "connected_components",
     f"""WITH RECURSIVE {WIKI}, bo AS (SELECT source AS a, target AS b FROM er WHERE target IS NOT NULL UNION SELECT target, source FROM er WHERE target IS NOT NULL),
-    reach(k, x) AS (SELECT key, key FROM nd UNION SELECT reach.k, bo.b FROM reach JOIN bo ON bo.a = reach.x) SELECT k AS key, min(x) AS component FROM reach GROUP BY 1""",
+    reach(k, x) AS (SELECT page_id, page_id FROM wk UNION SELECT reach.k, bo.b FROM reach JOIN bo ON bo.a = reach.x) SELECT k AS key, min(x) AS component FROM reach GROUP BY 1""",
 )
 def connected_components(t):
-    e = edges(t).where("target IS NOT NULL").select("source", "target")
-    return R.connected_components(wiki(t).select("key").distinct(), "key", e)
+    edges = R.page_edges(wiki(t), "page_id", "name", links(t))
+    return R.connected_components(wiki(t).select(F.col("page_id").alias("key")), "key", edges)
 
 
 @query(
     "corpus_lint",
-    f"""WITH {WIKI}, {DEG}, pg AS (SELECT key, min(page_id) AS page_id, 'topic ' || (min(page_id) % 40) AS title, DATE '2024-01-01' + (min(page_id) % 300)::INT AS updated, CASE WHEN min(page_id) % 9 <> 0 THEN 'summary' END AS summary FROM wk GROUP BY 1)
-    SELECT 'orphan' AS finding, key AS item FROM dg WHERE inbound = 0 UNION ALL SELECT 'stale', key FROM pg WHERE updated < DATE '2024-12-01' - 90 UNION ALL SELECT 'missing_field', key FROM pg WHERE summary IS NULL UNION ALL SELECT 'repeated_title', title FROM pg GROUP BY 2 HAVING count(*) > 1""",
+    f"""WITH {WIKI}, {DEG}, pg AS (SELECT page_id AS key, 'topic ' || (page_id % 40) AS title, DATE '2024-01-01' + (page_id % 300)::INT AS updated, CASE WHEN page_id % 9 <> 0 THEN 'summary' END AS summary FROM pages)
+    SELECT 'orphan' AS finding, key::VARCHAR AS item FROM dg WHERE inbound = 0 UNION ALL SELECT 'stale', key::VARCHAR FROM pg WHERE updated < DATE '2024-12-01' - 90 UNION ALL SELECT 'missing_field', key::VARCHAR FROM pg WHERE summary IS NULL UNION ALL SELECT 'repeated_title', title FROM pg GROUP BY 2 HAVING count(*) > 1""",
 )
 def corpus_lint(t):
-    first = wiki(t).groupBy("key").agg(F.min("page_id").alias("p"))
-    pg = first.select("key", F.concat(F.lit("topic "), F.col("p") % 40).alias("title"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("p") % 300).cast("int")).alias("updated"), F.when(F.col("p") % 9 != 0, "summary").alias("summary"))
-    deg = R.graph_degrees(first.select("key"), "key", edges(t))
+    p = F.col("page_id")
+    pg = t.pages.select(p.alias("key"), F.concat(F.lit("topic "), p % 40).alias("title"), F.date_add(F.lit("2024-01-01").cast("date"), (p % 300).cast("int")).alias("updated"), F.when(p % 9 != 0, "summary").alias("summary"))
+    deg = R.graph_degrees(wiki(t), "page_id", "name", links(t))
     return R.corpus_lint(pg, "key", deg, "title", "updated", ["title", "summary"], "2024-12-01")
