@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -28,38 +29,141 @@ BLOCKS = frozenset(
     + ("head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre", "section", "select", "summary", "table", "tbody", "td", "textarea", "tfoot", "th", "thead", "title", "tr", "ul")
 )
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
-RAW = frozenset(("script", "style", "template", "noscript", "iframe", "noembed", "noframes", "xmp", "svg", "math", "object"))
+RAW = frozenset(("script", "style", "template", "iframe", "noembed", "noframes"))
+#: Of these, what has no end tag lasts to the end of the page; the others hold no text of their own only if they end.
+ENDLESS = frozenset(("script", "style"))
 #: An opening tag closes these, up to the stop elements.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset(("ul", "ol", "table", "select", "dl", "body", "html", "menu"))
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
-_NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.IGNORECASE)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_ATTRIBUTE = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)?(\s*=\s*)?")
+_VALUE = re.compile(r"[^\s>]*")
+_NONE = re.compile(r"display\s*:\s*none", re.IGNORECASE)
+
+
+class Node:
+    """An element on the way to a block: its parent, and which of its names are new on the way."""
+
+    __slots__ = ("fresh", "parent", "size", "tag", "vector")
+
+    def __init__(self, parent: Node | None, tag: str, fresh: tuple[str, ...], names: int):
+        self.parent, self.tag, self.fresh, self.vector = parent, tag, fresh, None
+        self.size = names + (parent.size if parent else 0)
 
 
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    path: Node
     text: str
     linked: int
 
 
+class Source:
+    """The signs of a page, each read once; what was looked for in vain is not looked for again."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.gone: set[str] = set()
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.gone:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.gone.add(what)
+        return found
+
+    def attributes(self, at: int) -> tuple[dict[str, str], int]:
+        """Attributes from ``at`` on, and where the tag ends: behind its ``>``, or at the end of the page.
+
+        A quote opens a string only right behind the equals sign, and only if it is closed.
+        """
+        page, out = self.page, {}
+        while True:
+            m = _ATTRIBUTE.match(page, at)
+            at = m.end()
+            value = ""
+            if m[2] and m[1]:
+                quote = page[at : at + 1]
+                close = self.find(quote, at + 1) if quote in ("'", '"') and quote else -1
+                if close >= 0:
+                    value, at = page[at + 1 : close], close + 1
+                else:
+                    v = _VALUE.match(page, at)
+                    value, at = v[0], v.end()
+            if m[1]:
+                out.setdefault(m[1].lower(), value)
+            elif at >= len(page) or page[at] == ">":
+                return out, min(at + 1, len(page))
+            elif m.end() == m.start():
+                at += 1
+
+    def behind(self, tag: str, at: int) -> int:
+        """Behind the end tag of a raw element, or -1."""
+        if tag in self.gone:
+            return -1
+        m = re.compile(f"</{tag}(?=[\\s/>])", re.IGNORECASE).search(self.page, at)
+        end = self.page.find(">", m.end()) if m else -1
+        if end < 0:
+            self.gone.add(tag)
+        return end + 1 if end >= 0 else -1
+
+
+class Stack:
+    """Open elements, with the places of each name, so no end tag and no new block looks through all of them."""
+
+    def __init__(self):
+        self.nodes = [Node(None, "", (), 0)]
+        self.tokens: list[tuple[str, ...]] = [()]
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.scopes: list[int] = []
+        self.seen: Counter[str] = Counter()
+
+    def push(self, tag: str, names: tuple[str, ...]) -> None:
+        tokens = (tag, *names)
+        fresh = tuple(t for t in dict.fromkeys(tokens) if not self.seen[t])
+        self.seen.update(tokens)
+        place = len(self.nodes)
+        self.nodes.append(Node(self.nodes[-1], tag, fresh, len(tokens)))
+        self.tokens.append(tokens)
+        self.places.setdefault(tag, []).append(place)
+        if tag in BLOCKS and tag != "p":
+            self.blocks.append(place)
+        if tag in SCOPE:
+            self.scopes.append(place)
+
+    def last(self, tags: Iterable[str]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def pop(self) -> str:
+        tag, place = self.nodes.pop().tag, len(self.nodes)
+        self.seen.subtract(self.tokens.pop())
+        self.places[tag].pop()
+        for held in (self.blocks, self.scopes):
+            if held and held[-1] == place:
+                held.pop()
+        return tag
+
+
 def blocks(page: str | None) -> list[Block]:
-    """Leaf blocks in page order; scripts, styles, comments and other elements that are not text are left out."""
+    """Leaf blocks in page order; scripts, styles, comments and other elements that are not text are left out.
+
+    Time is in proportion to the page, however deep or broken it is: every sign is read once, and an element is
+    opened and closed once. A tag that never ends is dropped to the end of the page, as browsers do; a ``<`` that
+    begins no tag is text.
+    """
     page = page or ""
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    source, stack = Source(page), Stack()
     out: list[Block] = []
     parts: list[str] = []
     links = linked = 0
 
-    def path() -> tuple[str, ...]:
-        return tuple(t for tag, names in stack for t in (tag, *names))
-
     def flush() -> None:
         nonlocal linked
         text = " ".join("".join(parts).split()) if parts else ""
         if text:
-            out.append(Block(path(), text, linked))
+            out.append(Block(stack.nodes[-1], text, linked))
         parts.clear()
         linked = 0
 
@@ -73,53 +177,59 @@ def blocks(page: str | None) -> list[Block]:
 
     def close(to: int) -> None:
         nonlocal links
-        if any(t in BLOCKS for t, _ in stack[to:]):
+        if stack.last(("p",)) >= to or (stack.blocks and stack.blocks[-1] >= to):
             flush()
-        links -= sum(t == "a" for t, _ in stack[to:])
-        del stack[to:]
-
-    at = 0
-    while m := _TAG.search(page, at):
-        say(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        while len(stack.nodes) > to:
+            links -= stack.pop() == "a"
+
+    at = begin = 0
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            say(page[begin:at])
+            end = source.find("-->", at + 4)
+            at = begin = end + 3 if end >= 0 else len(page)
             continue
-        tag = m[2].lower()
-        if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
+        if page[at + 1 : at + 2] in ("!", "?") and at + 1 < len(page):
+            say(page[begin:at])
+            end = source.find(">", at)
+            at = begin = end + 1 if end >= 0 else len(page)
             continue
-        if tag in RAW:
-            if not m[3].endswith("/"):
-                end = re.compile(f"</{re.escape(tag)}\\s*>", re.IGNORECASE).search(page, at)
-                at = end.end() if end else len(page)
+        ends = page.startswith("/", at + 1)
+        m = _NAME.match(page, at + 1 + ends)
+        if not m:
+            at += 1
             continue
+        say(page[begin:at])
+        tag = m[0].lower()
+        attributes, at = source.attributes(m.end())
+        begin = at
+        if ends:
+            if stack.places.get(tag):
+                close(stack.places[tag][-1])
+            continue
+        if tag in RAW:
+            end = source.behind(tag, at)
+            if end >= 0 or tag in ENDLESS:
+                at = begin = end if end >= 0 else len(page)
+                continue
         if tag == "br":
             parts.append(" ")
             continue
         if tag in BLOCKS:
             flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in CLOSES.get(tag, ()):
-                    close(i)
-                    break
-                if stack[i][0] == "p":  # a block ends an open paragraph
-                    close(i)
-                    break
-                if stack[i][0] in SCOPE or (stack[i][0] in BLOCKS and tag not in CLOSES):
-                    break
+            ended = stack.last((*CLOSES.get(tag, ()), "p"))
+            stops = stack.scopes if tag in CLOSES else stack.blocks
+            if ended > (stops[-1] if stops else 0):
+                close(ended)
         if tag in VOID:
             continue
-        names: tuple[str, ...] = ()
-        if m[3]:
-            names = tuple("." + w for g in _NAMES.findall(m[3]) for w in re.split(r"[^a-z0-9]+", "".join(g).lower()) if w)
-            if _HIDDEN.search(m[3]):
-                names += (".hidden",)
-        stack.append((tag, names))
+        words = " ".join(attributes.get(k, "") for k in ("class", "id", "role")).lower()
+        names = tuple("." + w for w in re.split(r"[^a-z0-9]+", words) if w)
+        if "hidden" in attributes or _NONE.search(attributes.get("style", "")):
+            names += (".hidden",)
+        stack.push(tag, names)
         links += tag == "a"
-    say(page[at:])
+    say(page[begin:])
     flush()
     return out
 
@@ -129,18 +239,33 @@ INPUT = PATH + WORD + NUMBERS
 _VECTORS: dict[str, np.ndarray] = {}
 
 
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    """Sum of a fixed random vector for each element and name on the path; the last element counts again."""
-    v = np.zeros(PATH, np.float32)
-    last = next((t for t in reversed(path) if t[0] != "."), "")
-    for t in (*dict.fromkeys(path), ">" + last):
-        got = _VECTORS.get(t)
-        if got is None:
-            if len(_VECTORS) > 50_000:
-                _VECTORS.clear()
-            got = _VECTORS[t] = np.random.default_rng(xxhash.xxh64_intdigest(t)).standard_normal(PATH).astype(np.float32) / 4
-        v += got
-    return v
+def _vector(name: str) -> np.ndarray:
+    """A fixed random vector for each element and name."""
+    got = _VECTORS.get(name)
+    if got is None:
+        if len(_VECTORS) > 50_000:
+            _VECTORS.clear()
+        got = _VECTORS[name] = np.random.default_rng(xxhash.xxh64_intdigest(name)).standard_normal(PATH).astype(np.float32) / 4
+    return got
+
+
+def _path_vector(node: Node) -> np.ndarray:
+    """Sum of the vectors of all names on the way, each once; the last element counts again.
+
+    A node adds its new names to the sum of its parent, so a path costs no more for being deep.
+    """
+    way = []
+    at: Node | None = node
+    while at is not None and at.vector is None:
+        way.append(at)
+        at = at.parent
+    total = np.zeros(PATH, np.float32) if at is None else at.vector
+    for step in reversed(way):
+        total = total.copy()
+        for name in step.fresh:
+            total += _vector(name)
+        step.vector = total
+    return total + _vector(">" + node.tag)
 
 
 def features(found: list[list[Block]]) -> np.ndarray:
@@ -149,11 +274,8 @@ def features(found: list[list[Block]]) -> np.ndarray:
     x = np.zeros((len(flat), INPUT), np.float32)
     if not flat:
         return x
-    paths: dict[tuple[str, ...], np.ndarray] = {}
     for i, b in enumerate(flat):
-        if b.path not in paths:
-            paths[b.path] = _path_vector(b.path)
-        x[i, :PATH] = paths[b.path]
+        x[i, :PATH] = _path_vector(b.path)
     w = common.words(pa.array([b.text for b in flat]), lower=True)
     h = common.hashes(w.distinct)
     cell = (h % np.uint64(WORD)).astype(np.int64)
@@ -168,7 +290,7 @@ def features(found: list[list[Block]]) -> np.ndarray:
     number[:, 2] = np.log1p(n) / 4
     number[:, 3] = [sum(b.text.count(c) for c in ".,;:?!") / len(b.text) * 10 for b in flat]
     number[:, 4] = [b.text[-1] in ".?!…\"" for b in flat]
-    number[:, 5] = [len(b.path) / 10 for b in flat]
+    number[:, 5] = [b.path.size / 10 for b in flat]
     pos = np.concatenate([np.arange(len(page)) / max(len(page) - 1, 1) for page in found if page])
     number[:, 6] = pos
     number[:, 7] = size > 200

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_edges import frame, odd, prose
 
-from millrace.llm import manifest, rtree, suffixes
+from millrace.llm import manifest, pages, rtree, suffixes
 
 VECTORS = "vec_id long, embedding array<double>, label int, x string, id string, score string"
 
@@ -265,3 +265,78 @@ def fold_path(row, place, levels):
         row = [h(*row[i : i + 2]) for i in range(0, len(row), 2)]
         place >>= 1
     return path
+
+
+def said(page):
+    return [b.text for b in pages.blocks(page)]
+
+
+def test_no_text_of_a_page_is_lost():
+    assert said("<p data=it's>Hello</p><p>I don't know</p><p>end</p>") == ["Hello", "I don't know", "end"]
+    assert said("<p>a <math><mi>x</mi></math> b</p>") == ["a x b"]
+    assert said("<p>one<object><p>two</p><p>three</p>") == ["one", "two", "three"]
+    assert said("<p>one<template><p>two") == ["one", "two"]
+    assert said("<noscript>one</noscript> <svg><text>two</text></svg><template>no</template><iframe>no</iframe>") == ["one two"]
+    assert said("<p title=\"a > b\" class='c'>one</p><p title=\"open>two</p><p>three") == ["one", "two", "three"]
+    assert said("5 < 6 and <3 </ 7 <") == ["5 < 6 and <3 </ 7 <"]
+    assert said("<!-- <p>no</p> --><!doctype html><p>one<script>no</p></script><style>no") == ["one"]
+    assert said("a<br>b<a href=x/>c</a>") == ["a bc"]
+    assert said("<ul><li>one<li>two<ul><li>in</ul><li>three</ul><p>x<div>y") == ["one", "two", "in", "three", "x", "y"]
+
+
+def test_blocks_are_those_of_a_plain_parser():
+    """Texts of block elements of whole pages, next to the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.out, self.parts, self.skip = [], [], 0
+
+        def end(self):
+            text = " ".join("".join(self.parts).split())
+            self.out += [text] if text else []
+            self.parts = []
+
+        def handle_starttag(self, tag, attrs):
+            self.skip += tag in ("script", "style")
+            if tag in pages.BLOCKS:
+                self.end()
+            elif tag == "br":
+                self.parts.append(" ")
+
+        def handle_endtag(self, tag):
+            self.skip -= tag in ("script", "style")
+            if tag in pages.BLOCKS:
+                self.end()
+
+        def handle_data(self, data):
+            if not self.skip:
+                self.parts.append(data)
+
+    import pyarrow.parquet as pq
+
+    for page in pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist():
+        plain = Plain()
+        plain.feed(page or "")
+        plain.close()
+        plain.end()
+        assert said(page) == plain.out
+
+
+@pytest.mark.parametrize("shape", ["<a ", "<div>x", "<p x='", "</b><i>x", "<li>x<b>", "<template>", "<!-- ", "<td><div>x</span>", "<", "<b class=a"])
+def test_time_follows_the_page(shape):
+    from time import process_time
+
+    def spent(size):
+        page = shape * (size // len(shape))
+        return min(_timed(process_time, page) for _ in range(3))
+
+    spent(20_000)
+    assert spent(200_000) <= 15 * max(spent(20_000), 0.004)
+
+
+def _timed(clock, page):
+    began = clock()
+    pages.features([pages.blocks(page)])
+    return clock() - began
