@@ -85,7 +85,8 @@ def test_signs_at_the_edges_of_words_and_doubled_letters(spark):
 def test_words_set_apart_by_spaces(spark):
     model = toxic_model(spark)
     bad = ["you are a s t u p i d", "a i d i o t", "you c l o w n l o s e r", "stu pid", "you idi ot a", "m o r r o n", "s 7 u p 1 d a"]
-    good = ["you are a", "a b c d", "5 4 3 2 1", "you a are a you", "| a | 5 |"]
+    bad += ["stupi d", "you stup1 d", "you lose r a", "clow n", "id io t"]
+    good = ["you are a", "a b c d", "5 4 3 2 1", "you a are a you", "| a | 5 |", "clow you n"]
     assert predicted(spark, model, bad + good) == bad
     assert toxicity.joined_words("a s t u p i d l o s e r you".split(), model.letters) == ("loser", "stupid")
 
@@ -99,3 +100,33 @@ def test_one_of_near_copies_whatever_their_ids(spark):
     rows += [(None, None, "en"), (20, "", "en")]
     out = corpus_pipeline.keep_one_of_near_copies(spark, frame(spark, rows), "").collect()
     assert sorted((r["doc_id"] or 0) for r in out) == [0, 0, 5, 7, 8, 20]
+
+
+def test_restoring_is_the_best_of_all_readings():
+    """Viterbi search against enumerating every reading of short words."""
+    import itertools
+
+    rng = random.Random(25)
+    groups = {}
+    for w in ["idiot", "clown", "loser", "stupid", "moron", "abba", "cool", *prose(rng, 300).split()]:
+        t = toxicity.EDGE * 3 + w + toxicity.EDGE
+        for i in range(3, len(t)):
+            groups[t[i - 3 : i + 1]] = groups.get(t[i - 3 : i + 1], 0) + 1
+    letters = toxicity.Letters.of(groups)
+
+    def cost(word, reading):
+        context, c = toxicity.EDGE * 3, 0.0
+        for options, option in zip(toxicity._options(word), reading, strict=True):
+            for letter in option:
+                c += letters.step(context, letter)
+                context = context[1:] + letter
+            c -= 1.0 if len(options[0]) == 2 and len(option) == 1 else 0.0
+            c -= 1.5 if option != options[0] else 0.0 if option[:1].isalpha() else 1.0
+        return c + letters.step(context, toxicity.EDGE)
+
+    for word in ["id1ot", "c|own", "l0$er", "abba", "m0r0n", "5tup!d", "c00l", "aabb", "!", ""]:
+        every = {}
+        for reading in itertools.product(*toxicity._options(word)):
+            plain = "".join(reading)
+            every[plain] = max(every.get(plain, -1e9), cost(word, reading))
+        assert every[toxicity.restore(word, letters)] >= max(every.values()) - 1e-9
