@@ -1,10 +1,11 @@
 """Nearest neighbours by cosine: a forest of random-projection trees searched through one priority queue.
 
-Trees are grown on a bounded sample: every node projects on a random direction and splits at the median. All rows
+Trees are grown on a bounded sample: every node projects on a random direction and splits at the median. Their
+depth follows the rows: a leaf of the sample stands for a fixed number of all rows, down to two sample rows. All rows
 are then placed in a leaf of each tree. A query walks all trees at once: the queue holds nodes of all trees by the smallest
 margin on the way to them, so the leaves most likely to hold neighbours come first, whatever their tree. How many
-leaves a query opens is measured on the sample against brute force. Rows of opened leaves are then ranked by exact
-cosines. Leaves are held in chunks of bounded size, so a full leaf is many rows and not one.
+leaves a query opens is measured on a few vectors against their true neighbours among all rows. Rows of opened leaves are then
+ranked by exact cosines. Leaves are held in chunks of bounded size, so a full leaf is many rows and not one.
 
 Equal vectors are one candidate that carries its smallest keys, so copies cost nothing and fill ranks exactly.
 """
@@ -89,53 +90,100 @@ def visit(trees: list[Tree], q: np.ndarray, budget: int) -> list[tuple[int, int]
     return out
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, so that squares neither overflow nor vanish; cosines stay as they are."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _budget(trees: list[Tree], x: np.ndarray, k: int, goal: float) -> int:
-    """Fewest leaves with which sample queries find ``goal`` of their true neighbours in the sample."""
-    queries = np.arange(0, len(x), max(1, len(x) // 200))
-    sim = x[queries] @ x.T
-    sim[np.arange(len(queries)), queries] = -np.inf
-    true = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-    total = sum(t.leaves for t in trees)
-    places = [t.place(x) for t in trees]
-    found_at = np.empty(true.shape)
-    for row, (q, near) in enumerate(zip(queries, true, strict=True)):
-        order = {leaf: n for n, leaf in enumerate(visit(trees, x[q], total))}
-        found_at[row] = [min(order[i, int(p[v])] for i, p in enumerate(places)) + 1 for v in near]
-    return int(np.ceil(np.quantile(found_at, goal))) if found_at.size else 1
+def _true_leaves(classes: DataFrame, forest: list[Tree], probes: np.ndarray, own: list[int], k: int) -> dict[int, list[list[int]]]:
+    """For each probe the leaves of its ``k`` nearest other vectors among all rows, one leaf per tree."""
+    dim = probes.shape[1]
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            u = _unit(batch.column("v").flatten().to_numpy().reshape(-1, dim))
+            sim = u @ probes.T
+            name = batch.column("cls").to_numpy()
+            sim[name[:, None] == np.array(own)[None, :]] = -np.inf
+            n = min(k, len(u))
+            top = np.argpartition(-sim, n - 1, axis=0)[:n]
+            row, probe = top.T.ravel(), np.repeat(np.arange(len(probes)), n)
+            used, at = np.unique(row, return_inverse=True)
+            place = np.stack([t.place(u[used]) for t in forest], 1)[at]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(probe), pa.array(name[row]), pa.array(sim[row, probe]), pa.array(place.tolist(), pa.list_(pa.int64()))], names=["probe", "cls", "sim", "leaves"]
+            )
+
+    near = classes.select("cls", "v").mapInArrow(run, "probe long, cls long, sim double, leaves array<long>").where("sim > double('-infinity')")
+    first = near.withColumn("r", F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("sim"), "cls"))).where(F.col("r") <= k)
+    out: dict[int, list[list[int]]] = {}
+    for r in first.collect():
+        out.setdefault(r["probe"], []).append(r["leaves"])
+    return out
 
-def nearest(
-    rows: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", *, k: int = 5, trees: int = 6, leaf: int = 64, sample_rows: int = 4096, goal: float = 0.98, seed: int = 17
-) -> DataFrame:
-    """The ``k`` nearest rows of every key in ``queries``: query_id, rank, ``key``, score; ties go to smaller keys.
 
-    Vectors that are null, zero, or hold null or non-finite components take no part, nor do null keys and vectors
-    of another length than most of the sample. A key is never its own neighbour; keys are taken to be unique, and
-    repeated rows of a key count once. About ``sample_rows`` distinct vectors fit the trees; all rows are indexed.
-    """
-    value = F.transform(F.col(vector), lambda x: x.cast("double"))
-    good = F.expr("size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(v, x -> x <> 0)")
-    clean = rows.select(F.col(key).cast("long").alias("id"), value.alias("v")).where("id is not null and v is not null").where(good)
-    few = clean.distinct().withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= k + 1)
-    classes = few.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("cls", F.col("ids")[0])
-    classes = stored(classes, "ann-classes")
+def _budget(trees: list[Tree], probes: np.ndarray, true: dict[int, list[list[int]]], goal: float) -> int:
+    """Fewest leaves with which the probes meet ``goal`` of their true neighbours."""
+    total = sum(t.leaves for t in trees)
+    found_at = []
+    for i, near in true.items():
+        order = {leaf: n for n, leaf in enumerate(visit(trees, probes[i], total), 1)}
+        found_at += [min(order[tree, leaf] for tree, leaf in enumerate(leaves)) for leaves in near]
+    return int(np.ceil(np.quantile(found_at, goal))) if found_at else 1
+
+
+def grown(classes: DataFrame, *, k: int, trees: int, leaf: int, sample_rows: int, probes: int, goal: float, seed: int) -> tuple[list[Tree], int, int]:
+    """The forest, how many leaves a query opens, and the length of the vectors that take part."""
     total = classes.count()
     share = min(1.0, sample_rows / max(total, 1))
     sample = classes.where(F.pmod(F.xxhash64(F.lit(seed), "cls"), F.lit(1 << 30)) < F.lit(share * (1 << 30))).limit(2 * sample_rows)
     got = sorted((r["cls"], r["v"]) for r in sample.select("cls", "v").collect())
     sizes = [len(v) for _, v in got]
-    empty = "query_id long, rank int, " + key + " long, score double"
     if not sizes:
-        return rows.sparkSession.createDataFrame([], empty)
+        return [], 0, 0
     dim = max(set(sizes), key=lambda n: (sizes.count(n), n))
-    x = _unit(np.array([v for _, v in got if len(v) == dim]))
+    got = [(c, v) for c, v in got if len(v) == dim]
+    x = _unit(np.array([v for _, v in got]))
     rng = np.random.default_rng(seed)
-    forest = [grow(x, leaf, rng) for _ in range(trees)]
-    budget = _budget(forest, x, k, goal)
+    forest = [grow(x, max(2, round(leaf * len(x) / max(total, 1))), rng) for _ in range(trees)]
+    asked = np.arange(0, len(x), max(1, len(x) // probes))
+    true = _true_leaves(classes.where(F.size("v") == dim), forest, x[asked], [got[i][0] for i in asked], k)
+    return forest, _budget(forest, x[asked], true, goal), dim
+
+
+def vector_classes(rows: DataFrame, key: str, vector: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """Usable rows (id, v), and each different vector with its smallest keys."""
+    value = F.transform(F.col(vector), lambda x: x.cast("double"))
+    good = F.expr("size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(v, x -> x <> 0)")
+    clean = rows.select(F.col(key).cast("long").alias("id"), value.alias("v")).where("id is not null and v is not null").where(good)
+    few = clean.distinct().withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= k + 1)
+    classes = few.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    return clean, classes.select(F.xxhash64("v").alias("cls"), F.col("ids")[0].alias("low"), "ids", "v")
+
+
+def nearest(
+    rows: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", *, k: int = 5, trees: int = 6, leaf: int = 64, sample_rows: int = 4096, probes: int = 100, goal: float = 0.98, seed: int = 17
+) -> DataFrame:
+    """The ``k`` nearest rows of every key in ``queries``: query_id, rank, ``key``, score; ties go to smaller keys.
+
+    Vectors that are null, zero, or hold null or non-finite components take no part, nor do null keys and vectors
+    of another length than most of the sample. A key is never its own neighbour. Repeated rows of a key count once. A
+    key with several vectors is a neighbour by the nearest of them, and asks with the one that has the smallest
+    other key, then the smallest hash. About ``sample_rows`` different vectors fit the trees, and ``probes`` of them
+    measure how many leaves to open, against all rows; all rows are indexed.
+    """
+    clean, classes = vector_classes(rows, key, vector, k)
+    classes = stored(classes, "ann-classes")
+    forest, budget, dim = grown(classes, k=k, trees=trees, leaf=leaf, sample_rows=sample_rows, probes=probes, goal=goal, seed=seed)
+    if not forest:
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, " + key + " long, score double")
     classes = classes.where(F.size("v") == dim)
 
     def leaves_of(batches: Iterable[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
@@ -153,37 +201,38 @@ def nearest(
                 row = np.repeat(np.arange(len(u)), [len(s) for s in seen])
                 tree, place = np.array([p for s in seen for p in s], np.int64).reshape(-1, 2).T
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column("cls").take(take), batch.column("v").take(take), pa.array(tree.astype(np.int32)), pa.array(place.astype(np.int32))], names=["cls", "v", "tree", "leaf"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("cls", "low", "v")), pa.array(tree.astype(np.int32)), pa.array(place.astype(np.int32))], names=["cls", "low", "v", "tree", "leaf"])
 
     def chunks(df: DataFrame, every: bool, size: int, name: str) -> DataFrame:
-        placed = stored(df.select("cls", "v").mapInArrow(lambda b: leaves_of(b, every), "cls long, v array<double>, tree int, leaf int"), f"ann-{name}")
+        placed = stored(df.select("cls", "low", "v").mapInArrow(lambda b: leaves_of(b, every), "cls long, low long, v array<double>, tree int, leaf int"), f"ann-{name}")
         # one row per tree and leaf: bounded by the sample
         counts = placed.groupBy("tree", "leaf").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("n"))
         part = F.pmod(F.xxhash64("cls"), F.col("n"))
-        return placed.join(F.broadcast(counts), ["tree", "leaf"]).groupBy("tree", "leaf", part.alias("part")).agg(F.collect_list(F.struct("cls", "v")).alias(name)).select("tree", "leaf", name)
+        return placed.join(F.broadcast(counts), ["tree", "leaf"]).groupBy("tree", "leaf", part.alias("part")).agg(F.collect_list(F.struct("cls", "low", "v")).alias(name)).select("tree", "leaf", name)
 
     def rank(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows_, asked in zip(batch.column("rows"), batch.column("asked"), strict=True):
-                (c, cv), (q, qv) = ((np.asarray(s.values.field("cls")), s.values.field("v").flatten().to_numpy().reshape(-1, dim)) for s in (rows_, asked))
+                (c, low, cv), (q, _, qv) = ((*(np.asarray(s.values.field(f)) for f in ("cls", "low")), _scaled(s.values.field("v").flatten().to_numpy().reshape(-1, dim))) for s in (rows_, asked))
                 sim = _unit(qv) @ _unit(cv).T
                 n = min(k + 1, len(c))
                 edge = np.partition(sim, len(c) - n, axis=1)[:, len(c) - n]
                 a, b = np.nonzero(sim >= edge[:, None] - 1e-12)
                 exact = (qv[a] * cv[b]).sum(1) / (np.sqrt((qv[a] ** 2).sum(1)) * np.sqrt((cv[b] ** 2).sum(1)))
-                order = np.lexsort((c[b], -exact, a))
+                order = np.lexsort((c[b], low[b], -exact, a))
                 a, b, exact = a[order], b[order], exact[order]
                 nth = np.arange(len(a)) - np.searchsorted(a, a)
                 keep = nth < n
-                yield pa.RecordBatch.from_arrays([pa.array(q[a[keep]]), pa.array(c[b[keep]]), pa.array(exact[keep])], names=["q", "cls", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(q[a[keep]]), pa.array(c[b[keep]]), pa.array(low[b[keep]]), pa.array(exact[keep])], names=["q", "cls", "low", "score"])
 
     wanted = queries.select(F.col(key).cast("long").alias("query_id")).distinct()
-    asked = stored(wanted.join(clean.distinct().select(F.col("id").alias("query_id"), "v"), "query_id").join(classes.select("v", F.col("cls").alias("q")), "v").select("query_id", "q").dropDuplicates(["query_id"]), "ann-queries")
+    asked = wanted.join(clean.distinct().select(F.col("id").alias("query_id"), "v"), "query_id").join(classes.select("v", "low", F.col("cls").alias("q")), "v")
+    asked = stored(asked.groupBy("query_id").agg(F.min(F.struct("low", "q")).alias("m")).select("query_id", "m.q"), "ann-queries")
     heads = classes.join(asked.select(F.col("q").alias("cls")).distinct(), "cls", "left_semi")
     met = chunks(classes, True, CHUNK, "rows").join(chunks(heads, False, QUERY_CHUNK, "asked"), ["tree", "leaf"])
-    scored = met.select("rows", "asked").mapInArrow(rank, "q long, cls long, score double").groupBy("q", "cls").agg(F.max("score").alias("score"))
-    best = scored.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "cls"))).where(F.col("r") <= k + 1)
+    scored = met.select("rows", "asked").mapInArrow(rank, "q long, cls long, low long, score double").groupBy("q", "cls", "low").agg(F.max("score").alias("score"))
+    best = scored.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "low", "cls"))).where(F.col("r") <= k + 1)
     whole = best.join(classes.select("cls", "ids"), "cls").select("q", "score", F.explode("ids").alias(key))
-    answers = asked.join(whole, "q").where(F.col(key) != F.col("query_id"))
+    answers = asked.join(whole, "q").where(F.col(key) != F.col("query_id")).groupBy("query_id", key).agg(F.max("score").alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
     return answers.withColumn("rank", place.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", key, "score")

@@ -6,11 +6,12 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from test_edges import frame, odd, prose
 
-from millrace.llm import manifest, pages, rtree, suffixes
+from millrace.llm import manifest, neighbours, pages, rtree, suffixes
 
 VECTORS = "vec_id long, embedding array<double>, label int, x string, id string, score string"
 
@@ -340,3 +341,38 @@ def _timed(clock, page):
     began = clock()
     pages.features([pages.blocks(page)])
     return clock() - began
+
+
+def test_forest_ranks_few_rows_of_clustered_vectors(spark):
+    """50,000 rows in clusters: recall against all rows, and the share of rows that a query is compared with."""
+    rng = np.random.default_rng(61)
+    centre = rng.standard_normal((1000, 24))
+    x = centre[rng.integers(0, 1000, 50_000)] + rng.standard_normal((50_000, 24)) / 4
+    rows = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x)})).repartition(8)
+    found = neighbours.nearest(rows, rows.where("vec_id % 500 = 0")).toPandas().groupby("query_id")["vec_id"].apply(set)
+    unit = x / np.sqrt((x * x).sum(1, keepdims=True))
+    _, classes = neighbours.vector_classes(rows, "vec_id", "embedding", 5)
+    forest, budget, _ = neighbours.grown(classes, k=5, trees=6, leaf=64, sample_rows=4096, probes=100, goal=0.98, seed=17)
+    place = [t.place(unit) for t in forest]
+    hit, seen = 0, []
+    for q in range(0, len(x), 500):
+        c = unit @ unit[q]
+        c[q] = -2
+        hit += len(found[q] & set(np.argsort(-c)[:5].tolist()))
+        ranked = np.zeros(len(x), bool)
+        for tree, leaf in neighbours.visit(forest, unit[q], budget):
+            ranked |= place[tree] == leaf
+        seen.append(ranked.mean())
+    assert hit >= 0.9 * 5 * len(found)
+    assert np.mean(seen) < 0.1, np.mean(seen)
+
+
+def test_keys_with_two_vectors_and_huge_components(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0**660, 0.0]), (2, [0.0, 2.0**-660]), (3, [2.0**990, 2.0**990]), (50, [2.0, 2.1])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = {(r.query_id, r.rank): (r.vec_id, r.score) for r in neighbours.nearest(table, table.where("vec_id % 50 = 0")).collect()}
+    assert sorted(v for (q, _), (v, _) in out.items() if q == 50) == [0, 1, 2, 3]
+    assert out[50, 1][0] == 3 and abs(out[50, 1][1] - 4.1 / np.sqrt(2 * (4 + 2.1**2))) < 1e-12
+    assert [out[50, r][0] for r in (2, 3, 4)] == [0, 2, 1]
+    first = [out[0, r][0] for r in (1, 2, 3, 4)]
+    assert first in ([1, 3, 50, 2], [2, 50, 3, 1])
