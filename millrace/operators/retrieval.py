@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,24 +81,53 @@ def cosine(a: Column, b: Column) -> Column:
     return N.safe_divide(dot, norm(a) * norm(b))
 
 
+#: Vectors of a packed matrix.
+MATRIX = 1024
+
+
+def _packed(df: DataFrame, key: str, vector: str, block: str, name: str) -> DataFrame:
+    """Rows of a block in matrices of about ``MATRIX`` vectors, as many as the block's rows need."""
+    rows = df.select(F.col(key).alias("id"), F.col(block).alias("b"), F.transform(vector, lambda x: x.cast("double")).alias("v")).where("v IS NOT NULL")
+    parts = rows.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / MATRIX).alias("parts"))
+    placed = rows.join(parts, "b").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    return placed.groupBy("b", "part").agg(F.collect_list(F.struct("id", "v")).alias(name)).drop("part")
+
+
 def vector_topk(vectors: DataFrame, queries: DataFrame, key: str, vector: str, block: str, k: int) -> DataFrame:
-    """Nearest vectors by cosine within the query's block.
+    """Nearest vectors by cosine within the query's block; a zero vector is 0 from all others.
 
-    Work is vectors times queries of the same block, so the query table should be small per block (one
-    per block in the registered query). Vectors are scaled to length 1 once, both sides meet on the block
-    key, and the queries are copied to a few salts so that a hot block is compared by many tasks.
+    Both sides are packed to matrices of bounded size. Each pair of matrices of a block is one product, of
+    which the k best of each query are kept; these few are merged. A hot block has many matrices, so many tasks
+    compare it, and no table of pairs is formed. Vectors are of one length.
     """
-    def unit(df: DataFrame) -> DataFrame:
-        v = F.col(vector)
-        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-        return df.select(F.col(key), F.col(block), F.transform(v, lambda x: x.cast("double") / norm).alias("v"))
-
-    salts = 8
-    q = unit(queries).select(F.col(key).alias("query"), F.col(block).alias("b"), F.col("v").alias("qv"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    d = unit(vectors).select(F.col(key).alias("doc"), F.col(block).alias("b"), "v", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int").alias("salt"))
-    dot = F.aggregate(F.zip_with("qv", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    pairs = q.join(d, ["b", "salt"]).where(F.col("query") != F.col("doc")).select("query", "doc", dot.alias("score"))
-    return top_k(pairs, k)
+    kind = vectors.schema[key].dataType.simpleString()
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for docs, asked in zip(batch.column("docs"), batch.column("asked"), strict=True):
+                (d, x), (q, y) = (_matrix(side.values) for side in (docs, asked))
+                score = y @ x.T
+                names = np.array(d.to_pylist(), dtype=object)
+                own = np.array(q.to_pylist(), dtype=object)
+                score[own[:, None] == names[None, :]] = -np.inf
+                place = np.argsort(np.argsort(names, kind="stable"), kind="stable")
+                order = np.lexsort((np.broadcast_to(place, score.shape), -np.round(score, 9)), axis=1)[:, :k]
+                row = np.repeat(np.arange(len(own)), order.shape[1])
+                col = order.ravel()
+                kept = score[row, col] > -np.inf
+                row, col = row[kept], col[kept]
+                yield pa.RecordBatch.from_arrays([q.take(pa.array(row)), d.take(pa.array(col)), pa.array(score[row, col])], names=["query", "doc", "score"])
+
+    met = _packed(vectors, key, vector, block, "docs").join(_packed(queries, key, vector, block, "asked"), "b").select("docs", "asked")
+    return top_k(met.mapInArrow(best, f"query {queries.schema[key].dataType.simpleString()}, doc {kind}, score double"), k)
+
+
+def _matrix(rows: pa.StructArray) -> tuple[pa.Array, np.ndarray]:
+    """Keys and unit vectors of a packed matrix."""
+    v = rows.field("v")
+    x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
+    norm = np.sqrt((x * x).sum(1, keepdims=True))
+    return rows.field("id"), np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
 # ---- evaluation -------------------------------------------------------------

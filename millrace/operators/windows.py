@@ -162,14 +162,22 @@ def phase_of(message: Column, kind: Column, severity: Column) -> Column:
 
 
 def phase_segments(df: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str, phase: str) -> DataFrame:
-    """Runs of the same phase by key in time order, one row per run.
+    """Runs of the same phase by key in time order, one row per run; days are numbered inside, then carried on.
 
     Neighbouring runs always differ in phase, so there is nothing left to merge after this step.
     """
-    day = F.to_date(ts)
-    near = neighbour(df, keys, order, {"__before": phase}, day)
-    near = near.withColumn("__new", F.when(F.col(phase).eqNullSafe(F.col("__before")), 0).otherwise(1))
-    runs = running_sum(near, keys, order, "__new", day, "run")
+    inside = Window.partitionBy(*keys, "__day").orderBy(*order)
+    changed = F.when(F.row_number().over(inside) == 1, 0).when(F.col(phase).eqNullSafe(F.lag(phase).over(inside)), 0).otherwise(1)
+    rows = df.select(*dict.fromkeys((*keys, *order, ts, phase))).withColumn("__day", F.to_date(ts)).withColumn("__new", changed)
+    rows = rows.withColumn("__run", F.sum("__new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    # one row per key and day: what it begins and ends with, and how often it changes between
+    at = F.struct(*order)
+    days = rows.groupBy(*keys, "__day").agg(F.min_by(phase, at).alias("__first"), F.max_by(phase, at).alias("__last"), F.sum("__new").alias("__changes"))
+    by_day = Window.partitionBy(*keys).orderBy("__day")
+    starts = F.when(F.col("__first").eqNullSafe(F.lag("__last").over(by_day)), 0).otherwise(1)
+    days = days.withColumn("__starts", starts)
+    upto = F.sum(F.col("__starts") + F.col("__changes")).over(by_day.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__changes")
+    runs = null_safe_join(rows, days.select(*keys, "__day", upto.alias("__upto")), [*keys, "__day"]).withColumn("run", F.col("__upto") + F.col("__run"))
     out = runs.groupBy(*keys, "run").agg(
         F.first(phase).alias("phase"), F.min(ts).alias("start"), F.max(ts).alias("end"), F.count(F.lit(1)).alias("events")
     )

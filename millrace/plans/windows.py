@@ -250,7 +250,9 @@ def timeline(t):
     kind = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])[F.col("event_type")]
     rows = t.events.withColumn("kind", kind).withColumn("severity", F.when(F.col("value") > 150, 4).otherwise(1))
     message = F.element_at(F.array(*[F.lit(m) for m in MESSAGES]), (F.col("event_id") % len(MESSAGES) + 1).cast("int"))
-    return rows.withColumn("phase", W.phase_of(message, F.col("kind"), F.col("severity")))
+    # the phase is read in several passes: its keywords are looked for once
+    phase = W.phase_of(message, F.col("kind"), F.col("severity")).alias("phase")
+    return written(rows.select("event_id", "user_id", "ts", "kind", phase), "timeline")
 
 
 PHASE_CTE = f"""
