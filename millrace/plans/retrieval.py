@@ -179,13 +179,32 @@ def context_relevance(t):
     return R.context_relevance(turns(t), "question", "answer", ["conv_id", "turn"])
 
 
-@query("faithfulness")
+#: Longest common subsequences of the lists a and b of table k, by the places of a: one step per token of b.
+LCS = """
+    l(id, j, v, step) AS (SELECT id, unnest(range(1, len(a) + 1)), 0, 0 FROM k UNION ALL
+      SELECT id, j, max(c) OVER (PARTITION BY id ORDER BY j), step + 1 FROM (SELECT l.id, l.j, l.step, greatest(l.v, coalesce(lag(l.v) OVER (PARTITION BY l.id ORDER BY l.j), 0) + (k.a[l.j] = k.b[l.step + 1])::INT) AS c FROM l JOIN k ON k.id = l.id WHERE l.step < len(k.b))),
+    lc AS (SELECT id, max(v) AS lcs FROM l GROUP BY id),
+    ro AS (SELECT k.*, CASE WHEN coalesce(lcs, 0) > 0 THEN 2.0 * lcs / (len(a) + len(b)) ELSE 0 END::DOUBLE AS rouge FROM k LEFT JOIN lc ON lc.id = k.id)
+"""
+
+
+@query(
+    "faithfulness",
+    f"""WITH RECURSIVE {TURNS}, cl AS (SELECT conv_id, turn, question, unnest(list_filter(list_transform(string_split_regex(answer, '[.!?]+'), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: length(s) > 10)) AS claim FROM tn),
+    k AS (SELECT row_number() OVER () AS id, conv_id, turn, {_tok('question')} AS a, {_tok('claim')} AS b FROM cl), {LCS},
+    su AS (SELECT conv_id, turn, len(b) = 0 AS none, CASE WHEN len(b) = 0 THEN 1 ELSE 0.5 * len(list_intersect(list_distinct(b), list_distinct(a))) / len(list_distinct(b)) + 0.5 * rouge END::DOUBLE AS support FROM ro)
+    SELECT conv_id, turn, count(support) AS claims, coalesce(avg((none OR support > 0.3)::INT), 1.0) AS faithfulness, coalesce(avg(round_even(round(support, 10), 3)), 1.0) AS groundedness FROM tn LEFT JOIN su USING (conv_id, turn) GROUP BY ALL""",
+    digits="faithfulness:6 groundedness:6",
+)
 def faithfulness(t):
-    """Checked against a brute-force longest common subsequence in the tests."""
     return R.faithfulness(turns(t), "answer", "question", ["conv_id", "turn"])
 
 
-@query("row_scorer_udf")
+@query(
+    "row_scorer_udf",
+    f"WITH RECURSIVE {TURNS}, k AS (SELECT row_number() OVER () AS id, conv_id, turn, {_tok('question')} AS a, {_tok('answer')} AS b FROM tn), {LCS} SELECT conv_id, turn, rouge AS rouge_l FROM ro",
+    digits="rouge_l:8",
+)
 def row_scorer_udf(t):
     return turns(t).select("conv_id", "turn", R.rouge_l(X.tokens("question", "eval"), X.tokens("answer", "eval")).alias("rouge_l"))
 
