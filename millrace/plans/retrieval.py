@@ -253,7 +253,16 @@ def chunk_paragraph(t):
     return R.chunk_paragraph(t.documents.withColumn("text", F.regexp_replace("text", "\n", "\n\n")), "text", ["doc_id"], 1500)
 
 
-@query("chunk_heading")
+@query(
+    "chunk_heading",
+    f"""WITH m AS (SELECT doc_id, replace(regexp_replace(text, '(?m)^(.{{1,25}})$', '# \\1', 'g'), chr(10), chr(10) || chr(10)) AS x FROM documents),
+    u AS (SELECT doc_id, regexp_replace(regexp_replace(x, '(?m)^([^\\n]{{1,99}})\\n[=-]+[ \\t]*$', '# \\1', 'g'), '(?m)^(#{{1,6}}\\s)', chr(1) || '\\1', 'g') AS x FROM m),
+    t AS (SELECT doc_id, list_filter(string_split(x, chr(1)), lambda s: regexp_replace(s, '\\s+', '', 'g') <> '') AS parts FROM u),
+    e AS (SELECT doc_id, (generate_subscripts(parts, 1) - 1)::INT AS section, unnest(parts) AS s FROM t),
+    p AS (SELECT {{'d': doc_id, 's': section, 'h': trim(regexp_extract(s, '^#{{1,6}}\\s+([^\\n]*)', 1), ' ')}} AS doc_id, {TRIMMED.format("string_split_regex(regexp_replace(s, '^#{1,6}\\s[^\\n]*\\n?', ''), '\\n\\s*\\n')")} AS parts FROM e),
+    z AS (SELECT * FROM (WITH {_packed(1500, 2, "chr(10) || chr(10)")}))
+    SELECT doc_id.d AS doc_id, doc_id.s AS section, doc_id.h AS heading, chunk AS part, CASE WHEN chunk = 0 AND doc_id.h <> '' THEN doc_id.h || chr(10) || chr(10) || text ELSE text END AS text, length(CASE WHEN chunk = 0 AND doc_id.h <> '' THEN doc_id.h || chr(10) || chr(10) || text ELSE text END)::INT AS size FROM z""",
+)
 def chunk_heading(t):
     """Short lines become headings, so that the documents have sections."""
     text = F.regexp_replace(F.regexp_replace("text", r"(?m)^(.{1,25})$", "# $1"), "\n", "\n\n")
