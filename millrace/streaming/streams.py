@@ -10,6 +10,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from uuid import uuid4
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -164,42 +165,42 @@ def session_counts(df: DataFrame, key: str, ts: str, gap: str, delay: str = "10
     return out.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def _merge(spans: list[list[float]], gap: float) -> list[list[float]]:
-    """Join [start, end, count] spans that lie less than ``gap`` apart."""
-    out: list[list[float]] = []
-    for start, end, n in sorted(spans):
-        if out and start - out[-1][1] < gap:
-            out[-1][1] = max(out[-1][1], end)
-            out[-1][2] += n
-        else:
-            out.append([start, end, n])
-    return out
+def merged_spans(start: np.ndarray, end: np.ndarray, count: np.ndarray, gap: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Join spans that lie less than ``gap`` apart: in the order of starts, a span begins anew where it is ``gap`` or
+    more behind the latest end so far."""
+    if not len(start):
+        return start, end, count
+    order = np.argsort(start, kind="stable")
+    start, end, count = start[order], np.maximum.accumulate(end[order]), count[order]
+    cut = np.flatnonzero(np.concatenate(([True], start[1:] - end[:-1] >= gap)))
+    return start[cut], end[np.append(cut[1:], len(end)) - 1], np.add.reduceat(count, cut)
 
 
 def stateful_sessions(df: DataFrame, key: str, ts: str, gap_seconds: int, delay: str = "10 minutes") -> DataFrame:
     """Sessions kept in custom state with an event-time timeout.
 
     The state of a key is its open spans. Rows of a batch arrive in Arrow chunks and are folded into
-    spans chunk by chunk, so memory grows with the sessions of a key and not with its rows.
+    spans chunk by chunk, as arrays, so memory grows with the sessions of a key and not with its rows.
     """
     gap_us = float(gap_seconds) * 1e6
 
     def step(k: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        spans = [list(s) for s in zip(*state.get, strict=True)] if state.exists else []
+        held = tuple(np.array(c, np.float64) for c in state.get) if state.exists else (np.zeros(0),) * 3
         if not state.hasTimedOut:
             for pdf in chunks:
                 us = pdf["us"].to_numpy(dtype="float64")
-                spans = _merge(spans + [[float(u), float(u), 1.0] for u in us], gap_us)
+                held = merged_spans(*(np.concatenate(pair) for pair in zip(held, (us, us, np.ones(len(us))), strict=True)), gap_us)
         mark = state.getCurrentWatermarkMs() * 1000.0
-        closed = [s for s in spans if s[1] + gap_us <= mark]
-        live = [s for s in spans if s[1] + gap_us > mark]
-        if live:
-            state.update(tuple(list(c) for c in zip(*live, strict=True)))
-            state.setTimeoutTimestamp(int(max(live[0][1] + gap_us, mark) // 1000) + 1)
+        over = held[1] + gap_us <= mark
+        live = [c[~over] for c in held]
+        if len(live[0]):
+            state.update(tuple(c.tolist() for c in live))
+            state.setTimeoutTimestamp(int(max(live[1][0] + gap_us, mark) // 1000) + 1)
         elif state.exists:
             state.remove()
-        if closed:
-            yield pd.DataFrame({key: k[0], "start_us": [int(s[0]) for s in closed], "end_us": [int(s[1]) for s in closed], "n": [int(s[2]) for s in closed]})
+        if over.any():
+            start, end, n = (c[over].astype(np.int64) for c in held)
+            yield pd.DataFrame({key: k[0], "start_us": start, "end_us": end, "n": n})
 
     rows = df.withWatermark(ts, delay).select(key, ts, F.unix_micros(ts).alias("us"))
     kind = df.schema[key].dataType.simpleString()

@@ -96,3 +96,27 @@ def test_keys_with_separators_and_nulls(spark, tmp_path):
     stream = spark.readStream.schema("a string, b string, n int").parquet(str(tmp_path / "in"))
     out = upserted(stream.groupBy("a", "b").agg(F.sum("n").alias("n")), ["a", "b"], "update", "keys")
     assert sorted(((r.a, r.b, r.n) for r in out.collect()), key=str) == sorted(((*p, i) for i, p in enumerate(pairs)), key=str)
+
+
+def test_spans_join_like_a_plain_loop():
+    import random
+
+    import numpy as np
+
+    from millrace.streaming.streams import merged_spans
+
+    rng = random.Random(71)
+    for n in (0, 1, 2, 30, 200):
+        spans = []
+        for _ in range(n):
+            a = rng.randint(0, 500)
+            spans.append([float(a), float(a + rng.choice([0, 0, 5, 60])), 1.0])
+        plain = []
+        for a, b, c in sorted(spans):
+            if plain and a - plain[-1][1] < 7:
+                plain[-1][1] = max(plain[-1][1], b)
+                plain[-1][2] += c
+            else:
+                plain.append([a, b, c])
+        got = merged_spans(*(np.array([s[i] for s in spans], float) for i in range(3)), 7.0)
+        assert [list(x) for x in zip(*(g.tolist() for g in got), strict=True)] == plain
