@@ -7,23 +7,27 @@ edits or more, and each of the others is a seed; so an item of n words that scor
 whose pairs most items hold need not be looked up: half of that number may be left out if the others still reach the
 rest. How often a pair occurs in documents plays no part. Where the count is below one, single words are seeds. What
 reaches the count is aligned, so the result is that of aligning every document with every item.
+
+Items of up to ``BROADCAST_WORDS`` words in all are an index that goes to the tasks, and documents are read once. More items
+stay a table: their seeds are joined with the seeds of the documents, places are gathered for each pair of item and
+document that share one, and the stretches that reach the count are cut out of their texts and joined with the words
+of their items. Both ways keep the same seeds and count alike.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import common
 
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Words of items that tasks hold together; more words are looked for in further passes over the documents.
-PASS_WORDS = 1 << 19
+#: Words of items, in all, that are sent to every task; more are joined.
+BROADCAST_WORDS = 1 << 19
 #: Places of seeds that a task counts together, one document at least, and cells of alignments worked on together.
 PLACES, CELLS = 1 << 22, 1 << 16
 
@@ -72,7 +76,7 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
 
 
 class Index:
-    """Items of one pass: their words, and for each seed the items that it is looked up for."""
+    """All items: their words, and for each seed the items that it is looked up for."""
 
     def __init__(self, items: pa.Table, least: float):
         items = items.combine_chunks()
@@ -85,10 +89,8 @@ class Index:
         self.vocab, codes = np.unique(flat, return_inverse=True)
         self.codes = codes.astype(np.int64)
         size = self.size = len(self.vocab)
-        count = np.ceil(least * self.n - 1e-9).astype(np.int64) - 1
-        drop = np.maximum(count, 0) // 2
+        count, drop, self.span = _counts(self.n, least)
         self.need = np.maximum(count - drop, 1)
-        self.span = self.n + np.maximum(np.floor(MATCH * self.n * (1 - least) + 1e-9), 0).astype(np.int64)
         own, at = np.repeat(np.arange(len(self.n)), self.n), np.arange(len(flat))
         pairs = count[own] > 0
         self.single = bool((~pairs).any())
@@ -206,19 +208,155 @@ def _item_words(items: DataFrame) -> DataFrame:
     return items.mapInArrow(run, f"__key {kind}, __row long, item array<long>").where(F.size("item") > 0)
 
 
+def _counts(n: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For items of n words: places that begin a seed in any passage, those that are not looked up, and the longest stretch."""
+    count = np.ceil(least * n - 1e-9).astype(np.int64) - 1
+    return count, np.maximum(count, 0) // 2, n + np.maximum(np.floor(MATCH * n * (1 - least) + 1e-9), 0).astype(np.int64)
+
+
+def _keys(h: np.ndarray, inside: np.ndarray, single: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the seeds of a row of words, and where each begins; ``inside`` tells which text a word is of."""
+    if single:
+        return common.mix(h + np.uint64(3)), np.arange(len(h))
+    key, place = [], []
+    for g in (1, 2):
+        p = np.flatnonzero(inside[:-g] == inside[g:])
+        key.append(common.mix(h[p] * np.uint64(common.BASE) + common.mix(h[p + g])))
+        place.append(p)
+    return np.concatenate(key), np.concatenate(place)
+
+
+def _item_seeds(whole: DataFrame, least: float) -> DataFrame:
+    """``seed``, ``item``, ``need``, ``span``: what each item is looked up by."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, item in zip(batch.column("__row").to_pylist(), batch.column("item"), strict=True):
+                h = item.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                count, drop, span = (int(x[0]) for x in _counts(np.array([len(h)]), least))
+                key, place = _keys(h, np.zeros(len(h)), count <= 0)
+                same = lambda v, k: pa.array(np.full(len(key), v, k))
+                yield pa.RecordBatch.from_arrays(
+                    [common.signed(key), same(name, np.int64), pa.array(place), same(drop, np.int64), same(max(count - drop, 1), np.int64), same(span, np.int64)], names=["seed", "item", "place", "drop", "need", "span"]
+                )
+
+    each = common.stored(whole.dropDuplicates(["__row"]).mapInArrow(run, "seed long, item long, place long, drop long, need long, span long"), "leak-item-seeds")
+    held = each.groupBy("seed").agg(F.countDistinct("item").alias("items"))
+    places = each.join(held, "seed").groupBy("item", "place").agg(F.max("items").alias("often"), F.first("drop").alias("drop"))
+    at = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("often"), "place"))
+    used = places.withColumn("at", at).where("at > drop").select("item", "place")
+    return each.join(used, ["item", "place"]).select("seed", "item", "need", "span").distinct()
+
+
+def _document_seeds(rows: DataFrame, kinds: tuple[bool, ...]) -> DataFrame:
+    """All seeds of the documents; ``kinds`` says whether those of pairs, of single words or both."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in common.slices(batches, "__text"):
+            w = common.words(part.column("__text"), lower=True, every=True)
+            h, owner = common.hashes(w.distinct)[w.codes], w.owners()
+            for single in kinds:
+                key, place = _keys(h, owner, single)
+                own = owner[place]
+                yield pa.RecordBatch.from_arrays([common.signed(key), part.column("__row").take(pa.array(own)), pa.array(place - w.starts[own]), pa.array(np.diff(w.starts)[own])], names=["seed", "__row", "pos", "words"])
+
+    return rows.select("__row", "__text").mapInArrow(run, "seed long, __row long, pos long, words long")
+
+
+def _reached(met: DataFrame) -> DataFrame:
+    """Stretches [lo, hi) of the documents that hold enough seeds of an item."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                p = np.array(r["pos"], np.int64)
+                last = np.arange(len(p)) + r["need"] - 1
+                end = np.minimum(last, len(p) - 1)
+                i = np.flatnonzero((last < len(p)) & (p[end] - p < r["span"]))
+                lo, hi = np.maximum(p[end[i]] + 1 - r["span"], 0), np.minimum(p[i] + r["span"], r["words"])
+                new = np.ones(len(i), bool)
+                new[1:] = lo[1:] > hi[:-1]
+                first = np.flatnonzero(new)
+                out += [(r["item"], r["__row"], int(lo[x]), int(hi[y])) for x, y in zip(first, np.append(first[1:], len(i)) - 1, strict=True)] if len(i) else []
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 4)], names=["item", "__row", "lo", "hi"])
+
+    pairs = met.groupBy("item", "__row").agg(F.sort_array(F.collect_set("pos")).alias("pos"), F.first("need").alias("need"), F.first("span").alias("span"), F.first("words").alias("words"))
+    return pairs.where(F.size("pos") >= F.col("need")).mapInArrow(run, "item long, __row long, lo long, hi long")
+
+
+def _cut(texts: DataFrame) -> DataFrame:
+    """The words of the stretches of each text."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in common.slices(batches, "__text"):
+            w = common.words(part.column("__text"), lower=True, every=True)
+            h = common.hashes(w.distinct)[w.codes]
+            for row, base in enumerate(w.starts[:-1].tolist()):
+                spots = part.column("spots")[row].values
+                lo, hi = (spots.field(k).to_numpy() for k in ("lo", "hi"))
+                ends = np.concatenate(([0], np.cumsum(hi - lo)))
+                index = np.repeat(base + lo - ends[:-1], hi - lo) + np.arange(ends[-1])
+                name = pa.array(np.full(len(lo), part.column("__row")[row].as_py(), np.int64))
+                yield pa.RecordBatch.from_arrays([spots.field("item"), name, pa.array(lo), common.list_array(common.signed(h[index]), ends)], names=["item", "__row", "lo", "stretch"])
+
+    return texts.mapInArrow(run, "item long, __row long, lo long, stretch array<long>")
+
+
+def _aligned(met: DataFrame, least: float) -> DataFrame:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = ([x.values.to_numpy(zero_copy_only=False) for x in batch.column(c)] for c in ("words", "stretch"))
+            order = sorted(range(len(a)), key=lambda i: (len(b[i]), len(a[i])))
+            out, x = np.zeros((len(a), 3), np.int64), 0
+            while x < len(order):
+                y = x + 1
+                while y < len(order) and (y + 1 - x) * len(b[order[y]]) <= CELLS:
+                    y += 1
+                out[order[x:y]] = np.stack(align_many([a[i] for i in order[x:y]], [b[i] for i in order[x:y]]), 1)
+                x = y
+            n = np.array([len(w) for w in a], np.int64)
+            i = np.flatnonzero(out[:, 0] >= least * MATCH * n)
+            score, lo, hi = out[i].T
+            take = pa.array(i)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("item").take(take), batch.column("__row").take(take), pa.array(score / (MATCH * n[i])), pa.array(batch.column("lo").to_numpy()[i] + lo), pa.array(hi - lo)], names=["item", "__row", "score", "start", "length"]
+            )
+
+    return met.mapInArrow(run, "item long, __row long, score double, start long, length long")
+
+
+def _counts_below(whole: DataFrame, least: float) -> bool:
+    """Whether an item is so short that its single words are seeds."""
+    return whole.where(F.ceil(F.size("item") * F.lit(least) - 1e-9) <= 1).limit(1).count() > 0
+
+
+def _joined(rows: DataFrame, whole: DataFrame, least: float) -> DataFrame:
+    """The best passage of every item and document, by joins on seeds."""
+    seeds = common.stored(_item_seeds(whole, least), "leak-seeds")
+    few = _counts_below(whole, least)
+    met = _document_seeds(rows, (False, True) if few else (False,)).join(seeds, "seed").select("item", "__row", "pos", "need", "span", "words")
+    spots = _reached(met).groupBy("__row").agg(F.collect_list(F.struct("item", "lo", "hi")).alias("spots"))
+    texts = rows.select("__row", "__text").join(common.stored(spots, "leak-spots"), "__row").dropDuplicates(["__row"])
+    words = whole.select(F.col("__row").alias("item"), F.col("item").alias("words")).dropDuplicates(["item"])
+    found = _aligned(_cut(texts).join(words, "item"), least)
+    best = found.groupBy("item", "__row").agg(F.min(F.struct((-F.col("score")).alias("s"), "start", (-F.col("length")).alias("l"))).alias("b"))
+    best = best.select("item", "__row", (-F.col("b.s")).alias("score"), "b.start", (-F.col("b.l")).alias("length"))
+    named = whole.select(F.col("__key").alias("__item"), F.col("__row").alias("item"))
+    return rows.select("__key", "__row").join(common.stored(best, "leak-found"), "__row").join(named, "item").select("__key", "__item", "__row", "score", "start", "length")
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", *, least: float = 0.5) -> DataFrame:
     """One row per document and item that it holds: ``key``, ``item_key``, ``row``, ``score``, ``start``, ``length``.
 
     ``score`` is the best local alignment over that of the item with itself, 1 for a whole copy; all rows from
     ``least`` (over 0) on are returned. ``start`` and ``length`` are the words of the document's best passage; of equal ones
     the first counts. Words are compared in lower case. Null and blank texts hold nothing and are in
-    nothing. Repeated rows give repeated results; null keys take part and stay null. Items of ``PASS_WORDS`` words in all
-    are looked for in one pass over the documents.
+    nothing. Repeated rows give repeated results; null keys take part and stay null.
     """
     rows, tests = common.keyed(docs, key, text), common.keyed(items, item_key, item_text)
     whole = common.stored(_item_words(tests), "leak-items")
     total = whole.agg(F.sum(F.size("item")).alias("n")).first()["n"] or 0
-    passes = -(-total // PASS_WORDS)
     kinds = [df.schema["__key"].dataType.simpleString() for df in (rows, tests)]
     schema = f"__key {kinds[0]}, __item {kinds[1]}, __row long, score double, start long, length long"
 
@@ -233,8 +371,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
 
         return rows.mapInArrow(run, schema)
 
-    parts = (whole.where(F.pmod("__row", F.lit(passes)) == i).select("__key", "item").toArrow() for i in range(passes))
-    found = [searched(Index(part, least)) for part in parts if part.num_rows]
-    out = reduce(DataFrame.unionAll, found) if found else docs.sparkSession.createDataFrame([], schema)
-    common.discard(whole)
+    if not total:
+        out = docs.sparkSession.createDataFrame([], schema)
+    elif total <= BROADCAST_WORDS:
+        out = searched(Index(whole.select("__key", "item").toArrow(), least))
+        common.discard(whole)
+    else:
+        out = _joined(rows, whole, least)
     return out.select(F.col("__key").alias(key), F.col("__item").alias(item_key), F.col("__row").alias("row"), "score", "start", "length")

@@ -26,7 +26,9 @@ def leaks_plain(rows, items, least=0.5):
     return out
 
 
-def test_leaks_of_a_copy_that_many_documents_hold(spark):
+@pytest.mark.parametrize("words", [1 << 19, 20])
+def test_leaks_of_a_copy_that_many_documents_hold(spark, words, monkeypatch):
+    monkeypatch.setattr(leaks, "BROADCAST_WORDS", words)
     rng = random.Random(21)
     item = prose(rng, 40).split()
     copy = [prose(rng, 1, "xyz") if k % 5 == 2 else w for k, w in enumerate(item)]
@@ -38,8 +40,10 @@ def test_leaks_of_a_copy_that_many_documents_hold(spark):
 
 
 @pytest.mark.parametrize("least", [0.5, 0.7])
-def test_leaks_are_those_of_aligning_everything(spark, least, monkeypatch):
-    monkeypatch.setattr(leaks, "PASS_WORDS", 200, raising=False)
+@pytest.mark.parametrize("words", [1 << 19, 20])
+def test_leaks_are_those_of_aligning_everything(spark, least, words, monkeypatch):
+    """Both with the index of all items in the tasks and with the joins on seeds."""
+    monkeypatch.setattr(leaks, "BROADCAST_WORDS", words)
     rng = random.Random(22)
     items = [(i, prose(rng, rng.choice([1, 2, 3, 4, 5, 9, 20, 33]), "abcd")) for i in range(24)]
     rows = []
