@@ -143,13 +143,15 @@ def _factors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(rows: DataFrame, window: int) -> DataFrame:
     """``__row`` and an array of [a, b): ranges of starts of windows that also start elsewhere."""
     anchors = common.stored(_anchors(rows, window), "sub-anchors")
-    again = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor")
+    # written, so that both sides of the joins on anchors are shuffled for them and a hot anchor is split
+    again = common.stored(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor"), "sub-again")
     spots = anchors.join(again, "anchor").groupBy("__row").agg(F.collect_set("pos").alias("spots"), F.count(F.lit(1)).alias("c"))
     spots = common.stored(spots.select("__row", "spots", (F.col("c") > F.size("spots")).alias("twice")), "sub-spots")
-    common.discard(anchors)
+    common.discard(anchors, again)
     blocks = common.stored(_blocks(rows.join(spots, "__row"), window), "sub-blocks")
     ref = blocks.groupBy("anchor").agg(F.min(F.struct("__row", "start", "rel", "wins")).alias("r"))
     ref = ref.select("anchor", F.col("r.__row").alias("ref_row"), F.col("r.start").alias("ref_start"), F.col("r.rel").alias("ref_rel"), F.col("r.wins").alias("ref_wins"))
+    ref = common.stored(ref, "sub-references")
     out = "__row long, a int, b int, open boolean, anchor long, rel int, win long"
     parsed = common.stored(blocks.join(ref, "anchor").mapInArrow(_factors, out), "sub-factors")
     left = parsed.where("open")
@@ -159,7 +161,7 @@ def repeated_spans(rows: DataFrame, window: int) -> DataFrame:
     twice = blocks.join(spots.where("twice").select("__row"), "__row").select("__row", F.col("start").alias("a"), (F.col("start") + F.size("wins")).alias("b"))
     spans = parsed.where("not open").select("__row", "a", "b").unionByName(more).unionByName(twice).distinct()
     spans = common.stored(spans.groupBy("__row").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "sub-spans")
-    common.discard(spots, blocks, parsed)
+    common.discard(spots, blocks, ref, parsed)
     return spans
 
 
