@@ -10,7 +10,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from millrace.plans import load_all  # noqa: E402
-from millrace.session import local_session  # noqa: E402
+from millrace.session import clear_work, local_session  # noqa: E402
 
 HEADLINE = (
     "stage_funnel star_join broadcast_join sort_merge_prepartition lateral_topn left_join_count grouping_sets cube percentile_linear quartile_index row_number running_total ntile "
@@ -33,6 +33,7 @@ def main() -> None:
         times[name] = round(time.perf_counter() - start, 3)
         print(f"{name} {times[name]}", file=sys.stderr, flush=True)
     print(json.dumps({"metric": "total_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(folder.rstrip("/"))}))
+    clear_work(spark)
     spark.stop()
 
 

@@ -125,7 +125,7 @@ def band_lookup(people: DataFrame, bands: DataFrame, levels: Sequence[Sequence[s
     names = []
     for i, keys in enumerate(levels):
         first = bands.groupBy(*keys).agg(F.min_by(F.struct(*pick), "band_id").alias(f"__band{i}"))
-        out = null_safe_join(out, lookup_side(first), list(keys), "left")
+        out = null_safe_join(out, first, list(keys), "left")
         names.append(f"__band{i}")
     best = F.coalesce(*names)
     return out.select(

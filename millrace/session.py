@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
+import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -69,11 +73,34 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Folders of written tables that this process has named, and has not removed yet.
+WORK: list[str] = []
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for written tables, below the checkpoint folder so all executors see it."""
-    import uuid
+    """A new folder for written tables, below the checkpoint folder so all executors see it.
+
+    It lasts until ``clear_work`` or the end of the process.
+    """
+    if not WORK:
+        atexit.register(_at_end, spark)
+    WORK.append(f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}")
+    return WORK[-1]
+
+
+def clear_work(spark: SparkSession) -> int:
+    """Remove the written tables of this process; returns how many there were. Frames that read them are gone with them."""
+    conf, removed = spark._jsc.hadoopConfiguration(), 0
+    while WORK:
+        path = spark._jvm.org.apache.hadoop.fs.Path(WORK.pop())
+        removed += bool(path.getFileSystem(conf).delete(path, True))
+    return removed
+
 
-    return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+def _at_end(spark: SparkSession) -> None:
+    with contextlib.suppress(Py4JError, OSError):  # the JVM may be gone before
+        if spark.sparkContext._jsc is not None:
+            clear_work(spark)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
