@@ -79,4 +79,4 @@ def test_empty_input(spark, folder, tmp_path):
 
 def test_registered_names_are_one_per_operator():
     numbers = [int(name[2:].split("_")[0]) for name in queries.QUERIES]
-    assert sorted(numbers) == list(range(1, 11))
+    assert sorted(numbers) == list(range(1, 14))
