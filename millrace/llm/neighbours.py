@@ -1,7 +1,7 @@
 """Nearest neighbours by cosine: a forest of random-projection trees searched through one priority queue.
 
 Trees are grown on a bounded sample: every node projects on a random direction and splits at the median. Their
-depth follows the rows: a leaf of the sample stands for a fixed number of all rows, down to two sample rows. All rows
+depth follows the rows: a leaf of the sample stands for a number of all rows, down to two sample rows. All rows
 are then placed in a leaf of each tree. A query walks all trees at once: the queue holds nodes of all trees by the smallest
 margin on the way to them, so the leaves most likely to hold neighbours come first, whatever their tree. How many
 leaves a query opens is measured on a few vectors against their true neighbours among all rows. Rows of opened leaves are then
@@ -100,47 +100,50 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _true_leaves(classes: DataFrame, forest: list[Tree], probes: np.ndarray, own: list[int], k: int) -> dict[int, list[list[int]]]:
-    """For each probe the leaves of its ``k`` nearest other vectors among all rows, one leaf per tree."""
+def _true_neighbours(classes: DataFrame, probes: np.ndarray, own: list[int], k: int) -> dict[int, np.ndarray]:
+    """For each probe its ``k`` nearest other vectors among all rows."""
     dim = probes.shape[1]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            u = _unit(batch.column("v").flatten().to_numpy().reshape(-1, dim))
-            sim = u @ probes.T
+            sim = _unit(batch.column("v").flatten().to_numpy().reshape(-1, dim)) @ probes.T
             name = batch.column("cls").to_numpy()
             sim[name[:, None] == np.array(own)[None, :]] = -np.inf
-            n = min(k, len(u))
-            top = np.argpartition(-sim, n - 1, axis=0)[:n]
-            row, probe = top.T.ravel(), np.repeat(np.arange(len(probes)), n)
-            used, at = np.unique(row, return_inverse=True)
-            place = np.stack([t.place(u[used]) for t in forest], 1)[at]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(probe), pa.array(name[row]), pa.array(sim[row, probe]), pa.array(place.tolist(), pa.list_(pa.int64()))], names=["probe", "cls", "sim", "leaves"]
-            )
-
-    near = classes.select("cls", "v").mapInArrow(run, "probe long, cls long, sim double, leaves array<long>").where("sim > double('-infinity')")
+            n = min(k, len(name))
+            row = np.argpartition(-sim, n - 1, axis=0)[:n].T.ravel()
+            probe = np.repeat(np.arange(len(probes)), n)
+            yield pa.RecordBatch.from_arrays([pa.array(probe), pa.array(name[row]), pa.array(sim[row, probe])], names=["probe", "cls", "sim"])
+
+    near = classes.select("cls", "v").mapInArrow(run, "probe long, cls long, sim double").where("sim > double('-infinity')")
     first = near.withColumn("r", F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("sim"), "cls"))).where(F.col("r") <= k)
-    out: dict[int, list[list[int]]] = {}
-    for r in first.collect():
-        out.setdefault(r["probe"], []).append(r["leaves"])
-    return out
+    out: dict[int, list] = {}
+    for r in first.join(classes.select("cls", "v"), "cls").collect():
+        out.setdefault(r["probe"], []).append(r["v"])
+    return {i: _unit(np.array(v)) for i, v in out.items()}
 
 
-def _budget(trees: list[Tree], probes: np.ndarray, true: dict[int, list[list[int]]], goal: float) -> int:
+def _budget(trees: list[Tree], probes: np.ndarray, true: dict[int, np.ndarray], goal: float) -> int:
     """Fewest leaves with which the probes meet ``goal`` of their true neighbours."""
     total = sum(t.leaves for t in trees)
     found_at = []
     for i, near in true.items():
         order = {leaf: n for n, leaf in enumerate(visit(trees, probes[i], total), 1)}
-        found_at += [min(order[tree, leaf] for tree, leaf in enumerate(leaves)) for leaves in near]
-    return int(np.ceil(np.quantile(found_at, goal))) if found_at else 1
+        found_at.append(np.min([[order[n, leaf] for leaf in t.place(near).tolist()] for n, t in enumerate(trees)], axis=0))
+    return int(np.ceil(np.quantile(np.concatenate(found_at), goal))) if found_at else 1
+
+
+#: Rows that could be ranked for what it costs to bring a query to one more leaf.
+CARRY = 256
 
 
 def grown(classes: DataFrame, *, k: int, trees: int, leaf: int, sample_rows: int, probes: int, goal: float, seed: int) -> tuple[list[Tree], int, int]:
-    """The forest, how many leaves a query opens, and the length of the vectors that take part."""
+    """The forest, how many leaves a query opens, and the length of the vectors that take part.
+
+    Leaves of ``leaf`` rows and of 4, 16, ... times as many are tried; the forest whose searches cost least, in rows
+    ranked and leaves opened, is taken. Where vectors are clustered these are small leaves.
+    """
     total = classes.count()
     share = min(1.0, sample_rows / max(total, 1))
     sample = classes.where(F.pmod(F.xxhash64(F.lit(seed), "cls"), F.lit(1 << 30)) < F.lit(share * (1 << 30))).limit(2 * sample_rows)
@@ -151,11 +154,18 @@ def grown(classes: DataFrame, *, k: int, trees: int, leaf: int, sample_rows: int
     dim = max(set(sizes), key=lambda n: (sizes.count(n), n))
     got = [(c, v) for c, v in got if len(v) == dim]
     x = _unit(np.array([v for _, v in got]))
-    rng = np.random.default_rng(seed)
-    forest = [grow(x, max(2, round(leaf * len(x) / max(total, 1))), rng) for _ in range(trees)]
     asked = np.arange(0, len(x), max(1, len(x) // probes))
-    true = _true_leaves(classes.where(F.size("v") == dim), forest, x[asked], [got[i][0] for i in asked], k)
-    return forest, _budget(forest, x[asked], true, goal), dim
+    true = _true_neighbours(classes.where(F.size("v") == dim), x[asked], [got[i][0] for i in asked], k)
+    best = None
+    while best is None or 16 * leaf <= total:
+        rng = np.random.default_rng(seed)
+        forest = [grow(x, max(2, round(leaf * len(x) / max(total, 1))), rng) for _ in range(trees)]
+        budget = _budget(forest, x[asked], true, goal)
+        rows = trees * total / sum(t.leaves for t in forest)
+        if best is None or budget * (rows + CARRY) < best[0]:
+            best = budget * (rows + CARRY), forest, budget
+        leaf *= 4
+    return best[1], best[2], dim
 
 
 def vector_classes(rows: DataFrame, key: str, vector: str, k: int) -> tuple[DataFrame, DataFrame]:
