@@ -112,6 +112,14 @@ def rows_of(batch: pa.RecordBatch, keep: Iterable[str], **more: pa.Array) -> pa.
     return pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *more.values()], names=names)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different values, ascending."""
+    x = np.sort(x)
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return x[new]
+
+
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 

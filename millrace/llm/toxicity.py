@@ -3,8 +3,8 @@
 A word with look-alike signs, repeated letters or parts set apart is a lattice: every sign may stand
 for itself or the letters it looks like, a run of one letter for one or two of it, signs between letters for
 nothing, a space between short words for nothing or for the end of a word. Viterbi search under a letter model with three letters of memory, learned from plain words of the
-sample, picks the restored word. Words without such signs have one path, themselves, so only the others are
-searched. The score is that of a word model learned from labelled texts: evidence of the distinct restored words
+labelled texts, picks the restored word. Words without such signs have one path, themselves, so only the others are
+searched. The score is that of a word model learned from all labelled texts: evidence of the distinct restored words
 and of their beginnings.
 """
 
@@ -12,11 +12,15 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +32,9 @@ EDGE = "^"
 #: Signs between the letters of a word that stand for nothing.
 FILLERS = "._-*~'`^,:;/\\"
 _PLAIN = re.compile(r"[^\W\d_]+")
+#: Letters that stand alone, or a run of one sign.
+_RUNS = re.compile(r"(?:([^\W\d_])(?!\1))+|(.)\2*", re.DOTALL)
+_RUN = re.compile(r"(.)\1*", re.DOTALL)
 _TRIM = " \t.,;:!?\"'()[]{}<>#%&*|~`^/\\-_=+"
 #: Of these, the signs that look like no letter.
 _OUTSIDE = "".join(c for c in _TRIM if c not in LOOKALIKES)
@@ -35,7 +42,7 @@ _OUTSIDE = "".join(c for c in _TRIM if c not in LOOKALIKES)
 
 @dataclass
 class Letters:
-    """Smoothed log probability of a letter after the three before it; letters outside the sample share one cell."""
+    """Smoothed log probability of a letter after the three before it; letters outside the learned texts share one cell."""
 
     table: dict[str, float] = field(default_factory=dict)
     floor: dict[str, float] = field(default_factory=dict)
@@ -54,21 +61,28 @@ class Letters:
         return got if got is not None else self.floor.get(context, self.least)
 
 
+@lru_cache(1 << 16)
+def _readings(sign: str, n: int) -> list[str]:
+    letters = LOOKALIKES.get(sign, "")
+    if sign.isalpha():
+        found = [sign * n] if n <= 2 else [sign, sign * 2]
+        if n == 2:
+            found.append(sign)
+    else:
+        found = [sign * n, *(x * k for x in letters for k in {1, min(n, 2)})]
+        if sign in FILLERS or (sign in LOOKALIKES and not letters):
+            found.append("")
+    return found
+
+
 def _options(word: str) -> list[list[str]]:
-    """For each run of one sign: what it may stand for, costs aside."""
+    """For each run of one sign: what it may stand for, costs aside. Letters in a row that stand alone are one part."""
     out = []
-    for run in re.finditer(r"(.)\1*", word, re.DOTALL):
-        sign, n = run[1], len(run[0])
-        letters = LOOKALIKES.get(sign, "")
-        if sign.isalpha():
-            found = [sign * n] if n <= 2 else [sign, sign * 2]
-            if n == 2:
-                found.append(sign)
+    for run in _RUNS.finditer(word):
+        if run[1] and run[0].isalpha():
+            out.append([run[0]])
         else:
-            found = [sign * n, *(x * k for x in letters for k in {1, min(n, 2)})]
-            if sign in FILLERS or (sign in LOOKALIKES and not letters):
-                found.append("")
-        out.append(found)
+            out.extend(_readings(r[1], len(r[0])) for r in _RUN.finditer(run[0]))
     return out
 
 
@@ -78,14 +92,19 @@ States = dict[str, tuple[float, tuple | None]]
 
 def _read(states: States, options: list[str], letters: Letters, keep: float = 1.0, change: float = 1.5) -> States:
     now: States = {}
+    table, floor, least = letters.table.get, letters.floor.get, letters.least
+    first = options[0]
+    costs = [(x, 1.0 if 0 < len(x) < len(first) == 2 else 0.0, 0.0 if x and x == first and x[0].isalpha() else change if x != first else keep) for x in options]
     for context, (cost, chain) in states.items():
-        for option in options:
+        for option, shorter, sign in costs:
             c, k = cost, context
             for letter in option:
-                c += letters.step(k, letter)
-                k = k[1:] + letter
-            c -= 1.0 if 0 < len(option) < len(options[0]) == 2 else 0.0
-            c -= 0.0 if option and option == options[0] and option[0].isalpha() else change if option != options[0] else keep
+                group = k + letter
+                got = table(group)
+                c += got if got is not None else floor(k, least)
+                k = group[1:]
+            c -= shorter
+            c -= sign
             best = now.get(k)
             if best is None or c > best[0]:
                 now[k] = (c, (chain, option))
@@ -175,6 +194,23 @@ def runs_of_parts(short: np.ndarray, part: np.ndarray, owner: np.ndarray) -> lis
     return list(zip(first[good].tolist(), stop[good].tolist(), strict=True))
 
 
+class Pairs(NamedTuple):
+    """Words of texts: text ``owner[i]`` has ``words[number[i]]``; ascending, each pair once."""
+
+    owner: np.ndarray
+    number: np.ndarray
+    words: list[str]
+
+
+def taken(lists: list[list[int]], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of the lists that ``codes`` name, one after the other, and for each value its place in ``codes``."""
+    size = np.fromiter((len(x) for x in lists), np.int64, len(lists))
+    flat = np.fromiter((v for x in lists for v in x), np.int64, int(size.sum()))
+    count = size[codes]
+    at = np.repeat(np.arange(len(codes)), count)
+    return at, flat[np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count) + np.repeat((np.cumsum(size) - size)[codes], count)]
+
+
 class Reader:
     """Restored words of whole texts, slice by slice; what a word restores to is kept between slices."""
 
@@ -213,27 +249,42 @@ class Reader:
                 self.pairs[words] = got
         return got
 
-    def read(self, text: pa.Array, wanted=None, whole: Callable[[str], bool] | None = None) -> list[set[str]]:
-        """The set of restored words of each text; with ``wanted``, only words that it accepts.
-
-        With ``whole``, a word that seldom ends where it does is also joined with the one or two words behind it, and
-        joined words that ``whole`` knows count.
-        """
+    def words_of(self, text: pa.Array, wanted=None) -> tuple[common.Words, Pairs]:
+        """The words of the texts, and the restored words of each text; with ``wanted``, only words that it accepts."""
         w = common.words(text, lower=True, every=True)
         owner = w.owners()
         distinct = w.distinct.to_pylist()
-        found = [tuple(x for x in self.of(word) if wanted is None or wanted(x)) for word in distinct]
-        out: list[set[str]] = [set() for _ in range(len(text))]
-        some = np.fromiter((bool(x) for x in found), bool, len(found))
-        for at in np.flatnonzero(some[w.codes]).tolist():
-            out[owner[at]].update(found[w.codes[at]])
+        number: dict[str, int] = {}
+        found = [[number.setdefault(x, len(number)) for x in self.of(word) if wanted is None or wanted(x)] for word in distinct]
+        owners, numbers = [], []
+        once = common.distinct(owner * max(len(distinct), 1) + w.codes)
+        at, inside = taken(found, once % max(len(distinct), 1))
+        owners.append((once // max(len(distinct), 1))[at])
+        numbers.append(inside)
         inner = [x.strip(_OUTSIDE) for x in distinct]
         short = np.fromiter((0 < len(x) <= PART for x in inner), bool, len(inner))
         part = np.fromiter((s and is_part(x, self.letters) for s, x in zip(short, inner, strict=True)), bool, len(inner))
         for a, b in runs_of_parts(short[w.codes], part[w.codes], owner):
-            out[owner[a]].update(x for x in self.joined(tuple(inner[c] for c in w.codes[a:b])) if wanted is None or wanted(x))
+            more = [number.setdefault(x, len(number)) for x in self.joined(tuple(inner[c] for c in w.codes[a:b])) if wanted is None or wanted(x)]
+            owners.append(np.full(len(more), owner[a]))
+            numbers.append(np.array(more, np.int64))
+        pair = common.distinct(np.concatenate(owners) * max(len(number), 1) + np.concatenate(numbers))
+        return w, Pairs(pair // max(len(number), 1), pair % max(len(number), 1), list(number))
+
+    def read(self, text: pa.Array, wanted=None, whole: Callable[[str], bool] | None = None) -> list[set[str]]:
+        """The set of restored words of each text; with ``wanted``, only words that it accepts.
+
+        With ``whole``, a word that seldom ends where it does is also joined with the one or two words behind it, and
+        joined words that ``whole`` knows count.
+        """
+        w, pairs = self.words_of(text, wanted)
+        out: list[set[str]] = [set() for _ in range(len(text))]
+        for at, number in zip(pairs.owner.tolist(), pairs.number.tolist(), strict=True):
+            out[at].add(pairs.words[number])
+        owner = w.owners()
         if whole is None or len(owner) < 2:
             return out
+        inner = [x.strip(_OUTSIDE) for x in w.distinct.to_pylist()]
         open_ = np.fromiter((is_part(x, self.letters) for x in inner), bool, len(inner))[w.codes]
         first = open_[:-1] & (owner[1:] == owner[:-1])
         for at in np.flatnonzero(first).tolist():
@@ -280,64 +331,96 @@ class Model:
 
 
 def _plain_counts(texts: Iterable[str | None]) -> dict[str, int]:
-    out: dict[str, int] = {}
+    seen: Counter[str] = Counter()
     for t in texts:
-        for w in (t or "").lower().split():
-            core = w.strip(_TRIM)
-            if core.isalpha():
-                out[core] = out.get(core, 0) + 1
+        seen.update((t or "").lower().split())
+    out: dict[str, int] = {}
+    for w, n in seen.items():
+        core = w.strip(_TRIM)
+        if core.isalpha():
+            out[core] = out.get(core, 0) + n
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", *, sample_rows: int = 12_000, support: int = 4, most_features: int = 2_000, most_groups: int = 200_000) -> Model:
-    """Learn letters and word weights from a bounded sample: about ``sample_rows`` labelled rows by a hash of the key.
+def _lists(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Of a batch with ``words``: for each word its row and its number in the returned list of distinct words."""
+    lists = batch.column("words")
+    coded = lists.flatten().dictionary_encode()
+    size = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(batch.num_rows), size), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+
+
+def _texts_by_feature(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From ``y`` and the ``words`` of texts: for each feature the sum of y and the number of the texts that have it."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        row, code, distinct = _lists(batch)
+        number: dict[str, int] = {}
+        at, feature = taken([[number.setdefault(f, len(number)) for f in features_of(x)] for x in distinct], code)
+        n = max(len(number), 1)
+        pair = common.distinct(row[at] * n + feature)
+        y = batch.column("y").to_numpy(zero_copy_only=False).astype(np.int64)
+        bad = np.bincount(pair % n, weights=y[pair // n], minlength=len(number)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(number), pa.string()), pa.array(bad), pa.array(np.bincount(pair % n, minlength=len(number)))], names=["w", "bad", "n"])
+
 
-    ``train`` says of the column ``k`` which rows may be learned from. Tasks count letters and words of the sample;
-    the driver gets counts of the ``most_groups`` most frequent groups of four letters, and of words and beginnings of words in ``support`` toxic sample texts at least, at most
+def fit(docs: DataFrame, labels: DataFrame, train: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", *, support: int = 4, most_features: int = 2_000, most_groups: int = 200_000) -> Model:
+    """Learn letters and word weights from every labelled row that may be learned from.
+
+    ``train`` says of the column ``k`` which rows these are. Tasks count letters and words of their whole texts;
+    the driver gets counts of the ``most_groups`` most frequent groups of four letters, and of words and beginnings of words in ``support`` toxic texts at least, at most
     ``most_features`` of them. A word's weight is its smoothed log odds beyond the texts' own, where that is clearly
-    positive and most sample texts with the word are toxic: texts become toxic by what they hold. Without labels of both kinds every text scores the same.
+    positive and most labelled texts with the word are toxic: texts become toxic by what they hold. Without labels of both kinds every text scores the same.
     """
     known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where(train & F.col("y").isNotNull())
-    total = known.count()
-    share = min(1.0, sample_rows / max(total, 1))
-    chosen = known.where(F.pmod(F.xxhash64(F.lit(11), "k"), F.lit(1 << 30)) < F.lit(share * (1 << 30))).limit(2 * sample_rows)
-    sample = common.stored(docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(chosen, "k").select("t", "y"), "toxic-sample")
+    labelled = common.stored(docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(known, "k").select("t", "y"), "toxic-labelled")
 
     def grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in common.slices(batches, "t"):
+        for part in common.slices(batches, "t", SLICE):
             seen: dict[str, int] = {}
             for w, n in _plain_counts(part.column("t").to_pylist()).items():
                 t = EDGE * 3 + w + EDGE
                 for i in range(3, len(t)):
                     g = t[i - 3 : i + 1]
                     seen[g] = seen.get(g, 0) + n
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(list(seen.values()), pa.int64())], names=["g", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["g", "n"])
 
-    counted = sample.select("t").mapInArrow(grams, "g string, n long").groupBy("g").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "g").limit(most_groups).collect()
+    counted = labelled.select("t").mapInArrow(grams, "g string, n long").groupBy("g").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "g").limit(most_groups).collect()
     letters = Letters.of({r["g"]: r["n"] for r in counted})
 
-    def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def restored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(letters)
-        for part in common.slices(batches, "t"):
-            sets = [sorted({f for w in found for f in features_of(w)}) for found in reader.read(part.column("t"))]
-            yield common.rows_of(part, ["y"], words=pa.array(sets, pa.list_(pa.string())))
+        for part in common.slices(batches, "t", SLICE):
+            _, pairs = reader.words_of(part.column("t"))
+            starts = np.searchsorted(pairs.owner, np.arange(part.num_rows + 1))
+            yield common.rows_of(part, ["y"], words=common.list_array(pa.array(pairs.words, pa.string()).take(pa.array(pairs.number)), starts))
 
-    bags = common.stored(sample.mapInArrow(features, "y int, words array<string>"), "toxic-bags")
+    bags = common.stored(labelled.mapInArrow(restored, "y int, words array<string>"), "toxic-bags")
+    common.discard(labelled)
     sizes = {r["y"]: r["n"] for r in bags.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad or not good:
+        common.discard(bags)
         return Model(letters, {}, 0.0)
-    words = bags.select("y", F.explode("words").alias("w")).groupBy("w").agg(F.sum("y").alias("bad"), F.count(F.lit(1)).alias("n")).where(F.col("bad") >= support)
+    words = bags.mapInArrow(_texts_by_feature, "w string, bad long, n long").groupBy("w").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).where(F.col("bad") >= support)
     odds = F.log((F.col("bad") + 0.5) / (F.col("n") - F.col("bad") + 0.5)) - math.log(bad / good)
     sure = odds / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("n") - F.col("bad") + 0.5))
     top = words.select("w", odds.alias("o"), sure.alias("z"), ((F.col("bad") + 0.5) / (F.col("n") + 1)).alias("share")).where("o > 2 and z > 3.5 and share >= 0.8").orderBy(F.desc("z"), "w").limit(most_features).collect()
     weights = {r["w"]: float(r["o"]) for r in top}
+
+    def holding(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, code, distinct = _lists(batch)
+            telling = np.fromiter((any(f in weights for f in features_of(x)) for x in distinct), bool, len(distinct))
+            held = np.bincount(row[telling[code]], minlength=batch.num_rows) > 0
+            yield common.rows_of(batch, ["y"], held=pa.array(held))
+
     # the bias is what texts without any such word show, and one clear word is enough to pass the middle
-    held = F.size(F.array_intersect("words", F.array(*(F.lit(w) for w in weights)))) if weights else F.lit(0)
-    clean = bags.where(held == 0).agg(F.sum("y").alias("b"), F.count(F.lit(1)).alias("n")).first()
-    bias = math.log(((clean["b"] or 0) + 0.5) / (clean["n"] - (clean["b"] or 0) + 0.5))
-    with_word = bags.where(held > 0).agg(F.sum("y").alias("b"), F.count(F.lit(1)).alias("n")).first()
-    lift = math.log(((with_word["b"] or 0) + 0.5) / (with_word["n"] - (with_word["b"] or 0) + 0.5)) - bias if weights else 0.0
+    shown = {r["held"]: (r["b"] + 0.5, r["n"] - r["b"] + 0.5) for r in bags.mapInArrow(holding, "y int, held boolean").groupBy("held").agg(F.sum("y").alias("b"), F.count(F.lit(1)).alias("n")).collect()}
+    common.discard(bags)
+    bias, with_word = (math.log(b / g) for b, g in (shown.get(held, (0.5, 0.5)) for held in (False, True)))
+    lift = with_word - bias if weights else 0.0
     least = min(weights.values(), default=1.0)
     return Model(letters, {w: max(o, lift * min(1.0, o / max(least, 1e-9))) for w, o in weights.items()}, bias)
 

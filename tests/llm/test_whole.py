@@ -1,5 +1,6 @@
 """Cases that shortcuts lose: each is compared with what a plain reading of the definition gives."""
 
+import math
 import random
 
 import numpy as np
@@ -95,6 +96,31 @@ def test_words_set_apart_by_spaces(spark):
     assert toxicity.joined_words("a s t u p i d l o s e r you".split(), model.letters) == ("loser", "stupid")
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """More labelled rows than a sample would hold: words of few toxic texts weigh, and the bias counts all rows."""
+    rng = random.Random(26)
+    rare = ["vexatious", "grubling", "snidely", "wretchy", "foulmouth", "blightful", "knavery", "scornful"]
+    rows, marks = [], []
+    for i in range(30_000):
+        bad = i % 10 == 0
+        word = rare[i // 10 % 300] if bad and i // 10 % 300 < len(rare) else "rotten" if bad else ""
+        rows.append((i, f"{prose(rng, 4)} {word}", "en"))
+        marks.append((i, int(bad)))
+    rows += [(30_000 + i, "kindly put", "en") for i in range(7)]
+    marks += [(30_000 + i, 1) for i in range(7)]
+    model = toxicity.fit(frame(spark, rows), spark.createDataFrame(marks, "doc_id long, toxic int"), F.lit(True))
+    assert {*rare, "rotten"} <= set(model.weights)
+    assert model.bias == math.log(7.5 / 27_000.5)
+    groups = {}
+    for _, text, _ in rows:
+        for word in text.split():
+            t = toxicity.EDGE * 3 + word + toxicity.EDGE
+            for k in range(3, len(t)):
+                groups[t[k - 3 : k + 1]] = groups.get(t[k - 3 : k + 1], 0) + 1
+    assert model.letters.table == toxicity.Letters.of(groups).table
+    assert predicted(spark, model, [f"abcd {w} efgh" for w in ("sc0rnful", "k n a v e r y", "abcd")]) == ["abcd sc0rnful efgh", "abcd k n a v e r y efgh"]
+
+
 def test_one_of_near_copies_whatever_their_ids(spark):
     rng = random.Random(24)
     rows = []
