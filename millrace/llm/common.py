@@ -120,6 +120,11 @@ def distinct(x: np.ndarray) -> np.ndarray:
     return x[new]
 
 
+def strings(values: pa.Array) -> list[str]:
+    """An array without nulls as a list, at once and not value by value."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 

@@ -150,6 +150,8 @@ def restored_word(word: str, letters: Letters, worth: Callable[[str], bool] | No
     Signs that look like letters are read both ways also at the edges of a word, and so are doubled letters. ``worth``
     may say of a word of letters alone that no reading of its doubled letters is of use.
     """
+    if word.isalpha() and not _DOUBLED.search(word):
+        return (word,)
     core, whole = word.strip(_TRIM), word.strip(_OUTSIDE)
     if whole == core and core.isalpha() and (not _DOUBLED.search(core) or worth is not None and not worth(core)):
         return (core,)
@@ -161,7 +163,8 @@ def restored_word(word: str, letters: Letters, worth: Callable[[str], bool] | No
 
 def is_part(word: str, letters: Letters) -> bool:
     """Whether a word seldom ends where it does, so that a neighbour may carry on with it."""
-    return any(c.isalpha() for c in word) and letters.step((EDGE * 3 + word)[-3:], EDGE) < PART_END
+    end = word[-3:] if len(word) > 2 else (EDGE * 3 + word)[-3:]
+    return letters.step(end, EDGE) < PART_END and (word.isalpha() or any(c.isalpha() for c in word))
 
 
 def joined_words(parts: Iterable[str], letters: Letters, cost: float = 1.0) -> tuple[str, ...]:
@@ -195,7 +198,7 @@ def runs_of_parts(short: np.ndarray, part: np.ndarray, owner: np.ndarray) -> lis
 
 
 class Pairs(NamedTuple):
-    """Words of texts: text ``owner[i]`` has ``words[number[i]]``; ascending, each pair once."""
+    """Restored words of texts: text ``owner[i]`` has ``words[number[i]]``; ascending, each pair once."""
 
     owner: np.ndarray
     number: np.ndarray
@@ -249,19 +252,18 @@ class Reader:
                 self.pairs[words] = got
         return got
 
-    def words_of(self, text: pa.Array, wanted=None) -> tuple[common.Words, Pairs]:
-        """The words of the texts, and the restored words of each text; with ``wanted``, only words that it accepts."""
-        w = common.words(text, lower=True, every=True)
+    def words_of(self, w: common.Words, distinct: list[str], inner: list[str], wanted=None) -> Pairs:
+        """The restored words of the texts that ``w`` splits into ``distinct`` words, which are ``inner`` without signs
+        around them. With ``wanted``, only words that it accepts."""
         owner = w.owners()
-        distinct = w.distinct.to_pylist()
         number: dict[str, int] = {}
-        found = [[number.setdefault(x, len(number)) for x in self.of(word) if wanted is None or wanted(x)] for word in distinct]
+        known = self.known
+        found = [[number.setdefault(x, len(number)) for x in known.get(word) or self.of(word) if wanted is None or wanted(x)] for word in distinct]
         owners, numbers = [], []
         once = common.distinct(owner * max(len(distinct), 1) + w.codes)
         at, inside = taken(found, once % max(len(distinct), 1))
         owners.append((once // max(len(distinct), 1))[at])
         numbers.append(inside)
-        inner = [x.strip(_OUTSIDE) for x in distinct]
         short = np.fromiter((0 < len(x) <= PART for x in inner), bool, len(inner))
         part = np.fromiter((s and is_part(x, self.letters) for s, x in zip(short, inner, strict=True)), bool, len(inner))
         for a, b in runs_of_parts(short[w.codes], part[w.codes], owner):
@@ -269,7 +271,12 @@ class Reader:
             owners.append(np.full(len(more), owner[a]))
             numbers.append(np.array(more, np.int64))
         pair = common.distinct(np.concatenate(owners) * max(len(number), 1) + np.concatenate(numbers))
-        return w, Pairs(pair // max(len(number), 1), pair % max(len(number), 1), list(number))
+        return Pairs(pair // max(len(number), 1), pair % max(len(number), 1), list(number))
+
+    def split(self, text: pa.Array) -> tuple[common.Words, list[str], list[str]]:
+        w = common.words(text, lower=True, every=True)
+        distinct = common.strings(w.distinct)
+        return w, distinct, [x.strip(_OUTSIDE) for x in distinct]
 
     def read(self, text: pa.Array, wanted=None, whole: Callable[[str], bool] | None = None) -> list[set[str]]:
         """The set of restored words of each text; with ``wanted``, only words that it accepts.
@@ -277,20 +284,22 @@ class Reader:
         With ``whole``, a word that seldom ends where it does is also joined with the one or two words behind it, and
         joined words that ``whole`` knows count.
         """
-        w, pairs = self.words_of(text, wanted)
+        w, distinct, inner = self.split(text)
+        pairs = self.words_of(w, distinct, inner, wanted)
         out: list[set[str]] = [set() for _ in range(len(text))]
         for at, number in zip(pairs.owner.tolist(), pairs.number.tolist(), strict=True):
             out[at].add(pairs.words[number])
         owner = w.owners()
         if whole is None or len(owner) < 2:
             return out
-        inner = [x.strip(_OUTSIDE) for x in w.distinct.to_pylist()]
         open_ = np.fromiter((is_part(x, self.letters) for x in inner), bool, len(inner))[w.codes]
         first = open_[:-1] & (owner[1:] == owner[:-1])
-        for at in np.flatnonzero(first).tolist():
-            out[owner[at]].update(self.across((inner[w.codes[at]], inner[w.codes[at + 1]]), whole))
-            if at + 1 < len(first) and first[at + 1]:
-                out[owner[at]].update(self.across(tuple(inner[c] for c in w.codes[at : at + 3]), whole))
+        at = np.flatnonzero(first)
+        for o, a, b in zip(owner[at].tolist(), w.codes[at].tolist(), w.codes[at + 1].tolist(), strict=True):
+            out[o].update(self.across((inner[a], inner[b]), whole))
+        at = at[np.append(first, False)[at + 1]]
+        for o, a, b, c in zip(owner[at].tolist(), w.codes[at].tolist(), w.codes[at + 1].tolist(), w.codes[at + 2].tolist(), strict=True):
+            out[o].update(self.across((inner[a], inner[b], inner[c]), whole))
         return out
 
 
@@ -316,13 +325,17 @@ class Model:
     def __post_init__(self):
         self.whole = {single_letters(f) for f in self.weights if not f.endswith("*")}
         self.begun = {single_letters(f[:-1]) for f in self.weights if f.endswith("*")}
+        self.lengths = sorted({len(f) for f in self.begun})
+        self.heads = {f[: min(BEGINNINGS)] for f in self.weights if f.endswith("*")}
 
     def may_weigh(self, word: str) -> bool:
         """False if no reading of the word's repeated letters has a weight."""
         short = single_letters(word)
-        return short in self.whole or any(short[:k] in self.begun for k in range(1, max(BEGINNINGS) + 1))
+        return short in self.whole or any(short[:k] in self.begun for k in self.lengths)
 
     def weight(self, word: str) -> float:
+        if word[: min(BEGINNINGS)] not in self.heads:
+            return self.weights.get(word, 0.0)
         return max(self.weights.get(f, 0.0) for f in features_of(word))
 
     def probability(self, found: set[str]) -> float:
@@ -347,7 +360,7 @@ def _lists(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[str]]:
     lists = batch.column("words")
     coded = lists.flatten().dictionary_encode()
     size = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-    return np.repeat(np.arange(batch.num_rows), size), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+    return np.repeat(np.arange(batch.num_rows), size), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), common.strings(coded.dictionary)
 
 
 def _texts_by_feature(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,7 +387,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, key: str = "doc_id",
     positive and most labelled texts with the word are toxic: texts become toxic by what they hold. Without labels of both kinds every text scores the same.
     """
     known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where(train & F.col("y").isNotNull())
-    labelled = common.stored(docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(known, "k").select("t", "y"), "toxic-labelled")
+    # labels grow with the texts, so the plan is the same at every size
+    labelled = common.stored(docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(known.hint("merge"), "k").select("t", "y"), "toxic-labelled")
 
     def grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.slices(batches, "t", SLICE):
@@ -392,7 +406,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, key: str = "doc_id",
     def restored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(letters)
         for part in common.slices(batches, "t", SLICE):
-            _, pairs = reader.words_of(part.column("t"))
+            pairs = reader.words_of(*reader.split(part.column("t")))
             starts = np.searchsorted(pairs.owner, np.arange(part.num_rows + 1))
             yield common.rows_of(part, ["y"], words=common.list_array(pa.array(pairs.words, pa.string()).take(pa.array(pairs.number)), starts))
 
