@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -487,38 +488,42 @@ def content_score(df: DataFrame, text: str, title: str, keyword: str, keys: Sequ
         F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)).alias("__w"), F.filter(F.transform(F.split(c, "\n\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "").alias("__p"),
     )
     vowels = lambda w: F.greatest(F.lit(1), F.when(w.endswith("e") & (F.length(w) > 2), F.greatest(F.lit(1), F.regexp_count(w, F.lit("[aeiouy]+")) - 1)).otherwise(F.regexp_count(w, F.lit("[aeiouy]+"))))
-    n = F.greatest(F.lit(1), F.size("__a"))
-    ease = N.python_round(N.clamp(206.835 - 1.015 * n / F.greatest(F.lit(1), F.size("__s")) - 84.6 * _sum_over(F.transform("__a", vowels)) / n), 1)
-    lengths = _word_lengths(F.col("__s"), 3)
-    read = F.least(F.lit(25), _ladder(ease, [(65, 15), (55, 12), (45, 8), (35, 4)], 0) + F.when(F.size(lengths) > 1, F.least(F.lit(10), F.floor(_spread(lengths)))).otherwise(0))
+    count = lambda p: F.size(X.white_words(p))
     kw = keyword.lower()
-    k = F.array(*[F.lit(x) for x in kw.split()])
-    size = len(kw.split())
-    seen = F.when(F.size("__w") >= size, F.size(F.filter(F.sequence(F.lit(1), F.size("__w") - size + 1), lambda i: F.slice("__w", i, F.lit(size)) == k))).otherwise(0)
-    density = seen * size / F.greatest(F.lit(1), F.size("__w")) * 100
-    h2 = F.regexp_count("__c", F.lit(r"(?dm)^## .+"))
+    k, size = kw.split(), len(kw.split())
+    # single elements are read by their place: a slice copies the whole array for every word
+    here = lambda i: reduce(lambda a, b: a & b, [F.get("__w", i + j) == w for j, w in enumerate(k)], F.lit(True))
+    first, last, plain = F.get("__p", 0), F.get("__p", F.size("__p") - 1), F.filter("__p", lambda p: ~p.startswith("#"))
+    samples = F.lit(0)
+    for e in EXAMPLES:
+        samples = samples + X.count_of(F.col("__l"), e)
+    # what a ladder asks for several times is a column, computed once
+    facts = {
+        "alpha": F.greatest(F.lit(1), F.size("__a")), "sentences": F.greatest(F.lit(1), F.size("__s")), "syllables": _sum_over(F.transform("__a", vowels)), "lengths": _word_lengths(F.col("__s"), 3), "words": F.size("__w"),
+        "seen": F.when(F.size("__w") >= size, F.size(F.filter(F.sequence(F.lit(0), F.size("__w") - size), here))).otherwise(0), "early": F.array_join(F.slice("__w", 1, 100), " ").contains(kw), "titled": F.lower("__t").contains(kw), "title": F.length("__t"),
+        "first": first, "first_words": count(first), "last": F.lower(last), "last_words": count(last), "plain": F.transform(plain, count), "h2": F.regexp_count("__c", F.lit(r"(?dm)^## .+")), "h2s": F.regexp_count("__c", F.lit(r"(?dm)^## ")),
+        "asks": X.count_of(F.col("__c"), "?"), "numbers": F.regexp_count("__c", F.lit(r"(?U)\b\d+(?:\.\d+)?%?\b")), "samples": samples, "items": F.regexp_count("__c", F.lit(r"(?dm)^\s*[-*•]\s+.+|^\s*\d+\.\s+.+")),
+    }
+    base = base.select(*keys, *[v.alias(f"__{name}") for name, v in facts.items()])
+    at = {name: F.col(f"__{name}") for name in facts}
+    ease = N.python_round(N.clamp(206.835 - 1.015 * at["alpha"] / at["sentences"] - 84.6 * at["syllables"] / at["alpha"]), 1)
+    density = at["seen"] * size / F.greatest(F.lit(1), at["words"]) * 100
+    mean = F.when(F.size(at["plain"]) > 0, _sum_over(at["plain"]) / F.size(at["plain"]))
+    spread = F.when(F.size(at["lengths"]) > 1, F.least(F.lit(10), F.floor(_spread(at["lengths"])))).otherwise(0)
+    base = base.select("*", ease.alias("__ease"), density.alias("__density"), mean.alias("__mean"), spread.alias("__spread"))
+    read = F.least(F.lit(25), _ladder(F.col("__ease"), [(65, 15), (55, 12), (45, 8), (35, 4)], 0) + F.col("__spread"))
     seo = F.least(
-        F.lit(25), F.when(F.lower("__t").contains(kw), 7).otherwise(0) + F.when(F.array_join(F.slice("__w", 1, 100), " ").contains(kw), 5).otherwise(0) + F.when(density.between(0.5, 2.5), 5).when(seen > 0, 2).otherwise(0)
-        + F.when(h2 >= 3, 5).when(h2 >= 1, 2).otherwise(0) + F.when(F.length("__t").between(30, 65), 3).otherwise(0),
+        F.lit(25), F.when(at["titled"], 7).otherwise(0) + F.when(at["early"], 5).otherwise(0) + F.when(F.col("__density").between(0.5, 2.5), 5).when(at["seen"] > 0, 2).otherwise(0)
+        + F.when(at["h2"] >= 3, 5).when(at["h2"] >= 1, 2).otherwise(0) + F.when(at["title"].between(30, 65), 3).otherwise(0),
     )
-    first, last = F.get("__p", 0), F.get("__p", F.size("__p") - 1)
-    count = lambda p: F.size(X.white_words(p))
-    h2s = F.regexp_count("__c", F.lit(r"(?dm)^## "))
-    plain = F.filter("__p", lambda p: ~p.startswith("#"))
-    mean = _sum_over(F.transform(plain, lambda p: F.size(X.white_words(p)))) / F.size(plain)
     structure = F.least(
         F.lit(25),
-        F.when(first.isNotNull() & ~first.startswith("#"), F.when(count(first).between(30, 200), 7).when(count(first) > 0, 3).otherwise(0)).otherwise(0) + F.when(h2s >= 4, 8).when(h2s >= 2, 5).when(h2s >= 1, 2).otherwise(0)
-        + F.when(last.isNotNull(), F.when(X.any_of(F.lower(last), CLOSINGS) & (count(last) >= 20), 7).when(count(last) >= 30, 4).otherwise(0)).otherwise(0) + F.when((F.size(plain) > 0) & (mean <= 80), 3).otherwise(0),
+        F.when(at["first"].isNotNull() & ~at["first"].startswith("#"), F.when(at["first_words"].between(30, 200), 7).when(at["first_words"] > 0, 3).otherwise(0)).otherwise(0) + F.when(at["h2s"] >= 4, 8).when(at["h2s"] >= 2, 5).when(at["h2s"] >= 1, 2).otherwise(0)
+        + F.when(at["last"].isNotNull(), F.when(X.any_of(at["last"], CLOSINGS) & (at["last_words"] >= 20), 7).when(at["last_words"] >= 30, 4).otherwise(0)).otherwise(0) + F.when(F.col("__mean") <= 80, 3).otherwise(0),
     )
-    asks, numbers = X.count_of(F.col("__c"), "?"), F.regexp_count("__c", F.lit(r"(?U)\b\d+(?:\.\d+)?%?\b"))
-    samples = F.lit(0)
-    for e in EXAMPLES:
-        samples = samples + X.count_of(F.col("__l"), e)
-    items = F.regexp_count("__c", F.lit(r"(?dm)^\s*[-*•]\s+.+|^\s*\d+\.\s+.+"))
     engage = F.least(
-        F.lit(25), F.when(asks >= 3, 6).when(asks >= 1, 3).otherwise(0) + F.when(numbers >= 5, 7).when(numbers >= 2, 4).when(numbers >= 1, 2).otherwise(0) + F.when(samples >= 3, 6).when(samples >= 1, 3).otherwise(0)
-        + F.when(items >= 5, 6).when(items >= 2, 3).otherwise(0),
+        F.lit(25), F.when(at["asks"] >= 3, 6).when(at["asks"] >= 1, 3).otherwise(0) + F.when(at["numbers"] >= 5, 7).when(at["numbers"] >= 2, 4).when(at["numbers"] >= 1, 2).otherwise(0) + F.when(at["samples"] >= 3, 6).when(at["samples"] >= 1, 3).otherwise(0)
+        + F.when(at["items"] >= 5, 6).when(at["items"] >= 2, 3).otherwise(0),
     )
     out = base.select(*keys, read.cast("int").alias("readability"), seo.cast("int").alias("seo"), structure.cast("int").alias("structure"), engage.cast("int").alias("engagement"))
     out = out.withColumn("total", F.col("readability") + F.col("seo") + F.col("structure") + F.col("engagement"))

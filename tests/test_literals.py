@@ -270,6 +270,16 @@ def test_content_score_engagement(spark):
     assert r.engagement == 25 and r.seo == 0 and r.total == r.readability + r.structure + 25
 
 
+def test_content_score_reads_a_long_text_in_steps(spark):
+    """Every measure of the text stands once in the plan, and no word copies the whole list of words."""
+    rows = [(1, "red fox " * 30 + "ends here. A red fox, a RED Fox!"), (2, "red"), (3, ""), (4, None)]
+    out = TX.content_score(spark.createDataFrame(rows, "id int, t string").withColumn("title", F.lit("The red fox")), "t", "title", "Red Fox", ["id"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("slice(") == 1 and plan.count("(?U)") == 1 and plan.count("[aeiouy]+") == 2
+    got = {r.id: (r.readability, r.seo, r.structure, r.engagement, r.total, r.grade) for r in out.collect()}
+    assert got[1][1] == 7 + 5 + 2 and {got[i][1] for i in (2, 3)} == {7}
+
+
 def test_prefixed_keys_do_not_collide(spark):
     from millrace.operators.relational import surrogate_key
     from millrace.operators.warehouse import row_hash
