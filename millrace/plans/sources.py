@@ -123,7 +123,7 @@ def schema_loader(t):
 def text_corpus_scan(t):
     """One file per document, read back whole."""
     path = work_folder(t.spark, "corpus")
-    t.documents.select("text").write.option("maxRecordsPerFile", 1).text(path)
+    S.write_text_corpus(t.documents, "text", path)
     return S.read_text_corpus(t.spark, path, "*.txt").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
 
 

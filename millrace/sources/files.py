@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 import json
-from collections.abc import Sequence
+import os
+import uuid
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -124,7 +128,54 @@ def load_rules(text: str) -> list[ColumnRule]:
     ]
 
 
+#: Files of one folder of a written corpus; endings of files that the text source unpacks.
+FOLDER, PACKED = 1000, ("gz", "bz2", "deflate", "snappy", "lz4", "zst", "passthrough")
+
+
+def write_text_corpus(df: DataFrame, text: str, path: str) -> None:
+    """One file for each row, closed by a line end, in folders of at most ``FOLDER`` files that are moved into place whole.
+
+    Hadoop's local file system starts a process for every file it creates; a store that is mounted as a folder is
+    written by the tasks themselves. Any other store is written by Spark.
+    """
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(conf)
+    texts = df.select(F.col(text).cast("string").alias("value"))
+    if store.getUri().getScheme() != "file":
+        folder = F.floor(F.monotonically_increasing_id() / FOLDER)
+        texts.withColumn("folder", folder).write.option("maxRecordsPerFile", 1).partitionBy("folder").text(path)
+        return
+    local = store.makeQualified(place).toUri().getPath()
+
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((task, value) for b in batches for task, value in zip(b.column("task").to_pylist(), b.column("value").cast(pa.binary()).to_pylist(), strict=True))
+        for folder in itertools.count():
+            some = list(itertools.islice(rows, FOLDER))
+            if not some:
+                return
+            # readers pass over names with an underscore; a task that runs again finds its folder in place
+            made, final = f"{local}/_{uuid.uuid4().hex}", f"{local}/{some[0][0]:05d}-{folder:05d}"
+            os.makedirs(made)
+            for i, (_, value) in enumerate(some):
+                with open(f"{made}/{i:04d}.txt", "wb", buffering=0) as f:
+                    f.write((value or b"") + b"\n")
+            if not os.path.isdir(final):
+                os.rename(made, final)
+            yield pa.RecordBatch.from_pydict({"files": pa.array([len(some)], pa.int64())})
+
+    os.makedirs(local, exist_ok=True)
+    texts.withColumn("task", F.spark_partition_id()).mapInArrow(files, "files long").agg(F.sum("files")).collect()
+
+
 def read_text_corpus(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """One row per file with its path and size."""
-    df = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path, wholetext=True)
-    return df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("value").alias("text"))
+    """One row per file with its path and size.
+
+    The text source sets up a Hadoop task for every file, the binary one does not; where the glob names an ending of
+    plain files the bytes are read as they are. Their size is counted, so every file is read whole.
+    """
+    source, ending = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True), glob.rpartition(".")[2]
+    where = F.col("_metadata.file_path").alias("path")
+    if "." in glob and ending.isalnum() and ending.lower() not in PACKED:
+        return source.format("binaryFile").load(path).select(where, F.octet_length("content").cast("long").alias("size"), F.col("content").cast("string").alias("text"))
+    return source.text(path, wholetext=True).select(where, F.col("_metadata.file_size").alias("size"), F.col("value").alias("text"))

@@ -289,6 +289,26 @@ def test_prefixed_keys_do_not_collide(spark):
     assert len({r.h for r in got}) == len({r.k for r in got}) == 6
 
 
+def test_text_corpus_of_many_files(spark, tmp_path, monkeypatch):
+    """Every row is a file, in folders of bounded size; files are read as they are, packed ones through the text source."""
+    import gzip
+
+    from millrace.sources import files as S
+
+    monkeypatch.setattr(S, "FOLDER", 10)
+    texts = [f"text {i}\nof two lines é" for i in range(95)] + ["", None]
+    path = str(tmp_path / "corpus")
+    S.write_text_corpus(spark.createDataFrame([(t,) for t in texts], "t string").repartition(3), "t", path)
+    folders = [len(list(d.glob("*.txt"))) for d in (tmp_path / "corpus").iterdir()]
+    assert sum(folders) == 97 and max(folders) == 10
+    read = S.read_text_corpus(spark, path, "*.txt")
+    assert sorted((r.size, r.text) for r in read.collect()) == sorted((len((t or "").encode()) + 1, (t or "") + "\n") for t in texts)
+    assert "content" in read.agg(F.sum("size"))._jdf.queryExecution().executedPlan().toString()
+    (tmp_path / "more").mkdir()
+    (tmp_path / "more" / "a.txt.gz").write_bytes(gzip.compress(b"packed"))
+    assert [r.text for glob in ("*", "*.gz") for r in S.read_text_corpus(spark, str(tmp_path / "more"), glob).collect()] == ["packed"] * 2
+
+
 def test_stream_counts_more_than_a_hundred_batches(spark, tmp_path):
     from millrace.streaming.streams import file_stream, progress_rows
 
