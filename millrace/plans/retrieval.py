@@ -75,7 +75,8 @@ def truth(t):
     def windows(df, key, name):
         # the words are a column of their own: inside the lambda an expression would be split again for every window
         words = df.select(F.col(key).alias(name), X.white_words("text").alias("w"))
-        grams = F.when(F.size("w") >= 5, F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.array_join(F.slice("w", i, F.lit(5)), " ")))
+        # words are read by their place: a slice copies the whole array for every window
+        grams = F.when(F.size("w") >= 5, F.transform(F.sequence(F.lit(0), F.size("w") - 5), lambda i: F.concat_ws(" ", *[F.get("w", i + j) for j in range(5)])))
         return words.select(name, F.explode(F.array_distinct(grams)).alias("g"))
 
     items = windows(t.benchmark, "item_id", "query")

@@ -280,6 +280,19 @@ def test_content_score_reads_a_long_text_in_steps(spark):
     assert got[1][1] == 7 + 5 + 2 and {got[i][1] for i in (2, 3)} == {7}
 
 
+def test_truth_reads_words_by_place(spark):
+    """Windows of five words against literal rows; no window copies the whole text."""
+    from types import SimpleNamespace
+
+    from millrace.plans import retrieval as P
+
+    docs = [(1, "x a b c d e f y"), (2, "a b c d e"), (3, "a b c d"), (4, None), (5, " a  b c d e a b c d e f ")]
+    tables = SimpleNamespace(documents=spark.createDataFrame(docs, "doc_id long, text string"), benchmark=spark.createDataFrame([(7, "a b c d e f"), (8, "b c"), (9, "q a b c d e f")], "item_id long, text string"))
+    out = P.truth(tables)
+    assert "slice(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in out.collect()} == {(7, 1), (7, 2), (7, 5), (9, 1), (9, 5)}
+
+
 def test_prefixed_keys_do_not_collide(spark):
     from millrace.operators.relational import surrogate_key
     from millrace.operators.warehouse import row_hash
