@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from millrace.functions import numeric as N
 from millrace.functions import text as X
 from millrace.operators.narrowing import exact_quantiles
-from millrace.session import checkpoint_folder, work_folder
+from millrace.session import checkpoint_folder, written
 
 # ---- postings and ranking ---------------------------------------------------
 
@@ -265,10 +265,21 @@ def _pack(parts: Column, limit: int, extra: int, joiner: str) -> Column:
     return F.aggregate(parts, start, step, lambda acc: F.when(F.size(acc["open"]) > 0, F.array_append(acc["done"], F.array_join(acc["open"], joiner))).otherwise(acc["done"]))
 
 
-def chunk_sentence(df: DataFrame, text: str, keys: Sequence[str], limit: int) -> DataFrame:
+def fixed_parts(text: str, size: int, overlap: int) -> Column:
+    """The texts of the character windows of ``chunk_fixed``."""
+    n = F.length(text)
+    return F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(max(size - overlap, 1)))), lambda s: F.substring(text, s + 1, F.lit(size)))
+
+
+def sentence_parts(text: str, limit: int) -> Column:
     """Sentences (split after marks) packed up to ``limit`` characters."""
     parts = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
-    return df.select(*keys, F.posexplode(_pack(parts, limit, 0, " ")).alias("chunk", "text")).withColumn("size", F.length("text"))
+    return _pack(parts, limit, 0, " ")
+
+
+def chunk_sentence(df: DataFrame, text: str, keys: Sequence[str], limit: int) -> DataFrame:
+    """One row for each of the ``sentence_parts``."""
+    return df.select(*keys, F.posexplode(sentence_parts(text, limit)).alias("chunk", "text")).withColumn("size", F.length("text"))
 
 
 def paragraphs(text) -> Column:
@@ -276,11 +287,16 @@ def paragraphs(text) -> Column:
     return F.filter(parts, lambda s: s != "")
 
 
-def chunk_paragraph(df: DataFrame, text: str, keys: Sequence[str], limit: int, least: int = 50) -> DataFrame:
+def paragraph_parts(text: str, limit: int, least: int = 50) -> Column:
     """Paragraphs packed up to ``limit``; short ones are dropped unless the text has only one."""
-    base = df.select(*keys, paragraphs(text).alias("__p"))
-    kept = F.when(F.size("__p") > 1, F.filter("__p", lambda s: F.length(s) >= least)).otherwise(F.col("__p"))
-    return base.select(*keys, F.posexplode(_pack(kept, limit, 2, "\n\n")).alias("chunk", "text")).withColumn("size", F.length("text"))
+    kept = lambda p: F.when(F.size(p) > 1, F.filter(p, lambda s: F.length(s) >= least)).otherwise(p)
+    # a list of one binds the paragraphs to a name, so they are cut once
+    return F.get(F.transform(F.array(paragraphs(text)), lambda p: _pack(kept(p), limit, 2, "\n\n")), F.lit(0))
+
+
+def chunk_paragraph(df: DataFrame, text: str, keys: Sequence[str], limit: int, least: int = 50) -> DataFrame:
+    """One row for each of the ``paragraph_parts``."""
+    return df.select(*keys, F.posexplode(paragraph_parts(text, limit, least)).alias("chunk", "text")).withColumn("size", F.length("text"))
 
 
 def chunk_heading(df: DataFrame, text: str, keys: Sequence[str], limit: int) -> DataFrame:
@@ -296,34 +312,63 @@ def chunk_heading(df: DataFrame, text: str, keys: Sequence[str], limit: int) ->
     return out.withColumn("text", F.when(first, F.concat("heading", F.lit("\n\n"), "text")).otherwise(F.col("text"))).withColumn("size", F.length("text"))
 
 
-def chunk_quality(chunks: DataFrame, doc: str, order: str, group: Sequence[str] = ()) -> DataFrame:
-    """Size moments, boundary shares, neighbour Jaccard inside a document and vocabulary, by group."""
+def _vocabulary(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
+
+
+def _ends(text: Column) -> tuple[Column, Column]:
+    """Whether a chunk ends with a sentence, and with a word."""
+    end = F.regexp_replace(text, r"\s+$", "")
+    return end.rlike(r"[.!?]$").cast("int").alias("sentence"), end.rlike(r"[\p{L}\p{N}.!?]$").cast("int").alias("word")
+
+
+def _coherence(w: Column, nx: Column) -> Column:
+    return F.when((F.size(w) > 0) & (F.size(nx) > 0), X.jaccard(w, nx))
+
+
+def _beside(chunks: DataFrame, doc: str, order: str, group: Sequence[str]) -> DataFrame:
+    """Facts of chunks, next to the following one of the document; only words and facts are dealt by document."""
     w = Window.partitionBy(*group, doc).orderBy(order)
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
-    rows = chunks.withColumn("w", words)
-    rows = rows.withColumn("nx", F.lead("w").over(w))
-    both = (F.size("w") > 0) & (F.size("nx") > 0)
-    rows = rows.withColumn("j", F.when(both, X.jaccard(F.col("w"), F.col("nx"))))
-    end = F.regexp_replace("text", r"\s+$", "")
-    base = rows.groupBy(*group).agg(
+    rows = chunks.select(*group, doc, order, F.col("size").alias("size"), *_ends(F.col("text")), _vocabulary(F.col("text")).alias("w")).withColumn("nx", F.lead("w").over(w))
+    return rows.select(*group, "size", "sentence", "word", _coherence(F.col("w"), F.col("nx")).alias("j"), F.size("w").alias("vocabulary"))
+
+
+def _quality(facts: DataFrame, group: Sequence[str]) -> DataFrame:
+    base = facts.groupBy(*group).agg(
         F.count(F.lit(1)).alias("chunks"), F.avg("size").alias("mean_size"), F.coalesce(F.stddev_samp("size"), F.lit(0.0)).alias("std_size"), F.min("size").alias("min_size"), F.max("size").alias("max_size"),
-        F.avg(end.rlike(r"[.!?]$").cast("int")).alias("sentence_boundary"), F.avg(end.rlike(r"[\p{L}\p{N}.!?]$").cast("int")).alias("word_boundary"), F.coalesce(F.avg("j"), F.lit(0.0)).alias("coherence"), F.avg(F.size("w")).alias("mean_vocabulary"),
+        F.avg("sentence").alias("sentence_boundary"), F.avg("word").alias("word_boundary"), F.coalesce(F.avg("j"), F.lit(0.0)).alias("coherence"), F.avg("vocabulary").alias("mean_vocabulary"),
     )
-    medians = exact_quantiles(chunks, list(group), "size", {"median_size": 0.5}).drop("n")
+    medians = exact_quantiles(facts, list(group), "size", {"median_size": 0.5}).drop("n")
     return base.join(medians, list(group)) if group else base.crossJoin(F.broadcast(medians))
 
 
-def chunk_compare(strategies: dict[str, DataFrame], doc: str, order: str) -> DataFrame:
-    """Strategies over the same corpus: quality, weighted score (30% size, 40% boundaries, 30% coherence) and the best one."""
-    rows = None
-    for name, c in strategies.items():
-        part = c.select(F.lit(name).alias("strategy"), doc, F.col(order).alias("__o"), "text", "size")
-        rows = part if rows is None else rows.unionByName(part)
-    # quality and medians both read the chunks: written once, not cut again
-    spark = rows.sparkSession
-    path = work_folder(spark, "chunks")
-    rows.write.parquet(path)
-    q = chunk_quality(spark.read.schema(rows.schema).parquet(path), doc, "__o", ["strategy"])
+def chunk_quality(chunks: DataFrame, doc: str, order: str, group: Sequence[str] = ()) -> DataFrame:
+    """Size moments, boundary shares, neighbour Jaccard inside a document and vocabulary, by group."""
+    # base and medians both read the facts: written once, not cut again
+    return _quality(written(_beside(chunks, doc, order, group), "chunks"), group)
+
+
+def chunk_compare(df: DataFrame, strategies: dict[str, Column], doc: str) -> DataFrame:
+    """Strategies over the same corpus: quality, weighted score (30% size, 40% boundaries, 30% coherence) and the best one.
+
+    A strategy gives the list of a text's chunks. Chunks of a text are compared inside its row, and only their facts are
+    written; those of texts that share a key are neighbours of each other and are dealt by it.
+    """
+    cut = lambda rows: rows.select(doc, F.inline(F.array(*[F.struct(F.lit(n).alias("strategy"), p.alias("__p")) for n, p in strategies.items()])))
+    shared = written(df.groupBy(doc).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col(doc).alias("__k")), "chunk-keys")
+    same = F.col(doc).eqNullSafe(F.col("__k"))
+    many = not shared.isEmpty()
+    single = cut(df.join(shared, same, "left_anti") if many else df).withColumn("__w", F.transform("__p", _vocabulary))
+
+    def fact(i: Column) -> Column:
+        p, w = F.get("__p", i), F.get("__w", i)
+        return F.struct(F.length(p).alias("size"), *_ends(p), _coherence(w, F.get("__w", i + 1)).alias("j"), F.size(w).alias("vocabulary"))
+
+    facts = single.select("strategy", F.inline(F.when(F.size("__p") > 0, F.transform(F.sequence(F.lit(0), F.size("__p") - 1), fact))))
+    if many:
+        chunks = cut(df.join(shared, same, "left_semi")).select("strategy", doc, F.posexplode("__p").alias("__o", "text")).withColumn("size", F.length("text"))
+        facts = facts.unionByName(_beside(chunks, doc, "__o", ["strategy"]))
+    q = _quality(written(facts, "chunks"), ["strategy"])
     even = F.when(F.col("mean_size") > 0, 1 - F.least(F.col("std_size") / F.col("mean_size"), F.lit(1.0))).otherwise(0.0)
     q = q.withColumn("score", even * 0.3 + (F.col("sentence_boundary") + F.col("word_boundary")) / 2 * 0.4 + F.col("coherence") * 0.3)
     best = q.agg(F.max_by("strategy", F.struct("score", "strategy")).alias("b"))

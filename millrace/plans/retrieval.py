@@ -315,11 +315,8 @@ STRATEGIES = {
     digits="mean_size std_size sentence_boundary:6 word_boundary:6 coherence:6 mean_vocabulary median_size score:6",
 )
 def chunk_compare(t):
-    d = t.documents
-    runs = {
-        "fixed_512_50": R.chunk_fixed(d, "text", ["doc_id"], 512, 50), "fixed_1000_100": R.chunk_fixed(d, "text", ["doc_id"], 1000, 100), "sentence_800": R.chunk_sentence(d, "text", ["doc_id"], 800), "paragraph_1500": R.chunk_paragraph(d, "text", ["doc_id"], 1500),
-    }
-    return R.chunk_compare(runs, "doc_id", "chunk")
+    ways = {"fixed_512_50": R.fixed_parts("text", 512, 50), "fixed_1000_100": R.fixed_parts("text", 1000, 100), "sentence_800": R.sentence_parts("text", 800), "paragraph_1500": R.paragraph_parts("text", 1500)}
+    return R.chunk_compare(t.documents, ways, "doc_id")
 
 
 def wiki(t):

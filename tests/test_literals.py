@@ -293,6 +293,23 @@ def test_truth_reads_words_by_place(spark):
     assert {tuple(r) for r in out.collect()} == {(7, 1), (7, 2), (7, 5), (9, 1), (9, 5)}
 
 
+def test_chunks_are_compared_inside_their_row(spark, monkeypatch):
+    """Chunks beside each other in a row equal those dealt by document, also where keys repeat or are null; no text is written."""
+    texts = ["One two three. Four five! Six?  Seven eight nine ten.", "", None, "a b c d e f g h i j k l m n o p", "Short.\n\nAnother, longer paragraph of words.\n\nOne more here"]
+    rows = [(k, texts[i % 5]) for i, k in enumerate([1, 2, 3, 4, 5, 6, 6, None, None, 7, 7, 8, 9, 9, 10])]
+    seen = []
+    monkeypatch.setattr(R, "written", lambda df, name, f=R.written: seen.append(df) or f(df, name))
+    for some in (rows, [(i, t) for i, (_, t) in enumerate(rows)]):
+        docs = spark.createDataFrame(some, "id int, text string")
+        seen.clear()
+        got = {r.strategy: r for r in R.chunk_compare(docs, {"f": R.fixed_parts("text", 12, 4), "s": R.sentence_parts("text", 20), "p": R.paragraph_parts("text", 30, 10)}, "id").collect()}
+        assert len(got) == 3 and all("text" not in df.columns for df in seen)
+        assert ("Window" in seen[-1]._jdf.queryExecution().optimizedPlan().toString()) == (some is rows)
+        for name, chunks in (("f", R.chunk_fixed(docs, "text", ["id"], 12, 4)), ("s", R.chunk_sentence(docs, "text", ["id"], 20)), ("p", R.chunk_paragraph(docs, "text", ["id"], 30, 10))):
+            want = one(R.chunk_quality(chunks, "id", "chunk"))
+            assert all(getattr(got[name], c) == pytest.approx(want[c]) for c in want.__fields__)
+
+
 def test_prefixed_keys_do_not_collide(spark):
     from millrace.operators.relational import surrogate_key
     from millrace.operators.warehouse import row_hash
