@@ -138,6 +138,8 @@ def retrieval_metrics(ranked: DataFrame, truth: DataFrame, ks: Sequence[int], *,
 
     P@k is over the returned results, or over k when ``over_k``; the ideal DCG then runs over min(relevant, k).
     """
+    # counted and joined: written once, not worked out twice
+    truth = written(truth.select("query", "doc"), "truth")
     rel = truth.groupBy("query").agg(F.countDistinct("doc").alias("relevant"))
     hit = ranked.join(truth.select("query", "doc", F.lit(1).alias("hit")).distinct(), ["query", "doc"], "left")
     h = F.coalesce(F.col("hit"), F.lit(0))

@@ -310,6 +310,14 @@ def test_chunks_are_compared_inside_their_row(spark, monkeypatch):
             assert all(getattr(got[name], c) == pytest.approx(want[c]) for c in want.__fields__)
 
 
+def test_metrics_work_out_the_truth_once(spark):
+    truth = spark.createDataFrame([(1, 10), (1, 11), (1, 11)], "query long, doc long").where(F.length(F.concat("query", "doc")) > 0)
+    out = R.retrieval_metrics(spark.createDataFrame([(1, 11, 1), (1, 12, 2)], "query long, doc long, rank int"), truth, (1, 5))
+    assert "concat(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    r = one(out)
+    assert (r.relevant, r.returned, r.reciprocal_rank, r.precision_1, r.recall_1, r.precision_5, r.recall_5) == (2, 2, 1.0, 1.0, 0.5, 0.5, 0.5)
+
+
 def test_prefixed_keys_do_not_collide(spark):
     from millrace.operators.relational import surrogate_key
     from millrace.operators.warehouse import row_hash
